@@ -7,19 +7,11 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import timeline as tl
 from tidemark.operators.chunked import index_chunk, number_runs
+from tidemark.plans.registry import Registry
 from tidemark.plans.views import state_samples, with_views
 
-QUERIES, ORACLES = {}, {}
-
-
-def query(name: str, oracle: str | None = None):
-    def register(function):
-        QUERIES[name] = function
-        if oracle is not None:
-            ORACLES[name] = oracle
-        return function
-
-    return register
+query = Registry()
+QUERIES, ORACLES = query.queries, query.oracles
 
 
 def joined(column: str):
