@@ -187,7 +187,7 @@ def error_class(stderr: Column) -> Column:
 
 
 def last_useful_line(stderr: Column, length: int = 500) -> Column:
-    lines = F.filter(F.transform(F.split(stderr, "\n"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(stderr, "\n"), lambda line: F.trim(line)), lambda x: x != "")
     return F.substring(F.get(lines, F.size(lines) - 1), 1, length)
 
 

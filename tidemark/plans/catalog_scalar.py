@@ -305,31 +305,31 @@ def q_duration_delta_check(spark, folder):
 
 
 def job_durations(spark, folder):
-    return jobs(spark, folder).select(F.col("id").alias("vod_id"), (F.col("o_totalprice") / 40).alias("duration"))
+    return jobs(spark, folder).select(F.col("id").alias("vod_id"), F.floor(F.col("o_totalprice") / 200).cast("double").alias("duration"))
 
 
-_DUR = "SELECT o_orderkey AS vod_id, o_totalprice / 40 AS duration FROM orders"
+_DUR = "SELECT o_orderkey AS vod_id, floor(o_totalprice / 200) AS duration FROM orders"
 _WINDOWS = """SELECT vod_id, idx, idx * 30.0::DOUBLE AS start, least(idx * 30.0::DOUBLE + 30, lim) AS "end", lim FROM (
-    SELECT vod_id, least(duration, 10800) AS lim, unnest(range(CAST(ceil(least(duration, 10800) / 30) AS BIGINT))) AS idx FROM d)"""
+    SELECT vod_id, least(duration, 1500) AS lim, unnest(range(CAST(ceil(least(duration, 1500) / 30) AS BIGINT))) AS idx FROM d)"""
 
 
 @query("tumbling_windows", f"""WITH d AS ({_DUR}), w AS ({_WINDOWS}) SELECT vod_id, idx, start, "end",
     round(start + ("end" - start - least(10, "end" - start)) / 2, 3) AS sample_start, round(start + ("end" - start - least(10, "end" - start)) / 2 + least(10, "end" - start), 3) AS sample_end,
     CAST(floor(start / 900) AS BIGINT) AS block_index FROM w""")
 def q_tumbling_windows(spark, folder):
-    return rg.tumbling_windows(job_durations(spark, folder), ["vod_id"])
+    return rg.tumbling_windows(job_durations(spark, folder), ["vod_id"], max_seconds=1500)
 
 
 @query("window_blocks", f"""WITH d AS ({_DUR}), w AS ({_WINDOWS}) SELECT vod_id, CAST(floor(start / 900) AS BIGINT) AS block_index, count(*) AS windows, min(start) AS start, max("end") AS "end" FROM w GROUP BY 1, 2""")
 def q_window_blocks(spark, folder):
-    w = rg.tumbling_windows(job_durations(spark, folder), ["vod_id"])
+    w = rg.tumbling_windows(job_durations(spark, folder), ["vod_id"], max_seconds=1500)
     return w.groupBy("vod_id", "block_index").agg(F.count(F.lit(1)).alias("windows"), F.min("start").alias("start"), F.max("end").alias("end"))
 
 
-@query("overlapping_chunks", f"""WITH d AS ({_DUR}) SELECT vod_id, idx, idx * 1785.0::DOUBLE AS start, least(duration, idx * 1785.0::DOUBLE + 1800) AS "end" FROM (
-    SELECT vod_id, duration, unnest(range(greatest(1, CAST(ceil((duration - 1800) / 1785) AS BIGINT) + 1))) AS idx FROM d)""")
+@query("overlapping_chunks", f"""WITH d AS ({_DUR}) SELECT vod_id, idx, idx * 285.0::DOUBLE AS start, least(duration, idx * 285.0::DOUBLE + 300) AS "end" FROM (
+    SELECT vod_id, duration, unnest(range(greatest(1, CAST(ceil((duration - 300) / 285) AS BIGINT) + 1))) AS idx FROM d)""")
 def q_overlapping_chunks(spark, folder):
-    return rg.overlapping_chunks(job_durations(spark, folder), ["vod_id"])
+    return rg.overlapping_chunks(job_durations(spark, folder), ["vod_id"], chunk=300, overlap=15)
 
 
 @query("sample_grid", f"""WITH d AS ({_DUR}) SELECT vod_id, idx, round(idx * 60.0::DOUBLE, 3) AS "at" FROM (
