@@ -1,0 +1,178 @@
+"""Text columns: folding, tokens, lemmas, content words, grounding. Everything is an expression; no Python per row."""
+
+from __future__ import annotations
+
+import unicodedata
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+# Filler phrases.
+FILLER_PHRASES = [
+    "a ver", "en plan", "o sea", "yo que sé", "la verdad", "es verdad", "no sé", "qué sé yo", "por cierto",
+]
+
+# Stop words.
+STOPWORDS = """
+a acá ah ahí ahora al algo alguien algún alguna algunas alguno algunos ante antes aquí así aun aunque bien bueno cada
+casi claro como cómo con contra cosa cosas cual cuando de del desde donde dos durante e eh el él ella ellas ellos en
+entonces entre era erais eran eras eres es esa esas ese eso esos esta está estaba estaban estado estamos están estar
+estas este esto estos estoy fue fuera fueron hacer hace haces hacia hay incluso ir la las le les literal literalmente
+lo los luego más me menos mi mientras mira mismo mucho muy nada ni ningún no nos nosotros nuestra nuestro nunca o otra
+otro para pero poco por porque pues que qué realmente sabe sabéis sabemos saben sabes ser si sí siempre sin sobre solo
+somos son su sus tal también te tengo tiene tienen tipo toda todo todos tres tú un una uno unos usted va vale vamos
+verdad y ya yo
+""".split()
+
+# Terms too general to name a topic.
+GENERIC_TERMS = [
+    "años", "chat", "directo", "final", "gente", "hombre", "juego", "momento", "mundo", "parte", "persona", "personas",
+    "tema", "tiempo", "tío", "video", "vídeo", "vez",
+]
+
+# Irregular plurals, and endings stripped when more than three letters remain.
+IRREGULAR = {
+    "artistas": "artista", "ilustradores": "ilustrador", "miniaturas": "miniatura", "gestores": "gestor", "trabajos": "trabajo",
+}
+SUFFIXES = ["amientos", "imiento", "aciones", "adores", "adoras", "mente"]
+
+# Numbers that do not name a topic.
+NUMBER_WORDS = ["cero", "uno", "dos", "tres", "cuatro", "cinco", "seis", "siete", "ocho", "nueve"]
+
+WORD = r"[\p{L}\p{N}_]+"
+LATIN = "[A-Za-zÁÉÍÓÚÜÑáéíóúüñ0-9]+"
+TRANSITION = r"\b(cambiando de tema|otra cosa|por cierto|en fin|total que|el caso es)\b"
+
+
+def _plain(char: str) -> str:
+    return "".join(c for c in unicodedata.normalize("NFKD", char) if not unicodedata.combining(c))
+
+
+# Lower-case Latin letters whose decomposition is one plain letter, found by rule rather than listed.
+_ACCENTED = [chr(c) for c in range(0xC0, 0x250) if chr(c).islower() and len(_plain(chr(c))) == 1 and _plain(chr(c)).isascii()]
+ACCENTED, PLAIN = "".join(_ACCENTED), "".join(_plain(c) for c in _ACCENTED)
+
+
+def fold_word(word: str) -> str:
+    return _plain(word.casefold())
+
+
+STOP_FOLDED = sorted({fold_word(w) for w in STOPWORDS})
+GENERIC_FOLDED = sorted({fold_word(w) for w in GENERIC_TERMS})
+
+
+def fold(text: Column) -> Column:
+    """Case folded, accents and combining marks dropped."""
+    lowered = F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))
+    return F.regexp_replace(F.translate(lowered, ACCENTED, PLAIN), "[̀-ͯ]", "")
+
+
+def normalize(text: Column) -> Column:
+    return F.array_join(F.regexp_extract_all(fold(text), F.lit("[a-z0-9]+"), F.lit(0)), " ")
+
+
+def words(text: Column) -> Column:
+    return F.regexp_extract_all(F.replace(F.lower(text), F.lit("ß"), F.lit("ss")), F.lit(WORD), F.lit(0))
+
+
+def latin_tokens(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(LATIN), F.lit(0))
+
+
+def fold_token(token: Column) -> Column:
+    """Fold of one Latin token; its alphabet is small."""
+    return F.translate(F.lower(token), "áéíóúüñ", "aeiouun")
+
+
+def lemma(folded: Column) -> Column:
+    """Plain stem of a folded token."""
+    out = F.when(folded == list(IRREGULAR)[0], list(IRREGULAR.values())[0])
+    for plural, singular in list(IRREGULAR.items())[1:]:
+        out = out.when(folded == plural, singular)
+    for suffix in SUFFIXES:
+        out = out.when(folded.endswith(suffix) & (F.length(folded) > len(suffix) + 3), F.left(folded, F.length(folded) - len(suffix)))
+    out = out.when(folded.endswith("es") & (F.length(folded) > 5), F.left(folded, F.length(folded) - 2))
+    out = out.when(folded.endswith("s") & (F.length(folded) > 4), F.left(folded, F.length(folded) - 1))
+    return out.otherwise(folded)
+
+
+def is_content(folded: Column) -> Column:
+    return (F.length(folded) >= 4) & ~folded.isin(STOP_FOLDED) & ~folded.isin(GENERIC_FOLDED)
+
+
+def bind(value: Column, body) -> Column:
+    """Evaluate `value` once and hand it to `body`; repeated references would otherwise be evaluated again each time."""
+    return F.transform(F.array(value), body)[0]
+
+
+def filler_ratio(text: Column) -> Column:
+    """Share of tokens whose folded form is in the *accented* stop word list; 1 for no tokens."""
+    plain_stops = [w for w in STOPWORDS if w == fold_word(w)]
+    return bind(
+        latin_tokens(text),
+        lambda t: F.when(F.size(t) == 0, 1.0).otherwise(F.size(F.filter(t, lambda x: fold_token(x).isin(plain_stops))) / F.size(t)),
+    )
+
+
+def repeated_text_ratio(text: Column) -> Column:
+    """1 - distinct / all word trigrams; 0 under four words."""
+    def trigrams(w: Column) -> Column:
+        one = F.greatest(F.size(w), F.lit(1))
+        zipped = F.arrays_zip(w.alias("a"), F.slice(w, 2, one).alias("b"), F.slice(w, 3, one).alias("c"))
+        # Strings hash; structs would be compared pair by pair.
+        return F.transform(zipped, lambda z: F.concat_ws(" ", z["a"], z["b"], z["c"]))
+
+    return bind(
+        F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0)),
+        lambda w: F.when(F.size(w) < 4, 0.0).otherwise(
+            1 - F.size(F.array_distinct(F.slice(trigrams(w), 1, F.size(w) - 2))) / (F.size(w) - 2)
+        ),
+    )
+
+
+def grounded(normal_term: Column, normal_text: Column, text_lemmas: Column, original: Column | None = None) -> Column:
+    """Struct (ok, evidence) for a term against a text, both normalised; `text_lemmas` are the lemmas of the text."""
+    parts = F.split(normal_term, " ")
+    lemmas = F.transform(F.filter(parts, lambda p: (p != "") & is_content(p)), lemma)
+    alias = (normal_term == "ia") & F.contains(normal_text, F.lit("inteligencia artificial"))
+    literal = (normal_term != "") & F.contains(F.concat(F.lit(" "), normal_text, F.lit(" ")), F.concat(F.lit(" "), normal_term, F.lit(" ")))
+    covered = (F.size(lemmas) > 0) & (F.size(F.array_except(lemmas, text_lemmas)) == 0)
+    shown = original if original is not None else normal_term
+    evidence = (
+        F.when(alias, F.array(F.lit("inteligencia artificial"))).when(literal, F.array(shown)).when(covered, lemmas)
+        .otherwise(F.array().cast("array<string>"))
+    )
+    return F.struct((alias | literal | covered).alias("ok"), evidence.alias("evidence"))
+
+
+def lemmas_of(normal_text: Column) -> Column:
+    return F.array_distinct(F.transform(F.filter(F.split(normal_text, " "), lambda p: p != ""), lemma))
+
+
+def title_terms(title: Column, speaker: str) -> Column:
+    """Content tokens, all-capital tokens and digits of a title without its speaker prefix."""
+    stripped = F.regexp_replace(title, rf"(?i)^{speaker}\s+(habla|comenta|explica)\s+(sobre\s+)?", "")
+    upper = lambda t: (F.upper(t) == t) & (F.lower(t) != t)
+    return F.filter(latin_tokens(stripped), lambda t: is_content(fold_token(t)) | upper(t) | t.rlike("^[0-9]+$"))
+
+
+def sentences(text: Column) -> Column:
+    return F.transform(F.split(text, r"(?<=[.!?])\s+"), lambda s: F.regexp_replace(s, r"^\s+|\s+$", ""))
+
+
+def plain_words(text: Column) -> Column:
+    """White-space separated words."""
+    return F.filter(F.split(text, r"\s+"), lambda w: w != "")
+
+
+def sentence_key(sentence: Column) -> Column:
+    return F.trim(F.regexp_replace(F.replace(F.lower(sentence), F.lit("ß"), F.lit("ss")), r"[^\p{L}\p{N}_]+", " "))
+
+
+def jaccard(first: Column, second: Column) -> Column:
+    return F.size(F.array_intersect(first, second)) / F.greatest(F.lit(1), F.size(F.array_union(first, second)))
+
+
+def containment(own: Column, other: Column) -> Column:
+    """Share of the own words that the other set has."""
+    return F.size(F.array_intersect(own, other)) / F.greatest(F.lit(1), F.size(F.array_distinct(own)))
