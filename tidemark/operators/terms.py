@@ -16,21 +16,21 @@ def term_counts(texts: DataFrame, keys: Sequence[str], text: str = "text") -> Da
     Tokens are zipped with their two successors inside the row, so no shuffle is needed before the map-side
     combined count.
     """
+    marked = F.transform(
+        tx.latin_tokens(F.col(text)),
+        lambda t: tx.bind(tx.fold_token(t), lambda f: F.struct(F.lower(t).alias("w"), F.when(tx.is_content(f), f).alias("f"))),
+    )
     shifted = tx.bind(
-        F.transform(tx.latin_tokens(F.col(text)), lambda t: F.lower(t)),
-        lambda t: F.arrays_zip(
-            t.alias("a"), F.slice(t, 2, F.greatest(F.size(t), F.lit(1))).alias("b"), F.slice(t, 3, F.greatest(F.size(t), F.lit(1))).alias("c")
+        marked,
+        lambda m: F.arrays_zip(
+            m.alias("a"), F.slice(m, 2, F.greatest(F.size(m), F.lit(1))).alias("b"), F.slice(m, 3, F.greatest(F.size(m), F.lit(1))).alias("c")
         ),
     )
-    rows = texts.select(*keys, F.explode(shifted).alias("z"))
-    rows = rows.select(*keys, "z.*")
-    good = {n: F.coalesce(tx.is_content(tx.fold_token(F.col(n))), F.lit(False)) for n in "abc"}
-    rows = rows.withColumns({f"ok_{n}": g for n, g in good.items()})
-    single = F.when(F.col("ok_a"), tx.lemma(tx.fold_token(F.col("a"))))
-    pair, triple = F.concat_ws(" ", "a", "b"), F.concat_ws(" ", "a", "b", "c")
-    two = F.when(F.col("ok_a") & F.col("ok_b") & ~pair.isin(tx.FILLER_PHRASES), pair)
-    three = F.when(F.col("ok_a") & F.col("ok_c") & ~triple.isin(tx.FILLER_PHRASES), triple)
-    terms = rows.select(*keys, F.explode(F.array_compact(F.array(single, two, three))).alias("term"))
+    rows = texts.select(*keys, F.explode(shifted).alias("z")).select(*keys, "z.*").where("a.f IS NOT NULL")
+    pair, triple = F.concat_ws(" ", "a.w", "b.w"), F.concat_ws(" ", "a.w", "b.w", "c.w")
+    two = F.when(F.col("b.f").isNotNull() & ~pair.isin(tx.FILLER_PHRASES), pair)
+    three = F.when(F.col("c.f").isNotNull() & ~triple.isin(tx.FILLER_PHRASES), triple)
+    terms = rows.select(*keys, F.explode(F.array_compact(F.array(tx.lemma(F.col("a.f")), two, three))).alias("term"))
     return terms.groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("frequency"))
 
 
@@ -78,18 +78,25 @@ def distinctive_terms(
         return tx.bind(quarters, lambda q: F.array_sort(F.transform(q["counted"], lambda t: rank(q, t))))
 
     def rank(q: Column, t: Column) -> Column:
-        plain = tx.normalize(t["term"])
-        hits = sum((F.contains(q[f"q{i}"], plain).cast("int") for i in range(4)), F.lit(0))
-        spread = hits / 4
         idf = F.log((1 + q["documents"]) / (1 + t["document_frequency"])) + 1
-        value = (
-            F.log1p(t["frequency"]) * idf * (0.65 + 0.35 * spread) * F.when(F.contains(t["term"], F.lit(" ")), 1.35).otherwise(1.0)
+        base = (
+            F.log1p(t["frequency"]) * idf * F.when(F.contains(t["term"], F.lit(" ")), 1.35).otherwise(1.0)
             * F.when(t["term"].isin(tx.GENERIC_TERMS), 0.35).otherwise(1.0)
         )
-        return F.struct(
-            (-F.round(value, 9)).alias("o1"), (-t["frequency"]).alias("o2"), t["term"].alias("term"), value.alias("score"),
-            t["frequency"].alias("frequency"), t["document_frequency"].alias("document_frequency"), spread.alias("distribution"),
-        )
+
+        def spread(plain: Column) -> Column:
+            return sum((F.contains(q[f"q{i}"], plain).cast("int") for i in range(4)), F.lit(0)) / 4
+
+        def scored(share: Column) -> Column:
+            return F.struct(share.alias("share"), (base * (0.65 + 0.35 * share)).alias("score"))
+
+        def entry(s: Column) -> Column:
+            return F.struct(
+                (-F.round(s["score"], 9)).alias("o1"), (-t["frequency"]).alias("o2"), t["term"].alias("term"), s["score"].alias("score"),
+                t["frequency"].alias("frequency"), t["document_frequency"].alias("document_frequency"), s["share"].alias("distribution"),
+            )
+
+        return tx.bind(tx.normalize(t["term"]), lambda plain: tx.bind(spread(plain), lambda share: tx.bind(scored(share), entry)))
 
     packed = F.struct("n", "counted", "documents")
     ranked = tx.bind(packed, score)
