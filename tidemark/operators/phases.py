@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.config import LAYOUT, PHASES
-from tidemark.operators.timeline import KEYS, representatives
+from tidemark.config import GAMEPLAY_WORDS, LAYOUT, PHASE, PHASES, TALKING_WORDS, PhaseConfig
+from tidemark.operators.chunked import attach_by_piece, index_chunk, number_runs, ordered_scan
+from tidemark.operators.timeline import KEYS, ordered_labels, representatives, robust_confidence
+from tidemark.session import cut_lineage
+
+MICRO = 1_000_000
 
 
 def windows_from_layout(
@@ -24,3 +30,309 @@ def windows_from_layout(
         F.col("phase").alias("raw_phase"), F.col("new_phase").alias("phase"), *scores,
         F.array_compact(F.array(changed)).alias("smoothing_reasons"),
     )
+
+
+def _clamp(value: Column) -> Column:
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), value))
+
+
+def _ratio(value: Column, threshold: float) -> Column:
+    return _clamp(value / max(threshold, 1e-6))
+
+
+def _flag(condition: Column) -> Column:
+    return F.when(condition, 1.0).otherwise(0.0)
+
+
+def classify_windows(windows: DataFrame, keys: Sequence[str] = KEYS, config: PhaseConfig = PHASE) -> DataFrame:
+    """Scores, raw phase, confidence, reasons and warnings of every window from its audio, probe and visual structs.
+
+    Optional columns `chapter_phase` and `chapter_reason` add the chapter hint.
+    """
+    w, c = config.weights, config
+    for name in ("chapter_phase", "chapter_reason"):
+        if name not in windows.columns:
+            windows = windows.withColumn(name, F.lit(None).cast("string"))
+    seen = F.coalesce(F.col("visual.sampled"), F.lit(False))
+    tried = F.coalesce(F.col("probe.attempted"), F.lit(False))
+    number = lambda name, default=0.0: F.coalesce(F.col(f"audio.{name}"), F.lit(default))
+    probed = lambda name: F.when(tried, F.coalesce(F.col(f"probe.{name}"), F.lit(0.0))).otherwise(0.0)
+    visual = lambda name: F.when(seen, F.coalesce(F.col(f"visual.{name}"), F.lit(0.0))).otherwise(0.0)
+    base = windows.withColumns({
+        "voice": number("voice_ratio"), "continuity": number("speech_continuity"), "silence": number("silence_ratio", 1.0),
+        "dynamics": number("dynamic_range"), "music": number("energy_continuity"),
+        "quality": probed("transcript_quality_score"), "words": probed("words_per_second"), "repetition": probed("repeated_text_ratio"),
+        "spoken": F.coalesce(F.col("probe.language") == c.language, F.lit(False)), "said": F.lower(F.coalesce("probe.text", F.lit(""))),
+        "motion": visual("motion_score"), "scene": visual("scene_change_score"),
+        "hint": F.when(seen, F.col("visual.layout_hint")).otherwise("unknown"),
+        "face": seen & F.coalesce(F.col("visual.face_present"), F.lit(False)),
+        "no_audio": F.col("audio").isNull(), "no_visual": ~seen,
+    })
+    v = {n: F.col(n) for n in base.columns}
+    says = lambda words: F.exists(F.array(*[F.lit(x) for x in words]), lambda x: F.contains(v["said"], x))
+    game_words, talk_words = says(GAMEPLAY_WORDS), says(TALKING_WORDS)
+    talking = (
+        w["talking_voice"] * _ratio(v["voice"], c.talking_voice) + w["talking_continuity"] * _ratio(v["continuity"], c.talking_continuity)
+        + w["talking_transcript"] * _ratio(v["quality"], c.talking_quality) + w["talking_words"] * _ratio(v["words"], c.talking_words)
+        + w["talking_spanish"] * _flag(v["spoken"])
+        + w["talking_face"] * _flag(v["face"] & v["hint"].isin("fullscreen_camera_hint", "facecam_overlay_hint"))
+        + w["talking_low_motion"] * (1 - _ratio(v["motion"], c.gameplay_motion * 1.5)) - w["talking_repetition_penalty"] * v["repetition"]
+        + 0.06 * _flag(talk_words) + 0.08 * _flag(F.coalesce(v["chapter_phase"] == "talking", F.lit(False)))
+    )
+    waiting = (
+        w["waiting_low_voice"] * (1 - _ratio(v["voice"], c.waiting_voice)) + w["waiting_silence"] * v["silence"]
+        + w["waiting_repetition"] * v["repetition"] + w["waiting_music"] * v["music"] * (1 - v["voice"] * 0.5)
+        + w["waiting_no_face"] * _flag(~v["face"]) + w["waiting_stable_visual"] * (1 - _ratio(F.greatest(v["motion"], v["scene"]), c.gameplay_motion))
+    )
+    broken = _clamp((v["voice"] - v["continuity"]) * 2 + F.when((v["voice"] > 0.1) & (v["voice"] < 0.55), 0.35).otherwise(0.0))
+    gameplay = (
+        w["gameplay_motion"] * _ratio(v["motion"], c.gameplay_motion) + w["gameplay_scene"] * _ratio(v["scene"], c.gameplay_scene)
+        + w["gameplay_overlay"] * _flag(v["hint"] == "facecam_overlay_hint") + w["gameplay_dynamics"] * _ratio(v["dynamics"], 0.18)
+        + w["gameplay_fragmented_speech"] * broken + 0.10 * _flag(game_words) + 0.08 * _flag(F.coalesce(v["chapter_phase"] == "gameplay", F.lit(False)))
+    )
+    scored = base.withColumns({
+        "waiting_or_music": F.round(_clamp(waiting), 9), "talking": F.round(_clamp(talking), 9), "gameplay": F.round(_clamp(gameplay), 9),
+        "game_words": game_words, "talk_words": talk_words,
+    })
+    # The best three scores in falling order; rounding to nine digits keeps equal sums equal.
+    top = F.sort_array(F.array("waiting_or_music", "talking", "gameplay"), asc=False)
+    scored = scored.withColumns({"best": top[0], "margin": F.round(top[0] - top[1], 9)})
+    missing = (_flag(F.col("no_audio")) + _flag(F.col("no_visual"))) / 2
+    ambiguity = 1 - _clamp(F.col("margin") / max(c.min_margin, 0.01))
+    winner = F.when(F.col("waiting_or_music") == F.col("best"), "waiting_or_music").when(F.col("talking") == F.col("best"), "talking").otherwise("gameplay")
+    blind = F.col("no_audio") & F.col("no_visual")
+    weak = (F.col("best") < c.min_confidence) | (F.col("margin") < c.min_margin)
+    scored = scored.withColumn("unknown", F.round(_clamp(0.08 + 0.72 * missing + 0.35 * ambiguity), 9))
+    scored = scored.withColumn("raw_phase", F.when(blind | weak, "unknown").otherwise(winner))
+    reason = lambda condition, text: F.when(condition, F.lit(text))
+    reasons = F.array_compact(F.array(
+        reason(v["voice"] >= c.talking_voice, "high_voice_ratio"), reason(v["continuity"] >= c.talking_continuity, "continuous_speech"),
+        reason(v["quality"] >= c.talking_quality, "high_transcript_quality"), reason(v["spoken"] & (v["quality"] > 0), "spanish_speech_probe"),
+        reason(v["repetition"] >= 0.35, "repetitive_transcript"), reason(v["silence"] >= 0.75, "long_silence_ratio"),
+        reason(v["face"] & (v["hint"] == "fullscreen_camera_hint"), "stable_large_face"),
+        reason(v["hint"] == "facecam_overlay_hint", "overlay_facecam_layout"), reason(v["motion"] >= c.gameplay_motion, "high_motion"),
+        reason(v["scene"] >= c.gameplay_scene, "high_scene_change"), reason(F.col("game_words"), "gameplay_language_hint"),
+        reason(F.col("talk_words"), "conversation_language_hint"), F.col("chapter_reason"),
+        F.when(blind, "insufficient_audio_and_visual_signals").when(weak, "contradictory_or_low_confidence_signals"),
+    ))
+    warnings = F.array_compact(F.array(
+        reason(v["no_audio"], "audio_signals_unavailable"), reason(v["no_visual"], "visual_signals_unavailable")
+    ))
+    return scored.select(
+        *keys, "idx", "start", "end", "raw_phase", F.when(F.col("raw_phase") == "unknown", F.col("unknown")).otherwise(F.col("best")).alias("raw_confidence"),
+        *PHASES, reasons.alias("reasons"), warnings.alias("warnings"),
+    )
+
+
+# ---------------------------------------------------------------------------------------------------------
+# Minimum-cost path. Costs are whole millionths, so that partial sums may be added in any grouping.
+
+
+def _penalty_matrix(config: PhaseConfig) -> np.ndarray:
+    p = config.penalties
+    out = np.full((4, 4), round(p["common"] * MICRO), dtype=np.int64)
+    for i, a in enumerate(PHASES):
+        for j, b in enumerate(PHASES):
+            if i == j:
+                out[i, j] = round(p["same"] * MICRO)
+            elif "unknown" in (a, b):
+                out[i, j] = round(p["unknown"] * MICRO)
+            elif (a, b) == ("waiting_or_music", "gameplay"):
+                out[i, j] = round(p["waiting_gameplay"] * MICRO)
+            elif (a, b) == ("gameplay", "waiting_or_music"):
+                out[i, j] = round(p["gameplay_waiting"] * MICRO)
+    return out
+
+
+def compose_scan(
+    elements: DataFrame, keys: Sequence[str], compose: Callable, apply: Callable, start: DataFrame, *, fan: int = 1024, backward: bool = False
+) -> DataFrame:
+    """State before every element of an ordered list of composable steps.
+
+    `elements` has `keys`, `seq` and `step array<bigint>`; `compose(a, b)` is the step "a, then b" and
+    `apply(state, step)` moves a state over a step; `start` has `keys` and `state array<bigint>`. Neighbouring
+    steps are composed in groups of `fan`, twice, so a group never has more than `fan` rows except at the top,
+    which holds one row per `fan`² elements of a key.
+    """
+    key_fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in elements.select(*keys).schema.fields)
+    direction = not backward
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("seq", ascending=direction)
+        total = None
+        for step in pdf["step"]:
+            step = np.asarray(step, dtype=np.int64)
+            total = step if total is None else compose(total, step)
+        return pdf.head(1)[list(keys)].assign(seq=pdf["seq"].iloc[0] // fan, step=[total.tolist()])
+
+    def spread(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("seq", ascending=direction)
+        state, states = np.asarray(pdf["state"].iloc[0], dtype=np.int64), []
+        for step in pdf["step"]:
+            states.append(state.tolist())
+            state = apply(state, np.asarray(step, dtype=np.int64))
+        return pdf[[*keys, "seq"]].assign(state=states)
+
+    out_step, out_state = f"{key_fields}, seq long, step array<bigint>", f"{key_fields}, seq long, state array<bigint>"
+    level0 = cut_lineage(elements.select(*keys, F.col("seq").cast("long").alias("seq"), "step"))
+    group = F.floor(F.col("seq") / fan).cast("long")
+    level1 = cut_lineage(level0.withColumn("__g", group).groupBy(*keys, "__g").applyInPandas(lambda p: fold(p), out_step))
+    level2 = level1.withColumn("__g", group).groupBy(*keys, "__g").applyInPandas(lambda p: fold(p), out_step)
+    top = level2.join(start, list(keys)).groupBy(*keys).applyInPandas(spread, out_state)
+    for level in (level1, level0):
+        down = level.withColumn("__g", group).join(top.withColumnRenamed("seq", "__g"), [*keys, "__g"])
+        top = down.groupBy(*keys, "__g").applyInPandas(spread, out_state)
+    return top
+
+
+def _min_plus(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return (a.reshape(4, 4)[:, :, None] + b.reshape(4, 4)[None, :, :]).min(axis=1).reshape(-1)
+
+
+def smooth_phases(windows: DataFrame, keys: Sequence[str] = KEYS, config: PhaseConfig = PHASE, rows: int = 2048) -> DataFrame:
+    """Cheapest phase path through a recording. Adds `phase`, `confidence` and `smoothing_reasons`.
+
+    A chunk of windows is a 4x4 matrix of path costs, and such matrices compose. So each chunk first gets the costs
+    it is entered with, then (from the last chunk back) the state it ends in, and only then walks its own windows.
+    """
+    penalty = _penalty_matrix(config)
+    key_fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in windows.select(*keys).schema.fields)
+    cost = F.array(*[F.round((1 - F.col(p)) * MICRO).cast("long") for p in PHASES])
+    slim = windows.select(*keys, "idx", cost.alias("cost")).withColumn("seq", index_chunk("idx", rows))
+    slim = cut_lineage(slim)
+
+    def costs(pdf: pd.DataFrame) -> np.ndarray:
+        return np.array(pdf.sort_values("idx")["cost"].tolist(), dtype=np.int64)
+
+    def matrix(pdf: pd.DataFrame) -> pd.DataFrame:
+        emission, first = costs(pdf), pdf["seq"].iloc[0] == 0
+        total = None
+        for number, e in enumerate(emission):
+            step = (np.zeros((4, 4), dtype=np.int64) if first and number == 0 else penalty) + e[None, :]
+            total = step.reshape(-1) if total is None else _min_plus(total, step.reshape(-1))
+        return pdf.head(1)[[*keys, "seq"]].assign(step=[total.tolist()])
+
+    def walk(emission: np.ndarray, entry: np.ndarray, first: bool):
+        current, back = entry, []
+        for number, e in enumerate(emission):
+            options = current[:, None] + (np.zeros_like(penalty) if first and number == 0 else penalty)
+            back.append(options.argmin(axis=0))
+            current = options.min(axis=0) + e
+        return current, back
+
+    def ends(pdf: pd.DataFrame) -> pd.DataFrame:
+        entry = np.asarray(pdf["state"].iloc[0], dtype=np.int64)
+        final, back = walk(costs(pdf), entry, pdf["seq"].iloc[0] == 0)
+        origin = []
+        for state in range(4):
+            for b in reversed(back):
+                state = b[state]
+            origin.append(int(state))
+        return pdf.head(1)[[*keys, "seq"]].assign(step=[origin], last=int(final.argmin()))
+
+    def path(pdf: pd.DataFrame) -> pd.DataFrame:
+        entry, state = np.asarray(pdf["state"].iloc[0], dtype=np.int64), int(pdf["end_state"].iloc[0][0])
+        _, back = walk(costs(pdf), entry, pdf["seq"].iloc[0] == 0)
+        states = []
+        for b in reversed(back):
+            states.append(state)
+            state = int(b[state])
+        return pdf.sort_values("idx")[[*keys, "idx"]].assign(phase=[PHASES[s] for s in reversed(states)])
+
+    by = [*keys, "seq"]
+    matrices = slim.groupBy(*by).applyInPandas(matrix, f"{key_fields}, seq long, step array<bigint>")
+    zero = slim.select(*keys).distinct().withColumn("state", F.array(*[F.lit(0).cast("long")] * 4))
+    entries = cut_lineage(compose_scan(matrices, keys, _min_plus, lambda s, m: (s[:, None] + m.reshape(4, 4)).min(axis=0), zero))
+    entered = slim.join(entries, by)
+    origins = cut_lineage(entered.groupBy(*by).applyInPandas(ends, f"{key_fields}, seq long, step array<bigint>, last long"))
+    final = origins.groupBy(*keys).agg(F.array(F.max_by("last", "seq")).alias("state"))
+    finals = compose_scan(origins.drop("last"), keys, lambda a, b: b[a], lambda s, m: m[s], final, backward=True)
+    ready = entered.join(finals.withColumnRenamed("state", "end_state"), by)
+    paths = ready.groupBy(*by).applyInPandas(path, f"{key_fields}, idx long, phase string")
+    joined = windows.join(paths, [*keys, "idx"])
+    score = F.coalesce(*[F.when(F.col("phase") == p, F.col(p)) for p in PHASES])
+    moved = F.col("phase") != F.col("raw_phase")
+    return joined.withColumns({
+        "confidence": _clamp((F.col("raw_confidence") + score) / 2),
+        "smoothing_reasons": F.array_compact(F.array(
+            F.when(moved, "temporal_viterbi_smoothing"), F.when(moved & (F.col("raw_phase") == "unknown"), "smoothed_short_unknown_gap"))),
+    })
+
+
+def bridge_unknown_gaps(windows: DataFrame, keys: Sequence[str] = KEYS, radius: int = PHASE.radius) -> DataFrame:
+    """Unknown windows between two equal phases take that phase, from left to right.
+
+    For an unknown run between equal phases, the last `radius` windows see the phase on their right, and the first
+    of those is reached from the left only if it lies within `radius` of the run's start; from there every later
+    window follows. So the outcome depends on the run's bounds alone, and no window waits for another.
+    """
+    rows = number_runs(windows, keys, ["idx"], index_chunk("idx"), "phase")
+    rows = cut_lineage(rows)
+    runs = rows.groupBy(*keys, "run").agg(F.min("phase").alias("run_phase"), F.min("idx").alias("run_a"), F.max("idx").alias("run_b"))
+    runs = ordered_scan(runs, keys, ["run"], index_chunk("run"), lag={"left_phase": F.col("run_phase")}, lead={"right_phase": F.col("run_phase")})
+    first = F.greatest(F.col("run_a"), F.col("run_b") + 1 - radius)
+    bridged = (F.col("run_phase") == "unknown") & (F.col("left_phase") == F.col("right_phase")) & (first - F.col("run_a") + 1 <= radius)
+    per_run = runs.select(*keys, "run", F.when(bridged, first).alias("bridge_from"), F.col("left_phase").alias("bridge_phase"))
+    joined = attach_by_piece(rows, per_run, keys, "run", index_chunk("idx"))
+    hit = F.coalesce(F.col("idx") >= F.col("bridge_from"), F.lit(False))
+    score = F.coalesce(*[F.when(F.col("bridge_phase") == p, F.col(p)) for p in PHASES])
+    return joined.withColumns({
+        "confidence": F.when(hit, score).otherwise(F.col("confidence")),
+        "smoothing_reasons": F.when(hit, F.array_append("smoothing_reasons", F.lit("smoothed_short_unknown_gap"))).otherwise(F.col("smoothing_reasons")),
+        "phase": F.when(hit, F.col("bridge_phase")).otherwise(F.col("phase")),
+    }).drop("run", "bridge_from", "bridge_phase")
+
+
+def _phase_runs(windows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    gap = lambda a, b: F.abs(a["end"] - b["start"]) > 0.01
+    return number_runs(windows, keys, ["idx"], index_chunk("idx"), "phase", edge=("start", "end"), gap=gap)
+
+
+def _segments(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    merged = rows.groupBy(*keys, "run").agg(
+        F.min_by("start", "idx").alias("start"), F.max_by("end", "idx").alias("end"), F.min("phase").alias("phase"), F.count(F.lit(1)).alias("window_count"),
+        F.bool_or(F.array_contains("reasons", "high_motion") | F.array_contains("reasons", "high_scene_change")).alias("lively"),
+    )
+    return merged.join(robust_confidence(rows, [*keys, "run"]), [*keys, "run"]).withColumnRenamed("robust_confidence", "confidence")
+
+
+def merge_phase_runs(windows: DataFrame, keys: Sequence[str] = KEYS, labels: bool = True) -> DataFrame:
+    """Neighbouring windows of one phase become a segment; a hole in time also ends it."""
+    rows = cut_lineage(_phase_runs(windows, keys))
+    merged = _segments(rows, keys)
+    if labels:
+        both = rows.withColumn("both", F.concat("reasons", "smoothing_reasons"))
+        merged = merged.join(ordered_labels(both, [*keys, "run"], "both", "idx", "reasons"), [*keys, "run"], "left")
+        merged = merged.join(ordered_labels(rows, [*keys, "run"], "warnings", "idx", "warnings"), [*keys, "run"], "left")
+        empty = F.array().cast("array<string>")
+        merged = merged.withColumns({"reasons": F.coalesce("reasons", empty), "warnings": F.coalesce("warnings", empty)})
+    return merged
+
+
+def absorb_microsegments(windows: DataFrame, keys: Sequence[str] = KEYS, config: PhaseConfig = PHASE) -> DataFrame:
+    """Short inner segments without a strong transition take the phase around them. One pass over fixed segments."""
+    rows = cut_lineage(_phase_runs(windows, keys))
+    near = ordered_scan(_segments(rows, keys), keys, ["run"], index_chunk("run"), lag={"left_phase": F.col("phase")}, lead={"right_phase": F.col("phase")})
+    weak = F.col("confidence") < 0.55
+    limit = F.when((F.col("phase") == "waiting_or_music") & weak, max(config.microsegment_max, config.waiting_min_segment)).when(
+        (F.col("phase") == "gameplay") & weak, max(config.microsegment_max, config.gameplay_min_segment)
+    ).otherwise(config.microsegment_max)
+    absorbed = (
+        (F.col("end") - F.col("start") <= limit) & (F.col("left_phase") == F.col("right_phase")) & (F.col("confidence") < 0.72) & ~F.col("lively")
+    )
+    per_run = near.select(*keys, "run", F.when(absorbed, F.col("left_phase")).alias("absorb_phase"))
+    joined = attach_by_piece(rows, per_run, keys, "run", index_chunk("idx"))
+    hit = F.col("absorb_phase").isNotNull()
+    score = F.coalesce(*[F.when(F.col("absorb_phase") == p, F.col(p)) for p in PHASES])
+    return joined.withColumns({
+        "confidence": F.when(hit, score).otherwise(F.col("confidence")),
+        "smoothing_reasons": F.when(hit, F.array_append("smoothing_reasons", F.lit("merged_low_confidence_transition"))).otherwise(F.col("smoothing_reasons")),
+        "phase": F.when(hit, F.col("absorb_phase")).otherwise(F.col("phase")),
+    }).drop("run", "absorb_phase")
+
+
+def phase_timeline(windows: DataFrame, keys: Sequence[str] = KEYS, config: PhaseConfig = PHASE) -> DataFrame:
+    """Classify, smooth, bridge, absorb and merge: the phase segments of every recording."""
+    raw = cut_lineage(classify_windows(windows, keys, config))
+    smoothed = bridge_unknown_gaps(smooth_phases(raw, keys, config), keys, config.radius)
+    return merge_phase_runs(absorb_microsegments(smoothed, keys, config), keys)
