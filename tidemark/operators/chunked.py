@@ -239,23 +239,6 @@ def chain_starts(df: DataFrame, keys: Sequence[str], *, rows: int = 4096, fan: i
     schema = f"{key_fields}, pos long, nxt long"
     level0 = cut_lineage(df.select(*keys, F.col("pos").cast("long"), F.col("nxt").cast("long")))
 
-    def contract(level: DataFrame, size: int) -> DataFrame:
-        cut = level.withColumn("__c", F.floor(F.col("pos") / size).cast("long"))
-
-        def step(pdf: pd.DataFrame) -> pd.DataFrame:
-            return _exits(size)(pdf)[[*keys, "pos", "nxt"]]
-
-        return cut.groupBy(*keys, "__c").applyInPandas(step, schema)
-
-    def entries(level: DataFrame) -> DataFrame:
-        firsts = level.groupBy(*keys).agg(F.min("pos").alias("pos"))
-        return level.select(*keys, F.col("nxt").alias("pos")).unionByName(firsts).distinct()
-
-    exits0 = cut_lineage(contract(level0, rows))
-    level1 = exits0.join(entries(exits0), [*keys, "pos"])
-    exits1 = cut_lineage(contract(level1, rows * fan))
-    level2 = exits1.join(entries(exits1), [*keys, "pos"])
-
     def walk():
         def step(pdf: pd.DataFrame) -> pd.DataFrame:
             pdf = pdf.sort_values("pos")
@@ -275,6 +258,26 @@ def chain_starts(df: DataFrame, keys: Sequence[str], *, rows: int = 4096, fan: i
         return marked.withColumn("__c", chunk.cast("long")).groupBy(*keys, "__c").applyInPandas(walk(), schema)
 
     first = level0.groupBy(*keys).agg(F.min("pos").alias("pos"))
+    if (level0.agg(F.max("pos")).first()[0] or 0) < rows:
+        return visited(level0, first, rows).select(*keys, "pos")  # every chain fits one chunk
+
+    def contract(level: DataFrame, size: int) -> DataFrame:
+        cut = level.withColumn("__c", F.floor(F.col("pos") / size).cast("long"))
+
+        def step(pdf: pd.DataFrame) -> pd.DataFrame:
+            return _exits(size)(pdf)[[*keys, "pos", "nxt"]]
+
+        return cut.groupBy(*keys, "__c").applyInPandas(step, schema)
+
+    def entries(level: DataFrame) -> DataFrame:
+        firsts = level.groupBy(*keys).agg(F.min("pos").alias("pos"))
+        return level.select(*keys, F.col("nxt").alias("pos")).unionByName(firsts).distinct()
+
+    exits0 = cut_lineage(contract(level0, rows))
+    level1 = exits0.join(entries(exits0), [*keys, "pos"])
+    exits1 = cut_lineage(contract(level1, rows * fan))
+    level2 = exits1.join(entries(exits1), [*keys, "pos"])
+
     top = visited(level2, first, None).select(*keys, "pos")
     mid = visited(level1, top, rows * fan).select(*keys, "pos")
     return visited(level0, mid, rows).select(*keys, "pos")

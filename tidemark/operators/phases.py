@@ -239,16 +239,27 @@ def smooth_phases(windows: DataFrame, keys: Sequence[str] = KEYS, config: PhaseC
             state = int(b[state])
         return pdf.sort_values("idx")[[*keys, "idx"]].assign(phase=[PHASES[s] for s in reversed(states)])
 
-    by = [*keys, "seq"]
-    matrices = slim.groupBy(*by).applyInPandas(matrix, f"{key_fields}, seq long, step array<bigint>")
-    zero = slim.select(*keys).distinct().withColumn("state", F.array(*[F.lit(0).cast("long")] * 4))
-    entries = cut_lineage(compose_scan(matrices, keys, _min_plus, lambda s, m: (s[:, None] + m.reshape(4, 4)).min(axis=0), zero))
-    entered = slim.join(entries, by)
-    origins = cut_lineage(entered.groupBy(*by).applyInPandas(ends, f"{key_fields}, seq long, step array<bigint>, last long"))
-    final = origins.groupBy(*keys).agg(F.array(F.max_by("last", "seq")).alias("state"))
-    finals = compose_scan(origins.drop("last"), keys, lambda a, b: b[a], lambda s, m: m[s], final, backward=True)
-    ready = entered.join(finals.withColumnRenamed("state", "end_state"), by)
-    paths = ready.groupBy(*by).applyInPandas(path, f"{key_fields}, idx long, phase string")
+    def alone(pdf: pd.DataFrame) -> pd.DataFrame:
+        final, back = walk(costs(pdf), np.zeros(4, dtype=np.int64), True)
+        state, states = int(final.argmin()), []
+        for b in reversed(back):
+            states.append(state)
+            state = int(b[state])
+        return pdf.sort_values("idx")[[*keys, "idx"]].assign(phase=[PHASES[s] for s in reversed(states)])
+
+    by, out = [*keys, "seq"], f"{key_fields}, idx long, phase string"
+    if slim.agg(F.max("seq")).first()[0] in (None, 0):
+        paths = slim.groupBy(*by).applyInPandas(alone, out)  # every recording fits one chunk
+    else:
+        matrices = slim.groupBy(*by).applyInPandas(matrix, f"{key_fields}, seq long, step array<bigint>")
+        zero = slim.select(*keys).distinct().withColumn("state", F.array(*[F.lit(0).cast("long")] * 4))
+        entries = cut_lineage(compose_scan(matrices, keys, _min_plus, lambda s, m: (s[:, None] + m.reshape(4, 4)).min(axis=0), zero))
+        entered = slim.join(entries, by)
+        origins = cut_lineage(entered.groupBy(*by).applyInPandas(ends, f"{key_fields}, seq long, step array<bigint>, last long"))
+        final = origins.groupBy(*keys).agg(F.array(F.max_by("last", "seq")).alias("state"))
+        finals = compose_scan(origins.drop("last"), keys, lambda a, b: b[a], lambda s, m: m[s], final, backward=True)
+        ready = entered.join(finals.withColumnRenamed("state", "end_state"), by)
+        paths = ready.groupBy(*by).applyInPandas(path, out)
     joined = windows.join(paths, [*keys, "idx"])
     score = F.coalesce(*[F.when(F.col("phase") == p, F.col(p)) for p in PHASES])
     moved = F.col("phase") != F.col("raw_phase")
