@@ -130,9 +130,9 @@ def hash_features(texts: DataFrame, keys: Sequence[str], text: str = "text", dim
     features = texts.select(*keys, F.explode(both).alias("f"))
     value = F.conv(F.substring(F.md5("f"), 1, 15), 16, 10).cast("long")
     sums = features.select(*keys, (value % dimensions).alias("dim"), F.when(value % 2 == 1, 1.0).otherwise(-1.0).alias("s"))
-    sums = sums.groupBy(*keys, "dim").agg(F.sum("s").alias("w")).where("w <> 0")
-    lengths = sums.groupBy(*keys).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
-    return sums.join(lengths, list(keys)).select(*keys, "dim", (F.col("w") / F.col("length")).alias("weight"))
+    sums = sums.groupBy(*keys, "dim").agg(F.sum("s").alias("total")).where("total <> 0")
+    lengths = sums.groupBy(*keys).agg(F.sqrt(F.sum(F.col("total") * F.col("total"))).alias("length"))
+    return sums.join(lengths, list(keys)).select(*keys, "dim", (F.col("total") / F.col("length")).alias("weight"))
 
 
 def hash_embedding(texts: DataFrame, keys: Sequence[str], text: str = "text", dimensions: int = 384) -> DataFrame:
