@@ -207,24 +207,38 @@ def select_rounds(
     return source.join(taken, [*keys, rank], "left")
 
 
-# ---------------------------------------------------------------------------------------------------------
-# Pointer chains: greedy packing rules of the form "a group that starts at i ends before next(i)".
+def ordered_fold(
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column], start: Callable, step: Callable, finish: Callable | None, schema: str
+) -> DataFrame:
+    """Run a small state machine over the ordered rows of every key.
 
+    `start()` gives a state, `step(state, row)` yields output rows, `finish(state)` yields the rest at the end of a
+    key; rows are plain tuples in column order. Rows stream through Arrow batches, sorted by Spark: a key is never
+    held in memory, and ten thousand short keys cost one pass instead of ten thousand calls.
+    """
+    columns, names = df.columns, [f.split()[0] for f in schema.split(", ")]
+    at = [columns.index(k) for k in keys]
+
+    def run(batches):
+        current, state = None, None
+        for batch in batches:
+            out = []
+            for row in zip(*[batch[c].tolist() for c in columns]):
+                key = tuple(row[i] for i in at)
+                if key != current:
+                    if state is not None and finish is not None:
+                        out.extend(finish(state))
+                    current, state = key, start()
+                out.extend(step(state, row))
+            yield pd.DataFrame(out, columns=names)
+        if state is not None and finish is not None:
+            yield pd.DataFrame(list(finish(state)), columns=names)
+
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
 
-def _exits(limit: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos")
-        pos, nxt = pdf["pos"].to_numpy(), pdf["nxt"].to_numpy()
-        end = (pos[0] // limit + 1) * limit if len(pos) else 0
-        where = {p: i for i, p in enumerate(pos)}
-        out = nxt.copy()
-        for i in range(len(pos) - 1, -1, -1):
-            if nxt[i] < end and nxt[i] in where:
-                out[i] = out[where[nxt[i]]]
-        pdf = pdf.assign(nxt=out)
-        return pdf
 
-    return run
+# ---------------------------------------------------------------------------------------------------------
+# Pointer chains: greedy packing rules of the form "a group that starts at i ends before next(i)".
 
 
 def chain_starts(df: DataFrame, keys: Sequence[str], *, rows: int = 4096, fan: int = 4096) -> DataFrame:
@@ -239,35 +253,35 @@ def chain_starts(df: DataFrame, keys: Sequence[str], *, rows: int = 4096, fan: i
     schema = f"{key_fields}, pos long, nxt long"
     level0 = cut_lineage(df.select(*keys, F.col("pos").cast("long"), F.col("nxt").cast("long")))
 
-    def walk():
-        def step(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values("pos")
-            follow = dict(zip(pdf["pos"], pdf["nxt"]))
-            seen = set()
-            for at in pdf.loc[pdf["entry"], "pos"]:
-                while at in follow and at not in seen:
-                    seen.add(at)
-                    at = follow[at]
-            return pdf[pdf["pos"].isin(seen)][[*keys, "pos", "nxt"]]
-
-        return step
+    width = len(keys)
 
     def visited(level: DataFrame, starts: DataFrame, size: int | None) -> DataFrame:
-        marked = level.join(starts.withColumn("entry", F.lit(True)), [*keys, "pos"], "left").fillna({"entry": False})
+        marked = level.select(*keys, "pos", "nxt").join(starts.withColumn("entry", F.lit(True)), [*keys, "pos"], "left")
         chunk = F.lit(0) if size is None else F.floor(F.col("pos") / size)
-        return marked.withColumn("__c", chunk.cast("long")).groupBy(*keys, "__c").applyInPandas(walk(), schema)
+        marked = marked.select(*keys, chunk.cast("long").alias("chunk"), "pos", "nxt", F.coalesce("entry", F.lit(False)).alias("entry"))
+
+        def step(state, row):
+            pos, nxt, entry = row[width + 1:]
+            if entry or state["at"] == pos:
+                state["at"] = nxt
+                yield (*row[:width], pos, nxt)
+
+        return ordered_fold(marked, [*keys, "chunk"], [F.col("pos")], lambda: {"at": None}, step, None, schema)
 
     first = level0.groupBy(*keys).agg(F.min("pos").alias("pos"))
     if (level0.agg(F.max("pos")).first()[0] or 0) < rows:
         return visited(level0, first, rows).select(*keys, "pos")  # every chain fits one chunk
 
     def contract(level: DataFrame, size: int) -> DataFrame:
-        cut = level.withColumn("__c", F.floor(F.col("pos") / size).cast("long"))
+        cut = level.select(*keys, F.floor(F.col("pos") / size).cast("long").alias("chunk"), "pos", "nxt")
 
-        def step(pdf: pd.DataFrame) -> pd.DataFrame:
-            return _exits(size)(pdf)[[*keys, "pos", "nxt"]]
+        def step(known, row):
+            chunk, pos, nxt = row[width:]
+            leaves = nxt if nxt >= (chunk + 1) * size else known.get(nxt, nxt)
+            known[pos] = leaves
+            yield (*row[:width], pos, leaves)
 
-        return cut.groupBy(*keys, "__c").applyInPandas(step, schema)
+        return ordered_fold(cut, [*keys, "chunk"], [F.col("pos").desc()], dict, step, None, schema)
 
     def entries(level: DataFrame) -> DataFrame:
         firsts = level.groupBy(*keys).agg(F.min("pos").alias("pos"))

@@ -160,13 +160,12 @@ def q_track_linking(spark, folder):
 
 
 @query("track_stats", with_views("rects", """SELECT clip_id, scene_id, track, count(DISTINCT frame_index) AS frames_seen, median(confidence) AS confidence, median(width * height / 2073600) AS face_area,
-      stddev_pop((x + width / 2) / 1920) + stddev_pop((y + height / 2) / 1080) AS position_spread,
       round(count(DISTINCT frame_index) / any_value(fc) * 1.2 + median(confidence) * 0.5 + least(median(width * height / 2073600) * 12, 0.5) - 2 * (stddev_pop((x + width / 2) / 1920) + stddev_pop((y + height / 2) / 1080)), 9) AS track_score
     FROM (SELECT r.*, frame_index // 4 AS scene_id, det_b % 2 AS track, dense_rank() OVER (PARTITION BY clip_id, frame_index // 4 ORDER BY frame_index) + dense_rank() OVER (PARTITION BY clip_id, frame_index // 4 ORDER BY frame_index DESC) - 1 AS fc FROM rects r) GROUP BY 1, 2, 3"""))
 def q_track_stats(spark, folder):
     d = tracked(spark, folder).withColumn("track", F.col("det_b") % 2)
     frames = d.groupBy(*SCENE).agg(F.count_distinct("frame_index").alias("frame_count"))
-    return bx.track_stats(d, SCENE, frames).select(*SCENE, "track", "frames_seen", "confidence", "face_area", "position_spread", "track_score")
+    return bx.track_stats(d, SCENE, frames).select(*SCENE, "track", "frames_seen", "confidence", "face_area", "track_score")
 
 
 def scene_segments(spark, folder):
