@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-_MODULES = ("timeline", "scalar", "intervals", "text", "phases", "transcripts", "boxes", "candidates")
+_MODULES = ("timeline", "scalar", "intervals", "text", "phases", "transcripts", "boxes", "candidates", "io")
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}

@@ -34,7 +34,7 @@ def q_label(spark, folder):
 
 
 @query("candidate_title", """SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN CASE WHEN contains(lower(text), 'en') THEN 'Speaker habla sobre la IA y los ilustradores' ELSE 'Speaker habla sobre la IA y los ilustradores' END WHEN 1 THEN 'Speaker habla sobre los gestores de contenido de los streamers'
-    WHEN 2 THEN 'Speaker comenta el partido Francia-Marruecos' ELSE 'Speaker habla sobre ' || source END AS title FROM documents""")
+    WHEN 2 THEN 'Speaker habla sobre partido Francia-Marruecos' ELSE 'Speaker habla sobre ' || source END AS title FROM documents""")
 def q_title(spark, folder):
     names = [name for name, _ in cd.LABEL_RULES]
     label = F.when(F.col("doc_id") % 4 == 0, names[0]).when(F.col("doc_id") % 4 == 1, names[1]).when(F.col("doc_id") % 4 == 2, names[3]).otherwise(F.col("source"))
@@ -100,13 +100,9 @@ def q_candidate_score(spark, folder):
 
 @query("quality_gate", "WITH " + ", ".join(f"{n} AS ({b})" for n, b in _SCORED.items()) + """ SELECT id, array_to_string(list_filter([CASE WHEN id % 10 = 0 THEN 'insufficient_distinctive_terms' END, CASE WHEN keyword_quality < 0.45 THEN 'stopword_dominated_keywords' END, CASE WHEN title_specificity < 0.45 THEN 'generic_topic' END,
     CASE WHEN id % 9 = 0 THEN 'title_not_grounded' END, CASE WHEN id % 9 = 0 THEN 'unsupported_entity' END, CASE WHEN id % 9 <> 0 AND title_grounding < 0.85 THEN 'title_not_grounded' END,
-    CASE WHEN id % 13 = 0 OR summary_grounding < 0.80 THEN 'generic_summary' END, CASE WHEN semantic_coherence < 0.38 THEN 'low_semantic_coherence' END, CASE WHEN raw < 54.95 THEN 'below_minimum_candidate_score' END], lambda x: x IS NOT NULL), ',') AS failures FROM s1 WHERE abs(raw - 54.95) > 0.001""")
+    CASE WHEN id % 13 = 0 OR summary_grounding < 0.80 THEN 'generic_summary' END, CASE WHEN semantic_coherence < 0.38 THEN 'low_semantic_coherence' END, CASE WHEN raw < 54.95 THEN 'below_minimum_candidate_score' END], lambda x: x IS NOT NULL), ',') AS failures FROM s1""")
 def q_quality_gate(spark, folder):
-    s = scored(spark, folder).withColumn("failures", F.array_join(cd.quality_failures(), ","))
-    raw = sum((F.col(n) * w for n, w in cd.WEIGHTS.items()), F.lit(0.0))
-    minus = sum((F.when(F.array_contains("penalties", n), p).otherwise(0) for n, p in cd.PENALTIES.items()), F.lit(0))
-    # A score exactly between two tenths rounds differently in the two engines; no row of the tables sits there.
-    return s.where(F.abs(F.round(100 * raw, 9) - minus - 54.95) > 0.001).select("id", "failures")
+    return scored(spark, folder).select("id", F.array_join(cd.quality_failures(), ",").alias("failures"))
 
 
 def ranges(spark, folder):
@@ -194,12 +190,12 @@ def q_compare(spark, folder):
 
 
 @query("segment_metrics", with_views("state_samples", """SELECT f.vod_id, e.mae AS mean_absolute_error_seconds, e.mx AS maximum_absolute_error_seconds, detected_phase_count, coalesce(om, 0) AS omitted_phase_count,
-    CASE WHEN coalesce(ntalk, 0) > 0 THEN greatest(0, talk - ntalk) ELSE 0 END + CASE WHEN coalesce(ngame, 0) > 0 THEN greatest(0, game - ngame) ELSE 0 END AS false_detection_count, mean_confidence
+    CASE WHEN coalesce(ntalk, 0) > 0 THEN greatest(0, talk - ntalk) ELSE 0 END + CASE WHEN coalesce(ngame, 0) > 0 THEN greatest(0, game - ngame) ELSE 0 END AS false_detection_count, round(mean_confidence, 4) AS mean_confidence
     FROM (SELECT vod_id, count(*) AS detected_phase_count, count(CASE WHEN phase = 'talking' THEN 1 END) AS talk, count(CASE WHEN phase = 'gameplay' THEN 1 END) AS game, sum(("end" - start) * confidence) / sum("end" - start) AS mean_confidence FROM segs GROUP BY 1) f
     LEFT JOIN (SELECT vod_id, avg(absolute_error_seconds) AS mae, max(absolute_error_seconds) AS mx, count(CASE WHEN detector_seconds IS NULL THEN 1 END) AS om, count(CASE WHEN transition IN ('talking_start','talking_block_2_start','talking_block_3_start') THEN 1 END) AS ntalk,
       count(CASE WHEN transition = 'gameplay_start' THEN 1 END) AS ngame FROM cmp GROUP BY 1) e ON f.vod_id = e.vod_id""", **_BOUND))
 def q_metrics(spark, folder):
-    return mt.segment_metrics(layout_segs(spark, folder), mt.compare_notes(boundaries(spark, folder), notes(spark, folder))).drop("error_by_transition")
+    return mt.segment_metrics(layout_segs(spark, folder), mt.compare_notes(boundaries(spark, folder), notes(spark, folder))).drop("error_by_transition").withColumn("mean_confidence", F.round("mean_confidence", 4))
 
 
 @query("validation_report")
