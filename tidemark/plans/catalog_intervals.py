@@ -198,4 +198,3 @@ def q_coverage_check(spark, folder):
     return iv.coverage_problems(moved, d, ["vod_id"], "run")
 
 
-_NOTE_NAMES = ["talking_start", "talking_end", "gameplay_start", "gameplay_end", "talking_block_2_start", "talking_block_2_end", "talking_block_3_start", "talking_block_3_end"]

@@ -142,16 +142,19 @@ def q_segmenter(spark, folder):
 # ---- streams over the events and orders tables
 
 
-def event_stream(spark, folder, files: int | None = None):
-    """The events as a stream; with `files`, first spread over that many files, one per micro-batch."""
-    schema = table(spark, folder, "events").schema
-    path = f"{folder}/events.parquet"
-    reader = spark.readStream.schema(schema)
-    if files:
+def event_stream(spark, folder, slices: int | None = None):
+    """The events as a stream. With `slices`, they arrive in that many files, one per micro-batch, dealt out by event
+    number: every file covers the whole time range, so later files bring rows behind the newest time seen."""
+    events = table(spark, folder, "events")
+    reader = spark.readStream.schema(events.schema)
+    if slices is None:
+        rows = reader.option("pathGlobFilter", "events.parquet").parquet(folder)
+    else:
         path = lv.state_folder(spark, "events")
-        table(spark, folder, "events").repartitionByRange(files, "event_id").write.parquet(path)
-        reader = reader.option("maxFilesPerTrigger", 1)
-    return reader.parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
+        for number in range(slices):  # one file after the other, so that file times give the order of arrival
+            events.where(F.col("event_id") % slices == number).coalesce(1).write.mode("append").parquet(path)
+        rows = reader.option("maxFilesPerTrigger", 1).parquet(path)
+    return rows.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 _LIMIT = "(SELECT max(epoch_us(ts)) - {d} * 1000000 FROM events)"
@@ -182,7 +185,7 @@ def q_stream_runs(spark, folder):
 @query("stream_hysteresis", with_views("state_samples", """SELECT c.vod_id AS user_id, c.prior AS from_state, c.accepted AS to_state, e.t AS start_us FROM confirmed c
     JOIN (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS idx, epoch_us(ts) AS t FROM events) e ON e.user_id = c.vod_id AND e.idx = c.idx WHERE c.prior <> c.accepted""", **hysteresis_sql(2)))
 def q_stream_hysteresis(spark, folder):
-    s = event_stream(spark, folder, files=3).withColumn("ts_us", F.unix_micros("ts"))
+    s = event_stream(spark, folder).withColumn("ts_us", F.unix_micros("ts"))
     return lv.run_to_table(lv.live_hysteresis(s, "user_id", "ts_us", "event_type", 2), "hysteresis")
 
 
@@ -194,16 +197,17 @@ def q_stream_dedup(spark, folder):
 
 @query("stream_job_state", "SELECT user_id, arg_max(event_type, {'t': ts, 'e': event_id}) AS event_type FROM events GROUP BY 1")
 def q_stream_job_state(spark, folder):
-    s = event_stream(spark, folder, files=3).select("user_id", "event_id", "event_type", "ts")
+    s = event_stream(spark, folder, slices=3).select("user_id", "event_id", "event_type", "ts")
     return lv.live_job_state(s, "user_id", ["ts", "event_id"]).select("user_id", "event_type")
 
 
-@query("stream_late_rows")
+@query("stream_late_rows", """SELECT event_id, user_id FROM events WHERE (event_id % 3 = 1 AND ts < (SELECT max(ts) FROM events WHERE event_id % 3 = 0) - INTERVAL 600 SECOND)
+    OR (event_id % 3 = 2 AND ts < (SELECT max(ts) FROM events WHERE event_id % 3 < 2) - INTERVAL 600 SECOND)""")
 def q_stream_late(spark, folder):
-    return lv.live_late_rows(event_stream(spark, folder, files=4).select("event_id", "user_id", "ts"), "ts", 600).select("event_id", "user_id")
+    return lv.live_late_rows(event_stream(spark, folder, slices=3).select("event_id", "user_id", "ts"), "ts", 600).select("event_id", "user_id")
 
 
 @query("incremental_missing", "SELECT event_id, user_id FROM events WHERE event_type = 'error'")
 def q_incremental(spark, folder):
     planned = table(spark, folder, "events").select("event_id", "user_id")
-    return lv.live_missing(planned, event_stream(spark, folder, files=3).where("event_type <> 'error'"), ["event_id"])
+    return lv.live_missing(planned, event_stream(spark, folder, slices=3).where("event_type <> 'error'"), ["event_id"])

@@ -70,7 +70,7 @@ VITERBI = {
 
 @query("viterbi_smooth", with_views("coarse_windows", "SELECT vod_id, idx, phase, confidence FROM smooth", **VITERBI))
 def q_viterbi(spark, folder):
-    return ph.smooth_phases(ph.classify_windows(coarse_windows(spark, folder)), rows=16).select("vod_id", "idx", "phase", "confidence")
+    return ph.smooth_phases(ph.classify_windows(coarse_windows(spark, folder))).select("vod_id", "idx", "phase", "confidence")
 
 
 def sample_windows(spark, folder):
