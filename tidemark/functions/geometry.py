@@ -102,7 +102,7 @@ def content_crop(frame_width, frame_height, target: float, facecam: Column, roi:
     ch = F.when(full_height, fh.cast("double")).otherwise(F.least(fh.cast("double"), F.rint(fw / target)))
     vertical = ch < fh
     free = F.when(vertical, fh - ch).otherwise(fw - cw).cast("long")
-    options = F.array_sort(F.array_distinct(F.array(F.lit(0).cast("long"), F.floor(free / 2), free)))
+    options = F.sort_array(F.array_distinct(F.array(F.lit(0).cast("long"), F.floor(free / 2), free)))
 
     def candidate(offset: Column, order: Column) -> Column:
         crop = clamp(rect(F.when(vertical, 0).otherwise(offset), F.when(vertical, offset).otherwise(0), cw, ch), fw, fh)

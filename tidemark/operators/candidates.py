@@ -85,8 +85,8 @@ def extractive_summary(sentences: Column, concepts: Column, keep: int = 2) -> Co
     def hits(s: Column) -> Column:
         return tx.bind(tx.normalize(s), lambda n: tx.bind(tx.lemmas_of(n), lambda l: F.size(F.filter(concepts, lambda t: tx.grounded(tx.normalize(t), n, l)["ok"]))))
 
-    ranked = F.array_sort(F.transform(sentences, lambda s, i: F.struct((-hits(s)).alias("h"), i.alias("i"), s.alias("s"))))
-    best = F.array_sort(F.transform(F.slice(ranked, 1, keep), lambda x: F.struct(x["i"].alias("i"), x["s"].alias("s"))))
+    ranked = F.sort_array(F.transform(sentences, lambda s, i: F.struct((-hits(s)).alias("h"), i.alias("i"), s.alias("s"))))
+    best = F.sort_array(F.transform(F.slice(ranked, 1, keep), lambda x: F.struct(x["i"].alias("i"), x["s"].alias("s"))))
     return F.array_join(F.transform(best, lambda x: x["s"]), " ")
 
 
@@ -168,7 +168,7 @@ def score_candidates(topics: DataFrame, segments: DataFrame, keys: Sequence[str]
     pieces = split_long_ranges(topics, [*keys, "block"], config.target_max, config.max_seconds).drop("split_reason")
     parts = segments.select(*keys, "pos", F.col("start").alias("seg_start"), F.col("end").alias("seg_end"), F.col("text").alias("seg_text"), "avg_logprob", "no_speech_probability")
     inside = cut_lineage(overlap_join(pieces, parts, keys))
-    ordered = F.array_sort(F.collect_list(F.struct("pos", "seg_text")))
+    ordered = F.sort_array(F.collect_list(F.struct("pos", "seg_text")))
     clear = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 + F.coalesce("avg_logprob", F.lit(-1.0)))) * (1 - F.coalesce("no_speech_probability", F.lit(0.0)))
     gathered = inside.groupBy(*by).agg(
         F.min_by("seg_start", "pos").alias("exact_start"), F.max_by("seg_end", "pos").alias("exact_end"), F.avg(clear).alias("transcript_quality"),

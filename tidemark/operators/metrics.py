@@ -46,7 +46,7 @@ def segment_metrics(segments: DataFrame, comparisons: DataFrame, keys: Sequence[
         F.count_if(F.col("detector_seconds").isNull()).alias("omitted"), noted("talking_start", "talking_block_2_start", "talking_block_3_start").alias("noted_talk"),
         noted("gameplay_start").alias("noted_game"),
         # At most eight transitions exist, so the map is small.
-        F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("error_seconds").isNotNull(), F.struct("transition", "error_seconds"))))).alias("error_by_transition"))
+        F.map_from_entries(F.sort_array(F.collect_list(F.when(F.col("error_seconds").isNotNull(), F.struct("transition", "error_seconds"))))).alias("error_by_transition"))
     over = lambda found, noted_: F.when(F.coalesce(noted_, F.lit(0)) > 0, F.greatest(F.lit(0), found - noted_)).otherwise(0)
     return facts.join(errors, list(keys), "left").select(
         *keys, "mean_absolute_error_seconds", "maximum_absolute_error_seconds", "error_by_transition", "detected_phase_count",

@@ -34,7 +34,7 @@ def spectral_flatness(samples: DataFrame, keys: Sequence[str], idx: str, value:
     The transform is defined on that fixed stretch, so its array has a fixed size; the Arrow batch holds many clips.
     """
     start = samples.where(F.col(idx) < head).groupBy(*keys).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct(idx, value))), lambda s: s[value]).alias("signal"))
+        F.transform(F.sort_array(F.collect_list(F.struct(idx, value))), lambda s: s[value]).alias("signal"))
 
     @F.pandas_udf("double")
     def flatness(signals: pd.Series) -> pd.Series:

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.functions import text as tx
 
@@ -67,45 +69,44 @@ def distinctive_terms(
     gathered = counted.groupBy(*keys).agg(
         F.first("documents").alias("documents"), F.collect_list(F.struct("term", "frequency", "document_frequency")).alias("counted")
     )
-    normal = texts.select(*keys, tx.normalize(F.col(text)).alias("n")).join(gathered, list(keys))
+    def quarters(n: Column) -> Column:
+        low = lambda i: F.floor(F.length(n) * i / 4).cast("int")
+        return F.array(*[F.substr(n, low(i) + 1, low(i + 1) - low(i)) for i in range(4)])
 
-    def quarter(s: Column, i: int) -> Column:
-        low, high = F.floor(F.length(s["n"]) * i / 4).cast("int"), F.floor(F.length(s["n"]) * (i + 1) / 4).cast("int")
-        return F.substr(s["n"], low + 1, high - low)
+    normal = texts.select(*keys, tx.bind(tx.normalize(F.col(text)), quarters).alias("quarters")).join(gathered, list(keys))
+    shares = quarter_shares("quarters", F.transform("counted", lambda t: tx.normalize(t["term"])))
+    rows = normal.select(*keys, "documents", "counted", shares.alias("shares"))
 
-    def score(s: Column) -> Column:
-        quarters = F.struct(*[quarter(s, i).alias(f"q{i}") for i in range(4)], s["counted"].alias("counted"), s["documents"].alias("documents"))
-        return tx.bind(quarters, lambda q: F.array_sort(F.transform(q["counted"], lambda t: rank(q, t))))
-
-    def rank(q: Column, t: Column) -> Column:
+    def entry(q: Column, t: Column, share: Column) -> Column:
         idf = F.log((1 + q["documents"]) / (1 + t["document_frequency"])) + 1
-        base = (
-            F.log1p(t["frequency"]) * idf * F.when(F.contains(t["term"], F.lit(" ")), 1.35).otherwise(1.0)
+        value = (
+            F.log1p(t["frequency"]) * idf * (0.65 + 0.35 * share) * F.when(F.contains(t["term"], F.lit(" ")), 1.35).otherwise(1.0)
             * F.when(t["term"].isin(tx.GENERIC_TERMS), 0.35).otherwise(1.0)
         )
+        return tx.bind(value, lambda v: F.struct(
+            (-F.round(v, 9)).alias("o1"), (-t["frequency"]).alias("o2"), t["term"].alias("term"), v.alias("score"),
+            t["frequency"].alias("frequency"), t["document_frequency"].alias("document_frequency"), share.alias("distribution"),
+        ))
 
-        def spread(plain: Column) -> Column:
-            return sum((F.contains(q[f"q{i}"], plain).cast("int") for i in range(4)), F.lit(0)) / 4
-
-        def scored(share: Column) -> Column:
-            return F.struct(share.alias("share"), (base * (0.65 + 0.35 * share)).alias("score"))
+    def drop_order(t: Column) -> Column:
+        return F.struct(*[t[n].alias(n) for n in ("term", "score", "frequency", "document_frequency", "distribution")])
 
-        def entry(s: Column) -> Column:
-            return F.struct(
-                (-F.round(s["score"], 9)).alias("o1"), (-t["frequency"]).alias("o2"), t["term"].alias("term"), s["score"].alias("score"),
-                t["frequency"].alias("frequency"), t["document_frequency"].alias("document_frequency"), s["share"].alias("distribution"),
-            )
+    ranked = tx.bind(
+        F.struct("documents", "counted", "shares"),
+        lambda q: F.sort_array(F.zip_with(q["counted"], q["shares"], lambda t, share: entry(q, t, share))),
+    )
+    # Bound once: the selection refers to the ranked list more than once.
+    chosen = tx.bind(ranked, lambda r: F.transform(select_terms(r, maximum), drop_order))
+    return rows.select(*keys, chosen.alias("terms"))
 
-        return tx.bind(tx.normalize(t["term"]), lambda plain: tx.bind(spread(plain), lambda share: tx.bind(scored(share), entry)))
 
-    packed = F.struct("n", "counted", "documents")
-    ranked = tx.bind(packed, score)
-    chosen = F.transform(
-        select_terms(ranked, maximum),
-        lambda t: F.struct(t["term"].alias("term"), t["score"].alias("score"), t["frequency"].alias("frequency"),
-                           t["document_frequency"].alias("document_frequency"), t["distribution"].alias("distribution")),
-    )
-    return normal.select(*keys, chosen.alias("terms"))
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def quarter_shares(quarters: pd.Series, terms: pd.Series) -> pd.Series:
+    """Share of the four quarters of a text that contain each term. Searching many terms in one text is the costly
+    part of term scoring; the built-in `contains` compares byte by byte, Python's substring search skips ahead."""
+    return pd.Series([
+        [((t in q[0]) + (t in q[1]) + (t in q[2]) + (t in q[3])) / 4 for t in found] for q, found in zip(quarters, terms)
+    ])
 
 
 def keyword_quality(terms: Column, normal_text: Column, text_lemmas: Column) -> Column:
@@ -159,6 +160,6 @@ def rank_sentences(texts: DataFrame, keys: Sequence[str], text: str, terms: str,
     normal = firsts.withColumn("n", tx.normalize(F.col("s"))).withColumn("l", tx.lemmas_of(F.col("n")))
     hits = F.size(F.filter("__t", lambda t: tx.grounded(tx.normalize(t), F.col("n"), F.col("l"))["ok"]))
     scored = normal.select(*keys, "at", "s", F.round(hits * 2 + 1 - tx.filler_ratio(F.col("s")), 9).alias("score"))
-    best = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("o"), (-F.col("at")).alias("p"), F.col("s").alias("s")))), 1, maximum)
-    ordered = F.transform(F.array_sort(F.transform(best, lambda x: F.struct((-x["p"]).alias("p"), x["s"].alias("s")))), lambda x: x["s"])
+    best = F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("o"), (-F.col("at")).alias("p"), F.col("s").alias("s")))), 1, maximum)
+    ordered = F.transform(F.sort_array(F.transform(best, lambda x: F.struct((-x["p"]).alias("p"), x["s"].alias("s")))), lambda x: x["s"])
     return scored.groupBy(*keys).agg(ordered.alias("sentences"))

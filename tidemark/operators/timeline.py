@@ -78,7 +78,7 @@ def ordered_labels(rows: DataFrame, keys: Sequence[str], labels: str, order: str
     and key reaches the final list."""
     exploded = rows.select(*keys, F.col(order).alias("__o"), F.posexplode(labels).alias("__p", "__label"))
     firsts = exploded.groupBy(*keys, "__label").agg(F.min(F.struct("__o", "__p")).alias("__at"))
-    packed = F.array_sort(F.collect_list(F.struct("__at", "__label")))
+    packed = F.sort_array(F.collect_list(F.struct("__at", "__label")))
     return firsts.groupBy(*keys).agg(F.transform(packed, lambda x: x["__label"]).alias(name))
 
 

@@ -24,11 +24,11 @@ QUERIES, ORACLES = query.queries, query.oracles
 def q_chunks(spark, folder):
     s = segments(spark, folder).withColumn("index", F.floor(F.col("pos") / 3).cast("int"))
     part = F.struct("pos", F.struct("start", "end", "text", F.lit(None).cast(f"array<{rd.WORD}>").alias("words"), "avg_logprob", "no_speech_probability").alias("s"))
-    chunks = s.groupBy("vod_id", "index").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.lit("es").alias("language"), F.transform(F.array_sort(F.collect_list(part)), lambda x: x["s"]).alias("segments"))
+    chunks = s.groupBy("vod_id", "index").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.lit("es").alias("language"), F.transform(F.sort_array(F.collect_list(part)), lambda x: x["s"]).alias("segments"))
     path = lv.state_folder(spark, "chunks")
     chunks.withColumn("vod_id", F.col("vod_id").cast("string")).write.json(path)
     back = rd.transcript_segments(spark.read.schema(rd.CHUNK).json(path))
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "text"))), lambda x: x["text"]), "|")
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("start", "text"))), lambda x: x["text"]), "|")
     return back.groupBy(F.col("vod_id").cast("long").alias("vod_id"), F.col("chunk_index").cast("long").alias("chunk_index")).agg(
         F.count(F.lit(1)).alias("segments"), F.sum(F.col("end") - F.col("start")).alias("seconds"), F.md5(text).alias("text_md5"))
 

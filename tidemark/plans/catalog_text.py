@@ -198,7 +198,7 @@ def q_consecutive(spark, folder):
 def centroids(v, keys):
     """Mean vector per group: summed by position with map-side combine, so members of a group never meet."""
     sums = v.select(*keys, F.posexplode("embedding").alias("p", "x")).groupBy(*keys, "p").agg(F.avg("x").alias("x"))
-    packed = F.transform(F.array_sort(F.collect_list(F.struct("p", "x"))), lambda s: s["x"])
+    packed = F.transform(F.sort_array(F.collect_list(F.struct("p", "x"))), lambda s: s["x"])
     return sums.groupBy(*keys).agg(packed.alias("centroid"))
 
 
@@ -269,5 +269,5 @@ def q_preview(spark, folder):
     s = segments(spark, folder)
     sizes = s.groupBy("vod_id").agg(F.count(F.lit(1)).alias("n"))
     near = s.join(sizes, "vod_id").where("pos < 3 OR n - pos <= 3")
-    text_of = lambda cond: F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.when(cond, F.struct("pos", "text")))), lambda x: x["text"]), "|"))
+    text_of = lambda cond: F.md5(F.array_join(F.transform(F.sort_array(F.collect_list(F.when(cond, F.struct("pos", "text")))), lambda x: x["text"]), "|"))
     return near.groupBy("vod_id").agg(text_of(F.col("pos") < 3).alias("opening"), text_of(F.col("n") - F.col("pos") <= 3).alias("closing"))

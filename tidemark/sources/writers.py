@@ -65,9 +65,9 @@ def write_debug_extracts(raw: DataFrame, smoothed: DataFrame, graph: DataFrame,
 def assemble_results(segments: DataFrame, blocks: DataFrame, keys: Sequence[str] = ("vod_id",)) -> DataFrame:
     """One nested row per recording. The nested form is the result document of a recording, whose size the number of
     its segments bounds; samples and windows stay in their own tables."""
-    timeline = segments.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("run", "start", "end", "phase", "confidence"))).alias("timeline"))
+    timeline = segments.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("run", "start", "end", "phase", "confidence"))).alias("timeline"))
     talk = blocks.groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.struct("number", "id", "start", "end", "relevance"))).alias("talking_blocks"),
+        F.sort_array(F.collect_list(F.struct("number", "id", "start", "end", "relevance"))).alias("talking_blocks"),
         F.max(F.when(F.col("is_primary"), F.col("id"))).alias("primary_talking_block_id"))
     warn = F.array_compact(F.array(F.when(F.col("primary_talking_block_id").isNull(), "primary_talking_block_not_found")))
     return timeline.join(talk, list(keys), "left").withColumn("warnings", warn).withColumn("talking_blocks", F.when(F.col("talking_blocks").isNull(), F.array().cast(talk.schema["talking_blocks"].dataType)).otherwise(F.col("talking_blocks")))
