@@ -238,3 +238,58 @@ def test_layout_decisions(spark):
     assert decide([("talking", 0.9), ("gameplay", 0.88)]).phase == "unknown"
     tie = decide([("talking", 0.9), ("talking", 0.88)])
     assert tie.layout_id == "l0" and "same_phase_layout_tie_resolved" in tie.reasons
+
+
+def test_pcm_files(spark, tmp_path):
+    import struct
+    import wave
+
+    from tidemark.sources.readers import read_pcm_samples
+
+    def save(name, rate, values):
+        with wave.open(str(tmp_path / name), "wb") as out:
+            out.setnchannels(1)
+            out.setsampwidth(2)
+            out.setframerate(rate)
+            out.writeframes(struct.pack(f"<{len(values)}h", *values))
+
+    save("good.wav", 16000, [0, 16384, -32768] * 300)
+    save("bad.wav", 8000, [1, 2, 3])
+    rows = read_pcm_samples(spark, str(tmp_path)).collect()
+    good = sorted((r for r in rows if r.error is None), key=lambda r: r.frame_index)
+    assert [len(r.samples) for r in good] == [400, 400, 100] and good[0].samples[:3] == [0.0, 0.5, -1.0]
+    assert len([r for r in rows if r.error]) == 1
+
+
+def test_stream_state_continues_over_batches(spark, tmp_path):
+    """The confirmed state continues over micro-batches."""
+    from tidemark.streaming import live as lv
+
+    for number, states in enumerate(("FFS", "SSF", "FFF")):
+        rows = [(1, 100 * number + i, s) for i, s in enumerate(states)]
+        spark.createDataFrame(rows, "k int, t long, s string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("k int, t long, s string").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    out = lv.run_to_table(lv.live_hysteresis(stream, "k", "t", "s", 3), "batches").orderBy("start_us").collect()
+    assert [(r.from_state, r.to_state, r.start_us) for r in out] == [("F", "S", 2), ("S", "F", 102)]
+
+
+def test_embedding_backend_is_reported_truthfully(spark):
+    from tidemark.operators.terms import hash_embedding
+    from tidemark.sources.readers import embed_texts
+
+    d = spark.createDataFrame([(1, "hola gente"), (2, "")], "k int, text string")
+
+    def broken():
+        raise ImportError("no model")
+
+    rows = embed_texts(d, ["k"], "text", broken, "some-model", hash_embedding(d, ["k"])).orderBy("k").collect()
+    assert all(r.fallback_used and r.effective_backend == "hash-fallback" and "no model" in r.fallback_reason for r in rows)
+    assert abs(sum(x * x for x in rows[0].embedding) - 1) < 1e-9 and not any(rows[1].embedding)
+
+
+def test_another_recording_changes_nothing(spark):
+    a = samples(spark, "FFSFSSSUUF")
+    b = a.withColumn("vod_id", F.lit(2)).withColumn("layout_id", F.lit("N"))
+    alone = {(r.idx, r.accepted) for r in tl.hysteresis(a).collect()}
+    both = {(r.idx, r.accepted) for r in tl.hysteresis(a.unionByName(b).repartition(7)).where("vod_id = 1").collect()}
+    assert alone == both

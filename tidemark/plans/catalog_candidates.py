@@ -50,8 +50,8 @@ def q_title(spark, folder):
     SELECT doc_id, avg(CASE WHEN ok THEN 1.0 ELSE 0.0 END) AS score, coalesce(string_agg(CASE WHEN NOT ok THEN term END, ',' ORDER BY i), '') AS unsupported FROM g GROUP BY 1""")
 def q_title_grounding(spark, folder):
     items = table(spark, folder, "benchmark").select(F.col("item_id").alias("slot"), F.slice(F.split("text", " "), 1, 6).alias("terms"))
-    count = table(spark, folder, "benchmark").agg(F.count(F.lit(1)).alias("items"))
-    d = documents(spark, folder).join(F.broadcast(count)).withColumn("slot", F.col("doc_id") % F.col("items")).join(items, "slot")
+    count = table(spark, folder, "benchmark").agg(F.count(F.lit(1))).scalar()
+    d = documents(spark, folder).withColumn("slot", F.col("doc_id") % count).join(items, "slot")
     d = d.withColumn("n", tx.normalize(F.col("text"))).withColumn("l", tx.lemmas_of(F.col("n")))
     g = cd.title_grounding(F.col("terms"), F.col("n"), F.col("l"))
     return d.withColumn("g", g).select("doc_id", F.col("g.score").alias("score"), F.array_join("g.unsupported", ",").alias("unsupported"))

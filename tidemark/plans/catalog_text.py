@@ -67,10 +67,10 @@ _GROUND = f"""g0 AS (SELECT d.doc_id, array_to_string(string_split(b.text, ' ')[
          WHEN len(tl) > 0 AND len(list_filter(tl, lambda x: NOT list_contains(dl, x))) = 0 THEN array_to_string(tl, ',') ELSE '' END AS evidence FROM g2""")
 def q_grounded(spark, folder):
     items = table(spark, folder, "benchmark").select(F.col("item_id").alias("slot"), F.array_join(F.slice(F.split("text", " "), 1, 2), " ").alias("term"))
-    count = table(spark, folder, "benchmark").agg(F.count(F.lit(1)).alias("items"))
+    count = table(spark, folder, "benchmark").agg(F.count(F.lit(1))).scalar()
     d = documents(spark, folder).select("doc_id", tx.normalize(F.col("text")).alias("n"))
-    # One row holds the item count; every document names exactly one item.
-    paired = d.join(F.broadcast(count)).withColumn("slot", F.col("doc_id") % F.col("items")).join(items, "slot").withColumn("l", tx.lemmas_of(F.col("n")))
+    # Every document names exactly one item.
+    paired = d.withColumn("slot", F.col("doc_id") % count).join(items, "slot").withColumn("l", tx.lemmas_of(F.col("n")))
     g = tx.grounded(tx.normalize(F.col("term")), F.col("n"), F.col("l"), F.col("term"))
     return paired.select("doc_id", "term", g["ok"].alias("ok"), F.array_join(g["evidence"], ",").alias("evidence"))
 
@@ -252,8 +252,8 @@ _SENT = f"""sx AS (SELECT doc_id, unnest(string_split(regexp_replace(text, '([.!
     SELECT doc_id, count(*) AS n, md5(string_agg(s, '|' ORDER BY pos)) AS sentences_md5 FROM r WHERE rn <= 6 GROUP BY 1""")
 def q_sentences(spark, folder):
     items = table(spark, folder, "benchmark").select(F.col("item_id").alias("slot"), F.slice(F.split("text", " "), 1, 8).alias("terms"))
-    count = table(spark, folder, "benchmark").agg(F.count(F.lit(1)).alias("items"))
-    d = documents(spark, folder).join(F.broadcast(count)).withColumn("slot", F.col("doc_id") % F.col("items")).join(items, "slot")
+    count = table(spark, folder, "benchmark").agg(F.count(F.lit(1))).scalar()
+    d = documents(spark, folder).withColumn("slot", F.col("doc_id") % count).join(items, "slot")
     r = tm.rank_sentences(d, ["doc_id"], "text", "terms", 6)
     return r.select("doc_id", F.size("sentences").cast("long").alias("n"), F.md5(F.array_join("sentences", "|")).alias("sentences_md5"))
 

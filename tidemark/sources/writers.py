@@ -18,8 +18,7 @@ EVENT_FORMAT = "Format: Layer, Start, End, Style, Name, MarginL, MarginR, Margin
 
 
 def write_timeline(df: DataFrame, path: str, keys: Sequence[str] = ("bucket",), fmt: str = "parquet") -> None:
-    """Overwrite the partitions present in `df` only (dynamic partition overwrite), one writer task per partition value
-    and 256 rows of slack: rows are spread by recording inside each partition, so no task writes a whole bucket."""
+    """Overwrite only the partitions that occur in `df` (dynamic partition overwrite); the commit is atomic per write."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).format(fmt).save(path)
 
 

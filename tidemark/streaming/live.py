@@ -106,17 +106,20 @@ def live_job_state(stream: DataFrame, key: str, newest: Sequence[str]) -> DataFr
 
 
 def live_late_rows(stream: DataFrame, ts: str, delay_seconds: int) -> DataFrame:
-    """Rows older than the newest time of all earlier batches minus the delay; the newest time is the only thing kept."""
+    """Rows older than the newest time of all earlier batches minus the delay.
+
+    Every batch records its newest time under its number, so a replayed or restarted batch sees the same limit.
+    """
     spark = stream.sparkSession
     folder = state_folder(spark, "late")
-    seen: dict[str, int] = {}
 
     def handle(batch: DataFrame, number: int) -> None:
-        limit = seen.get("newest")
+        limit = None
+        if number > 0:
+            limit = spark.read.parquet(f"{folder}/newest").where(F.col("batch") < number).agg(F.max("newest")).first()[0]
         late = F.lit(False) if limit is None else F.unix_micros(ts) < limit - delay_seconds * 1_000_000
         batch.where(late).write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
-        newest = batch.agg(F.max(F.unix_micros(ts))).first()[0]
-        seen["newest"] = max(x for x in (newest, limit) if x is not None)
+        batch.agg(F.max(F.unix_micros(ts)).alias("newest")).write.mode("overwrite").parquet(f"{folder}/newest/batch={number}")
 
     run_batches(stream, "late-run", handle)
     return spark.read.parquet(f"{folder}/out").drop("batch")
