@@ -60,3 +60,85 @@ def op8_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     from tidemark.llm.lsh_forest import near_duplicates
 
     return near_duplicates(_table(spark, folder, "documents"))
+
+
+@register("op1_quality_classifier")
+def op1_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    from tidemark.llm.compression_quality import score, train
+
+    docs, labels = _table(spark, folder, "documents"), _table(spark, folder, "labels")
+    fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4
+    scored = score(docs, train(docs, labels, usable=fold != 2))
+    return scored.select("doc_id", (fold == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+@register("op2_personal_data")
+def op2_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    from tidemark.llm.pii_boosting import detect, train
+
+    docs = _table(spark, folder, "documents")
+    return detect(docs, train(docs))
+
+
+@register("op3_decontamination")
+def op3_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    from tidemark.llm.spaced_seeds import overlaps
+
+    return overlaps(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
+@register("op4_sharding")
+def op4_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    from tidemark.llm.interleave import interleaved_shards
+
+    data = F.encode(F.coalesce(F.col("text"), F.lit("")), "utf-8")
+    rows = _table(spark, folder, "documents").select("doc_id", "source", (F.octet_length(data) + 8).cast("long").alias("size"), F.crc32(data).alias("text_crc32"))
+    sharded = interleaved_shards(rows, 24)
+    return sharded.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "source")
+
+
+@register("op6_quality_rules")
+def op6_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    from tidemark.llm.robust_outliers import judged
+
+    return judged(_table(spark, folder, "documents"), ["doc_id"]).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
+
+
+@register(
+    "op7_warc",
+    """
+    WITH p AS (SELECT page_id, coalesce(html, '') AS html, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+    last AS (SELECT payload_digest, max(page_id) AS last FROM p WHERE payload_bytes >= 1000 GROUP BY 1)
+    SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id < last THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id < last THEN last END AS refers_to
+    FROM p LEFT JOIN last USING (payload_digest)
+    """,
+)
+def op7_warc(spark: SparkSession, folder: str) -> DataFrame:
+    from tidemark.llm.common import shared_path
+    from tidemark.llm.warc_zstd import read_archives, write_archives
+
+    files = write_archives(_table(spark, folder, "pages"), shared_path(spark, "warc"))
+    return read_archives(spark, files).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def _tokenizer() -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@register("op9_token_files")
+def op9_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    from tidemark.llm.common import shared_path
+    from tidemark.llm.token_files import read_tokens, write_tokens
+
+    manifest = write_tokens(_table(spark, folder, "documents"), shared_path(spark, "tokens"), _tokenizer())
+    return read_tokens(spark, manifest).withColumnRenamed("id", "doc_id")
+
+
+@register("op10_packing")
+def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
+    from tidemark.llm.length_buckets import pack
+    from tidemark.llm.token_files import token_counts
+
+    return pack(token_counts(_table(spark, folder, "documents"), _tokenizer()), "n_tokens")
