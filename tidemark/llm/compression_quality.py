@@ -34,8 +34,7 @@ class Training:
 class Model:
     good: bytes
     bad: bytes
-    bias: float
-    slope: float
+    weights: tuple[float, ...]
     level: int
 
 
@@ -48,13 +47,12 @@ def _compressors(good: bytes, bad: bytes, level: int) -> list[zstandard.ZstdComp
     return out
 
 
-def size_difference(text: str, good: zstandard.ZstdCompressor, bad: zstandard.ZstdCompressor) -> float:
-    """(bad - good) / (bad + good) compressed bytes; 0 for an empty text."""
-    if not text:
-        return 0.0
+def evidence(text: str, good: zstandard.ZstdCompressor, bad: zstandard.ZstdCompressor, window: int = 256, soft: int = 64) -> tuple[float, float]:
+    """(bad - good compressed bytes, text bytes), each over text bytes + `soft`. The text is compressed in windows, each alone, so
+    that what a text repeats itself does not hide what the dictionaries know. An empty text has no evidence: (0, 0)."""
     data = text.encode()
-    g, b = len(good.compress(data)), len(bad.compress(data))
-    return (b - g) / (b + g)
+    difference = sum(len(bad.compress(data[i : i + window])) - len(good.compress(data[i : i + window])) for i in range(0, len(data), window))
+    return difference / (len(data) + soft), len(data) / (len(data) + soft)
 
 
 def _dictionary(texts: list[bytes], cfg: Training) -> bytes:
@@ -65,13 +63,14 @@ def _dictionary(texts: list[bytes], cfg: Training) -> bytes:
         return b"".join(pieces)[: cfg.dictionary_bytes] or b"\n" * 8
 
 
-def _calibration(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Logistic curve by Newton steps, with the usual shrunken targets and a weak prior on the slope; monotone by construction."""
+def calibration(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Weights of a logistic curve, bias first, by Newton steps with shrunken targets and a weak prior."""
     positive, negative = y.sum(), (1 - y).sum()
     target = np.where(y == 1, (positive + 1) / (positive + 2), 1 / (negative + 2))
-    weights = np.array([np.log((positive + 1) / (negative + 1)), 0.0])
-    design = np.stack([np.ones_like(x), x], axis=1)
-    prior = np.array([1e-3, 1e-4])
+    design = np.concatenate([np.ones((len(x), 1)), x.reshape(len(x), -1)], axis=1)
+    weights = np.zeros(design.shape[1])
+    weights[0] = np.log((positive + 1) / (negative + 1))
+    prior = np.full(len(weights), 1e-4)
     for _ in range(60):
         p = 1 / (1 + np.exp(-np.clip(design @ weights, -30, 30)))
         gradient = design.T @ (p - target) + prior * weights
@@ -80,7 +79,7 @@ def _calibration(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
         weights = weights - np.clip(step, -20, 20)
         if np.abs(step).max() < 1e-9:
             break
-    return float(weights[0]), float(max(weights[1], 0.0))
+    return weights
 
 
 def train(docs: DataFrame, labels: DataFrame, usable: Column | None = None, id_column: str = "doc_id", text_column: str = "text", label_column: str = "quality", cfg: Training = Training()) -> Model:
@@ -108,29 +107,28 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column | None = None, id_c
         held = [r for i, r in enumerate(rows) if not i % cfg.calibrate]
         good, bad = [_dictionary([r[2] for r in fit if r[3] == value and r[2]], cfg) for value in (1, 0)]
         compressors = _compressors(good, bad, cfg.level)
-        x = np.array([size_difference(r[2].decode("utf-8", "ignore"), *compressors) for r in held])
+        x = np.array([evidence(r[2].decode("utf-8", "ignore"), *compressors) for r in held]).reshape(-1, 2)
         y = np.array([float(r[3]) for r in held])
-        bias, slope = _calibration(x, y) if len(held) else (0.0, 0.0)
+        weights = calibration(x, y) if len(held) else np.zeros(3)
         if 0 < y.sum() < len(y):  # the sample is even over the labels; the corpus is not
-            bias += float(np.log(totals[1] / totals[0]) - np.log(y.sum() / (len(y) - y.sum())))
-        return pa.table({"good": pa.array([good], pa.binary()), "bad": pa.array([bad], pa.binary()), "bias": [bias], "slope": [slope]})
+            weights[0] += float(np.log(totals[1] / totals[0]) - np.log(y.sum() / (len(y) - y.sum())))
+        return pa.table({"good": pa.array([good], pa.binary()), "bad": pa.array([bad], pa.binary()), "weights": pa.array([weights.tolist()], pa.list_(pa.float64()))})
 
-    found = sample.groupBy("all").applyInArrow(build, "good binary, bad binary, bias double, slope double").collect()
+    found = sample.groupBy("all").applyInArrow(build, "good binary, bad binary, weights array<double>").collect()
     if not found:
-        return Model(b"\n" * 8, b"\n" * 8, 0.0, 0.0, cfg.level)
-    row = found[0]
-    return Model(bytes(row["good"]), bytes(row["bad"]), row["bias"], row["slope"], cfg.level)
+        return Model(b"\n" * 8, b"\n" * 8, (0.0, 0.0, 0.0), cfg.level)
+    return Model(bytes(found[0]["good"]), bytes(found[0]["bad"]), tuple(found[0]["weights"]), cfg.level)
 
 
 def score(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(id, score) of every row: the calibrated probability that the text is good. Null counts as empty; an empty text has
-    no size difference and gets the score of one. Rows that repeat an id are scored on their own."""
+    no evidence and gets the score of none. Rows that repeat an id are scored on their own."""
 
     def run(batches):
         good, bad = _compressors(model.good, model.bad, model.level)
         for batch in batches:
-            x = np.array([size_difference(t.as_py() or "", good, bad) for t in batch.column(1)], np.float64)
-            z = np.clip(model.bias + model.slope * x, -500, 500)
+            x = np.array([evidence(t.as_py() or "", good, bad) for t in batch.column(1)], np.float64).reshape(-1, 2)
+            z = np.clip(model.weights[0] + x @ np.array(model.weights[1:]), -500, 500)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(1 / (1 + np.exp(-z)))], names=[id_column, "score"])
 
     rows = docs.select(F.col(f"`{id_column}`").cast("long").alias(id_column), F.col(f"`{text_column}`").cast("string").alias("text"))

@@ -199,7 +199,7 @@ def train(docs: DataFrame, text_column: str = "text", cfg: Boosting = Boosting()
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.functions import array_to_vector
 
-    from tidemark.llm.compression_quality import _calibration
+    from tidemark.llm.compression_quality import calibration
 
     def run(batches):
         for batch in batches:
@@ -224,8 +224,8 @@ def train(docs: DataFrame, text_column: str = "text", cfg: Boosting = Boosting()
     rows = held.select("x", "label").collect()  # a quarter of the bounded sample
     x, y = np.array([r["x"] for r in rows]), np.array([r["label"] for r in rows])
     margin = sum(w * _walk(t, x) for t, w in zip(model.trees, model.weights, strict=True))
-    bias, slope = _calibration(margin, y)
-    return Model(model.trees, model.weights, bias, slope, cfg.confident)
+    bias, slope = calibration(margin, y)
+    return Model(model.trees, model.weights, float(bias), float(slope), cfg.confident)
 
 
 def selected(text: str | None, model: Model) -> list[tuple[int, int, int, bool]]:
