@@ -167,9 +167,10 @@ def normalize_identity(name: Column) -> Column:
     return F.regexp_replace(F.lower(F.coalesce(name, F.lit(""))), "[^a-z0-9]", "")
 
 
-def clean_tags(tags: Column, keep: int = 50, length: int = 100) -> Column:
+def clean_tags(tags: Column, most: int = 50, length: int = 100) -> Column:
+    """Trimmed, non-empty tags of at most `length` characters; null for a list of more than `most`, which is refused."""
     kept = F.filter(tags, lambda t: F.trim(t) != "")
-    return F.slice(F.transform(kept, lambda t: F.substring(F.trim(t), 1, length)), 1, keep)
+    return F.when(F.size(tags) <= most, F.transform(kept, lambda t: F.substring(F.trim(t), 1, length)))
 
 
 def status_bucket(status: Column) -> Column:
@@ -201,7 +202,7 @@ def parse_rate(text: Column) -> Column:
 
 def fingerprint(*parts: Column) -> Column:
     """Content key of the named parts; an upstream key is simply one of the parts."""
-    return F.sha2(F.concat_ws("|", *[F.coalesce(p.cast("string"), F.lit("~")) for p in parts]), 256)
+    return F.sha2(F.to_json(F.struct(*[p.cast("string").alias(f"p{i}") for i, p in enumerate(parts)]), {"ignoreNullFields": "false"}), 256)
 
 
 def progress_percent(done: Column, total: Column, low: int, high: int) -> Column:

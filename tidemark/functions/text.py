@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import unicodedata
 
 from pyspark.sql import Column
@@ -151,7 +153,7 @@ def lemmas_of(normal_text: Column) -> Column:
 
 def title_terms(title: Column, speaker: str) -> Column:
     """Content tokens, all-capital tokens and digits of a title without its speaker prefix."""
-    stripped = F.regexp_replace(title, rf"(?i)^{speaker}\s+(habla|comenta|explica)\s+(sobre\s+)?", "")
+    stripped = F.regexp_replace(title, rf"(?i)^{re.escape(speaker)}\s+(habla|comenta|explica)\s+(sobre\s+)?", "")
     upper = lambda t: (F.upper(t) == t) & (F.lower(t) != t)
     return F.filter(latin_tokens(stripped), lambda t: is_content(fold_token(t)) | upper(t) | t.rlike("^[0-9]+$"))
 

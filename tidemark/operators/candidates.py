@@ -11,7 +11,7 @@ from tidemark.config import CANDIDATE, CandidateConfig
 from tidemark.functions import scalar as sc
 from tidemark.functions import text as tx
 from tidemark.operators import terms as tm
-from tidemark.operators.chunked import ordered_scan, select_rounds
+from tidemark.operators.chunked import join_same, ordered_scan, select_rounds
 from tidemark.operators.intervals import overlap_join
 from tidemark.operators.ranges import split_long_ranges
 from tidemark.session import cut_lineage
@@ -174,18 +174,18 @@ def score_candidates(topics: DataFrame, segments: DataFrame, keys: Sequence[str]
         F.min_by("seg_start", "pos").alias("exact_start"), F.max_by("seg_end", "pos").alias("exact_end"), F.avg(clear).alias("transcript_quality"),
         F.transform(ordered, lambda x: x["seg_text"]).alias("texts"),
     )
-    base = cut_lineage(pieces.join(gathered, by, "left").select(
+    base = cut_lineage(join_same(pieces, gathered, by, "left").select(
         *by, F.coalesce("exact_start", "start").alias("exact_start"), F.coalesce("exact_end", "end").alias("exact_end"),
         F.coalesce("transcript_quality", F.lit(0.0)).alias("transcript_quality"), F.coalesce("texts", empty_strings()).alias("texts"),
     ).withColumn("text", F.array_join("texts", " ")))
     details = tm.distinctive_terms(base, by, list(keys)).withColumnRenamed("terms", "details")
-    rows = base.join(details, by, "left").withColumn("details", F.coalesce("details", F.expr("cast(array() as array<struct<term:string,score:double,frequency:bigint,document_frequency:bigint,distribution:double>>)")))
+    rows = join_same(base, details, by, "left").withColumn("details", F.coalesce("details", F.expr("cast(array() as array<struct<term:string,score:double,frequency:bigint,document_frequency:bigint,distribution:double>>)")))
     rows = rows.withColumn("terms", F.transform("details", lambda t: t["term"]))
     rows = rows.withColumn("label", topic_label(F.col("text"), F.col("terms")))
     rows = rows.withColumn("asked", F.concat(F.array("label"), tx.title_terms(candidate_title(F.col("label"), F.col("text"), empty_strings(), config.speaker), config.speaker), F.col("terms")))
     rows = cut_lineage(rows)
     best = tm.rank_sentences(rows, by, "text", "asked")
-    rows = rows.join(best, by, "left").withColumn("sentences", F.coalesce("sentences", empty_strings())).drop("asked")
+    rows = join_same(rows, best, by, "left").withColumn("sentences", F.coalesce("sentences", empty_strings())).drop("asked")
     rows = rows.withColumns({"title": candidate_title(F.col("label"), F.col("text"), F.col("sentences"), config.speaker), "n": tx.normalize(F.col("text")), "ns": tx.normalize(F.array_join("sentences", " "))})
     rows = rows.withColumns({"concepts": tx.title_terms(F.col("title"), config.speaker), "l": tx.lemmas_of(F.col("n")), "ls": tx.lemmas_of(F.col("ns"))})
     rows = cut_lineage(rows)
@@ -195,7 +195,7 @@ def score_candidates(topics: DataFrame, segments: DataFrame, keys: Sequence[str]
         "grounding_evidence": F.array_distinct(F.concat("g.evidence", "gs.evidence")), "unsupported_terms": F.col("g.unsupported"),
         "summary": extractive_summary(F.col("sentences"), F.col("concepts")), "keyword_quality": tm.keyword_quality(F.col("details"), F.col("n"), F.col("l")),
     })
-    rows = cut_lineage(rows.join(parent, [*keys, "block"]))
+    rows = cut_lineage(join_same(rows, parent, [*keys, "block"]))
     traced = F.forall(F.slice("sentences", 1, 2), lambda s: F.contains(F.col("text"), s))
     rows = rows.withColumns({
         "semantic_coherence": tm.semantic_coherence(F.col("coherence_score"), F.col("details")),

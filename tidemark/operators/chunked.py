@@ -10,9 +10,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from tidemark.session import cut_lineage
 
@@ -29,6 +32,13 @@ def _order(order: Sequence[str]) -> list[Column]:
     return [F.col(name) for name in order]
 
 
+def join_same(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on equal keys, where a null key equals a null key; the keys appear once."""
+    other = right.select(*[F.col(k).alias(f"__same_{k}") for k in keys], *[c for c in right.columns if c not in keys])
+    condition = [F.col(k).eqNullSafe(F.col(f"__same_{k}")) for k in keys]
+    return left.join(other, condition, how).drop(*[f"__same_{k}" for k in keys])
+
+
 def ordered_scan(
     df: DataFrame,
     keys: Sequence[str],
@@ -52,10 +62,11 @@ def ordered_scan(
     """
     lag, lead, cumsum, cummax = lag or {}, lead or {}, cumsum or {}, cummax or {}
     last, last_before, following = last or {}, last_before or {}, following or {}
-    base = df.withColumn("__c", chunk)
+    # One struct as key: its equality and hash take null fields as equal, and one partitioning serves window and join.
+    base = df.withColumn("__g", F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], chunk.alias("c")))
     inputs = {f"__in_{n}": e for group in (lag, lead, cumsum, cummax, last, last_before, following) for n, e in group.items()}
     base = base.withColumns(inputs) if inputs else base
-    by = [*keys, "__c"]
+    by = ["__g"]
     position = F.struct(*_order(order))
 
     aggregates = [F.count(F.lit(1)).alias("__n")]
@@ -72,7 +83,7 @@ def ordered_scan(
         value = F.when(F.col(f"__in_{n}").isNotNull(), F.struct(position.alias("p"), F.col(f"__in_{n}").alias("v")))
         aggregates.append(F.min(value)["v"].alias(f"__s_{n}"))
 
-    across = Window.partitionBy(*keys).orderBy("__c")
+    across = Window.partitionBy(*[F.col(f"__g.k{i}") for i in range(len(keys))]).orderBy(F.col("__g.c"))
     before = across.rowsBetween(Window.unboundedPreceding, -1)
     after = across.rowsBetween(1, Window.unboundedFollowing)
     carry = []
@@ -108,7 +119,7 @@ def ordered_scan(
     for n in following:
         steps[f"__l_{n}"] = F.first(f"__in_{n}", ignorenulls=True).over(onward)
 
-    joined = base.withColumns(steps).join(carried, by, "inner")
+    joined = base.withColumns(steps).join(carried, "__g")
     result = {}
     for n in lag:
         result[n] = F.when(F.col("__rn") > 1, F.col(f"__l_{n}")).otherwise(F.col("__tail")[n])
@@ -142,7 +153,7 @@ def number_runs(
     With `gap`, a run also ends where `gap(previous row struct, row)` holds; `edge` names the columns of that struct.
     One summary row per chunk (first and last row, changes inside) is enough to offset the chunk's own numbering.
     """
-    by = [*keys, "__c"]
+    by = ["__g"]
     local = Window.partitionBy(*by).orderBy(*_order(order))
     columns = [state, *edge]
     here = F.struct(*[F.col(c).alias(c) for c in columns])
@@ -151,7 +162,7 @@ def number_runs(
         changed = ~previous[state].eqNullSafe(current[state])
         return changed if gap is None else changed | F.coalesce(gap(previous, current), F.lit(False))
 
-    rows = df.withColumn("__c", chunk).withColumn("__here", here)
+    rows = df.withColumn("__g", F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], chunk.alias("c"))).withColumn("__here", here)
     rows = rows.withColumn("__prev", F.lag("__here").over(local))
     rows = rows.withColumn("__new", F.when(F.col("__prev").isNotNull(), differs(F.col("__prev"), F.col("__here")).cast("long")).otherwise(0))
     rows = rows.withColumn("__local", F.sum("__new").over(local))
@@ -159,13 +170,13 @@ def number_runs(
     edges = rows.groupBy(*by).agg(
         F.min_by("__here", position).alias("__head"), F.max_by("__here", position).alias("__tail"), F.max("__local").alias("__inside")
     )
-    across = Window.partitionBy(*keys).orderBy("__c")
+    across = Window.partitionBy(*[F.col(f"__g.k{i}") for i in range(len(keys))]).orderBy(F.col("__g.c"))
     before = F.lag("__tail").over(across)
     edges = edges.withColumn("__opens", F.when(before.isNotNull(), differs(before, F.col("__head")).cast("long")).otherwise(0))
     upto = across.rowsBetween(Window.unboundedPreceding, -1)
     offset = F.coalesce(F.sum(F.col("__inside") + F.col("__opens")).over(upto), F.lit(0)) + F.col("__opens")
     offsets = edges.select(*by, offset.alias("__offset"))
-    numbered = rows.join(offsets, by).withColumn(run, (F.col("__offset") + F.col("__local")).cast("long"))
+    numbered = rows.join(offsets, "__g").withColumn(run, (F.col("__offset") + F.col("__local")).cast("long"))
     return numbered.drop(*[c for c in numbered.columns if c.startswith("__")])
 
 
@@ -175,8 +186,8 @@ def attach_by_piece(
     """Bring run-level columns back to the rows. The rows are joined by (key, chunk, run), so that a run that spans
     most of a recording is spread over its chunks instead of meeting in one join key."""
     cut = rows.withColumn("__c", chunk)
-    pieces = cut.select(*keys, "__c", run).distinct().join(per_run, [*keys, run])
-    return cut.join(pieces, [*keys, "__c", run]).drop("__c")
+    pieces = join_same(cut.select(*keys, "__c", run).distinct(), per_run, [*keys, run])
+    return join_same(cut, pieces, [*keys, "__c", run]).drop("__c")
 
 
 def select_rounds(
@@ -194,7 +205,7 @@ def select_rounds(
     )
     taken = None
     for number in range(1, rounds + 1):
-        open_rows = source.join(current, list(keys)).where(
+        open_rows = join_same(source, current, keys).where(
             (F.col("__last").isNull() | (F.col(rank) > F.col("__last"))) & fits
         )
         best = open_rows.withColumns({f"__next_{n}": v[1] for n, v in state.items()}).groupBy(*keys).agg(
@@ -204,7 +215,7 @@ def select_rounds(
         chosen = best.select(*keys, F.col("__rank").alias(rank), F.lit(number).cast("long").alias("picked"))
         taken = chosen if taken is None else taken.unionByName(chosen)
         current = best.withColumnRenamed("__rank", "__last")
-    return source.join(taken, [*keys, rank], "left")
+    return join_same(source, taken, [*keys, rank], "left")
 
 
 def ordered_fold(
@@ -216,82 +227,99 @@ def ordered_fold(
     key; rows are plain tuples in column order. Rows stream through Arrow batches, sorted by Spark: a key is never
     held in memory, and ten thousand short keys cost one pass instead of ten thousand calls.
     """
-    columns, names = df.columns, [f.split()[0] for f in schema.split(", ")]
+    columns = df.columns
     at = [columns.index(k) for k in keys]
+    fields = to_arrow_schema(T._parse_datatype_string(schema))
+
+    def table(rows):
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(fields)], schema=fields)
 
     def run(batches):
         current, state = None, None
         for batch in batches:
             out = []
-            for row in zip(*[batch[c].tolist() for c in columns]):
+            for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 key = tuple(row[i] for i in at)
                 if key != current:
                     if state is not None and finish is not None:
                         out.extend(finish(state))
                     current, state = key, start()
                 out.extend(step(state, row))
-            yield pd.DataFrame(out, columns=names)
+            yield table(out)
         if state is not None and finish is not None:
-            yield pd.DataFrame(list(finish(state)), columns=names)
+            yield table(list(finish(state)))
 
-    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
 
 
 # ---------------------------------------------------------------------------------------------------------
 # Pointer chains: greedy packing rules of the form "a group that starts at i ends before next(i)".
 
 
-def chain_starts(df: DataFrame, keys: Sequence[str], *, rows: int = 4096, fan: int = 4096) -> DataFrame:
-    """Positions visited by following `nxt` from the first position of every key.
-
-    `df` has `keys`, dense `pos` (from 0) and `nxt` > `pos` (one past the last position ends the chain). The chain
-    is contracted twice: within chunks of `rows` positions every position learns where it leaves its chunk, only
-    positions that another chunk can enter survive to the next level, and so on. The top level then holds about
-    one row per `rows*fan` input rows of a key.
-    """
-    key_fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.select(*keys).schema.fields)
-    schema = f"{key_fields}, pos long, nxt long"
-    level0 = cut_lineage(df.select(*keys, F.col("pos").cast("long"), F.col("nxt").cast("long")))
-
-    width = len(keys)
-
-    def visited(level: DataFrame, starts: DataFrame, size: int | None) -> DataFrame:
-        marked = level.select(*keys, "pos", "nxt").join(starts.withColumn("entry", F.lit(True)), [*keys, "pos"], "left")
-        chunk = F.lit(0) if size is None else F.floor(F.col("pos") / size)
-        marked = marked.select(*keys, chunk.cast("long").alias("chunk"), "pos", "nxt", F.coalesce("entry", F.lit(False)).alias("entry"))
-
-        def step(state, row):
-            pos, nxt, entry = row[width + 1:]
-            if entry or state["at"] == pos:
-                state["at"] = nxt
-                yield (*row[:width], pos, nxt)
-
-        return ordered_fold(marked, [*keys, "chunk"], [F.col("pos")], lambda: {"at": None}, step, None, schema)
-
-    first = level0.groupBy(*keys).agg(F.min("pos").alias("pos"))
-    if (level0.agg(F.max("pos")).first()[0] or 0) < rows:
-        return visited(level0, first, rows).select(*keys, "pos")  # every chain fits one chunk
+def _jump(pos: np.ndarray, nxt: np.ndarray, end: int) -> np.ndarray:
+    """Where the chain from each position leaves the chunk that ends before `end`: pointer doubling over whole arrays."""
+    place = np.searchsorted(pos, nxt)
+    place = np.where((nxt < end) & (place < len(pos)) & (pos[np.minimum(place, len(pos) - 1)] == nxt), place, np.arange(len(pos)))
+    while not ((further := place[place]) == place).all():
+        place = further
+    return nxt[place]
 
-    def contract(level: DataFrame, size: int) -> DataFrame:
-        cut = level.select(*keys, F.floor(F.col("pos") / size).cast("long").alias("chunk"), "pos", "nxt")
 
-        def step(known, row):
-            chunk, pos, nxt = row[width:]
-            leaves = nxt if nxt >= (chunk + 1) * size else known.get(nxt, nxt)
-            known[pos] = leaves
-            yield (*row[:width], pos, leaves)
+def _visited(pos: np.ndarray, nxt: np.ndarray, entry: np.ndarray, end: int) -> np.ndarray:
+    """Which positions the chains from `entry` pass inside the chunk: marks spread by doubling jumps."""
+    place = np.searchsorted(pos, nxt)
+    inside = (nxt < end) & (place < len(pos)) & (pos[np.minimum(place, len(pos) - 1)] == nxt)
+    seen, jump, alive = entry.copy(), np.where(inside, place, np.arange(len(pos))), inside.copy()
+    while alive.any():
+        marked = np.flatnonzero(seen & alive)
+        seen[jump[marked]] = True
+        alive = alive & alive[jump]
+        jump = jump[jump]
+    return seen
 
-        return ordered_fold(cut, [*keys, "chunk"], [F.col("pos").desc()], dict, step, None, schema)
 
-    def entries(level: DataFrame) -> DataFrame:
-        firsts = level.groupBy(*keys).agg(F.min("pos").alias("pos"))
-        return level.select(*keys, F.col("nxt").alias("pos")).unionByName(firsts).distinct()
-
-    exits0 = cut_lineage(contract(level0, rows))
-    level1 = exits0.join(entries(exits0), [*keys, "pos"])
-    exits1 = cut_lineage(contract(level1, rows * fan))
-    level2 = exits1.join(entries(exits1), [*keys, "pos"])
+def chain_starts(df: DataFrame, keys: Sequence[str], *, rows: int = 4096, fan: int = 64) -> DataFrame:
+    """Positions visited by following `nxt` from the first position of every key.
 
-    top = visited(level2, first, None).select(*keys, "pos")
-    mid = visited(level1, top, rows * fan).select(*keys, "pos")
-    return visited(level0, mid, rows).select(*keys, "pos")
+    `df` has `keys`, dense `pos` (from 0) and `nxt` > `pos` (one past the last position ends the chain). Chains are
+    contracted level by level: within chunks of `rows` positions every position learns, by pointer doubling over arrays,
+    where it leaves its chunk; only positions that another chunk can enter go on, in chunks `fan` times as wide. Once a
+    chunk spans the longest key, the visited positions are marked downwards through the same levels. Where chains do not
+    merge, a level keeps up to as many rows as enter its chunks; a chunk is handled as arrays of three numbers a row.
+    """
+    names = [f"__k{i}" for i in range(len(keys))]
+    base = df.select(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)], F.col("pos").cast("long"), F.col("nxt").cast("long"))
+    key_fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in base.select(*names).schema.fields)
+    levels = [cut_lineage(base)]
+    first = cut_lineage(base.groupBy(*names).agg(F.min("pos").alias("pos")))
+    longest = levels[0].agg(F.max("pos")).first()[0] or 0
+
+    def by_chunk(level: DataFrame, size: int, columns: Sequence[str], work: Callable, fields: str) -> DataFrame:
+        """Apply `work(arrays, end of chunk)`, which gives a mask or new `nxt`, to each chunk of sorted positions."""
+        cut = level.select(*names, F.floor(F.col("pos") / size).cast("long").alias("__chunk"), *columns)
+
+        def run(key, table):
+            table = table.sort_by("pos").combine_chunks()
+            return work(table, (key[-1].as_py() + 1) * size)
+
+        return cut.groupBy(*names, "__chunk").applyInArrow(run, fields)
+
+    def contract(table: pa.Table, end: int) -> pa.Table:
+        leaves = _jump(table.column("pos").to_numpy(), table.column("nxt").to_numpy(), end)
+        return table.select([*names, "pos"]).append_column("nxt", pa.array(leaves, pa.int64()))
+
+    def mark(table: pa.Table, end: int) -> pa.Table:
+        seen = _visited(table.column("pos").to_numpy(), table.column("nxt").to_numpy(), table.column("entry").to_numpy(zero_copy_only=False).astype(bool), end)
+        return table.select([*names, "pos"]).filter(pa.array(seen))
+
+    sizes = [rows]
+    while longest >= sizes[-1]:
+        exits = cut_lineage(by_chunk(levels[-1], sizes[-1], ["pos", "nxt"], contract, f"{key_fields}, pos long, nxt long"))
+        entered = exits.select(*names, F.col("nxt").alias("pos")).unionByName(first).distinct()
+        levels.append(cut_lineage(join_same(exits, entered, [*names, "pos"])))
+        sizes.append(sizes[-1] * fan)
+    seen = first
+    for level, size in zip(reversed(levels), reversed(sizes), strict=True):
+        marked = join_same(level, seen.withColumn("entry", F.lit(True)), [*names, "pos"], "left").withColumn("entry", F.coalesce("entry", F.lit(False)))
+        seen = by_chunk(marked, size, ["pos", "nxt", "entry"], mark, f"{key_fields}, pos long")
+    return seen.select(*[F.col(n).alias(k) for k, n in zip(keys, names, strict=True)], "pos")

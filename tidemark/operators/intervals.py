@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.config import BOX, SILENCE
-from tidemark.operators.chunked import chain_starts, index_chunk, number_runs, ordered_scan
+from tidemark.operators.chunked import chain_starts, index_chunk, join_same, number_runs, ordered_scan
 from tidemark.session import cut_lineage
 
 END = 1 << 60
@@ -27,9 +27,9 @@ def scan_silence_log(lines: DataFrame, durations: DataFrame, keys: Sequence[str]
         *keys, order, F.when(start != "", "start").when(end != "", "end").alias("kind"),
         F.when(start != "", start).otherwise(end).try_cast("double").alias("value"),
     ).where("kind IS NOT NULL")
-    near = ordered_scan(
+    near = join_same(ordered_scan(
         marks, keys, [order], index_chunk(order), lag={"prior_kind": F.col("kind"), "prior": F.col("value")}, lead={"next_kind": F.col("kind")}
-    ).join(durations, list(keys))
+    ), durations, keys)
     closed = (F.col("kind") == "end") & (F.col("prior_kind") == "start")
     trailing = (F.col("kind") == "start") & F.col("next_kind").isNull()
     pairs = near.where(closed | trailing).select(
@@ -51,7 +51,7 @@ def silence_cuts(
     minimum: float = SILENCE.minimum, remove_after: float = SILENCE.remove_after, padding: float = SILENCE.padding,
 ) -> DataFrame:
     """Centred cuts inside the silences, overlapping cuts merged."""
-    clipped = silences.join(durations, list(keys)).select(
+    clipped = join_same(silences, durations, keys).select(
         *keys, F.greatest(F.lit(0.0), "start").alias("s"), F.least("source_duration", "end").alias("e")
     ).withColumn("d", F.col("e") - F.col("s"))
     keep = F.when(F.col("d") > remove_after, padding * 2).otherwise(max(padding * 2, 0.8))
@@ -70,13 +70,13 @@ def keep_list(cuts: DataFrame, durations: DataFrame, keys: Sequence[str] = ("cli
     cuts = cut_lineage(cuts)
     gaps = ordered_scan(cuts, keys, ["cut"], index_chunk("cut"), lag={"prior": F.col("end")})
     heads = gaps.select(*keys, F.coalesce("prior", F.lit(0.0)).alias("a"), F.col("start").alias("b"))
-    tails = durations.join(cuts.groupBy(*keys).agg(F.max("end").alias("last")), list(keys), "left").select(
+    tails = join_same(durations, cuts.groupBy(*keys).agg(F.max("end").alias("last")), keys, "left").select(
         *keys, F.coalesce("last", F.lit(0.0)).alias("a"), F.col("source_duration").alias("b")
     )
     pieces = heads.unionByName(tails).where(F.col("b") > F.col("a") + 0.01)
     placed = ordered_scan(pieces, keys, ["a"], time_chunk("a"), cumsum={"output_start": F.col("b") - F.col("a")})
     kept = placed.select(*keys, F.col("a").alias("source_start"), F.col("b").alias("source_end"), F.col("output_start").cast("double").alias("output_start"))
-    whole = durations.where("source_duration > 0").join(pieces.select(*keys).distinct(), list(keys), "left_anti").select(
+    whole = join_same(durations.where("source_duration > 0"), pieces.select(*keys).distinct(), keys, "left_anti").select(
         *keys, F.lit(0.0).alias("source_start"), F.col("source_duration").alias("source_end"), F.lit(0.0).alias("output_start")
     )
     return kept.unionByName(whole)
@@ -84,7 +84,7 @@ def keep_list(cuts: DataFrame, durations: DataFrame, keys: Sequence[str] = ("cli
 
 def speech_region_stats(regions: DataFrame, durations: DataFrame, keys: Sequence[str] = ("clip_id",)) -> DataFrame:
     """Voice share, runs and silences of every clip, head and tail silence included."""
-    inside = regions.join(durations, list(keys)).where("end > start").select(
+    inside = join_same(regions, durations, keys).where("end > start").select(
         *keys, F.greatest(F.lit(0.0), "start").alias("s"), F.least("source_duration", "end").alias("e")
     )
     seen = ordered_scan(inside, keys, ["s", "e"], time_chunk("s"), cummax={"cursor": F.col("e")})
@@ -95,7 +95,7 @@ def speech_region_stats(regions: DataFrame, durations: DataFrame, keys: Sequence
     )
     d = F.col("source_duration")
     ratio = F.when(d > 0, F.least(F.lit(1.0), F.coalesce("voiced", F.lit(0.0)) / d)).otherwise(0.0)
-    return durations.join(facts, list(keys), "left").select(
+    return join_same(durations, facts, keys, "left").select(
         *keys, ratio.alias("voice_ratio"), F.coalesce("voiced", F.lit(0.0)).alias("voiced_seconds"),
         F.coalesce("longest", F.lit(0.0)).alias("longest_speech_run"), F.coalesce("n", F.lit(0)).alias("number_of_speech_regions"),
         F.greatest(F.coalesce("quiet", F.lit(0.0)), d - F.greatest(F.lit(0.0), F.coalesce("reach", F.lit(0.0)))).alias("longest_silence"),
@@ -118,7 +118,7 @@ def range_join(
         return df.withColumn(f"__{tag}", low).withColumn("__b", F.explode(F.sequence(low, F.greatest(low, high))))
 
     a, b = spread(left, left_range, "la"), spread(right, right_range, "lb")
-    pairs = a.join(b, [*keys, "__b"]).where(condition & (F.col("__b") == F.greatest("__la", "__lb")))
+    pairs = join_same(a, b, [*keys, "__b"]).where(condition & (F.col("__b") == F.greatest("__la", "__lb")))
     return pairs.drop("__b", "__la", "__lb")
 
 
@@ -153,13 +153,13 @@ def scene_cuts(scores: DataFrame, keys: Sequence[str], at: str, score: str, thre
     placed = cut_lineage(placed)
     found = next_at_or_after(placed, keys, "at", "pos", placed.withColumn("until", F.col("at") + minimum), "until", 900.0)
     links = found.select(*keys, "pos", F.coalesce("found", F.lit(END)).alias("nxt"))
-    return placed.join(chain_starts(links, keys), [*keys, "pos"]).select(*keys, "at")
+    return join_same(placed, chain_starts(links, keys), [*keys, "pos"]).select(*keys, "at")
 
 
 def scenes_between(cuts: DataFrame, durations: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Scenes from 0 over every cut to the end."""
     bounds = durations.select(*keys, F.lit(0.0).alias("at")).unionByName(cuts.select(*keys, "at"))
-    ended = ordered_scan(bounds, keys, ["at"], time_chunk("at"), lead={"next_at": F.col("at")}).join(durations, list(keys))
+    ended = join_same(ordered_scan(bounds, keys, ["at"], time_chunk("at"), lead={"next_at": F.col("at")}), durations, keys)
     return ended.select(*keys, F.round("at", 3).alias("start"), F.round(F.coalesce("next_at", "duration"), 3).alias("end")).where("end > start")
 
 
@@ -175,7 +175,7 @@ def merge_short_scenes(scenes: DataFrame, keys: Sequence[str], minimum: float =
 
 def coverage_problems(segments: DataFrame, durations: DataFrame, keys: Sequence[str], run: str) -> DataFrame:
     """Order, gap, overlap and end problems of a segment list, and every start snapped to the end before it."""
-    near = ordered_scan(segments, keys, [run], index_chunk(run), lag={"cursor": F.col("end")}, lead={"next_start": F.col("start")}).join(durations, list(keys))
+    near = join_same(ordered_scan(segments, keys, [run], index_chunk(run), lag={"cursor": F.col("end")}, lead={"next_start": F.col("start")}), durations, keys)
     cursor = F.coalesce("cursor", F.lit(0.0))
     problem = (
         F.when((F.col("start") < cursor - 0.02) | (F.col("end") <= F.col("start")), "invalid_times")
@@ -195,7 +195,7 @@ def chapter_hints(windows: DataFrame, chapters: DataFrame, keys: Sequence[str],
     has = lambda words: F.exists(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(title, w))
     hint = F.when(has(talking), "talking").when(has(gameplay), "gameplay")
     ends = windows.groupBy(*keys).agg(F.max("end").alias("__limit"))
-    hinted = chapters.withColumn("hint", hint).where("hint IS NOT NULL").join(ends, list(keys)).select(
+    hinted = join_same(chapters.withColumn("hint", hint).where("hint IS NOT NULL"), ends, keys).select(
         *keys, "chapter_ord", "hint", F.coalesce("start_time", F.lit(0.0)).alias("c_start"),
         F.coalesce(F.nullif("end_time", F.lit(0.0)), F.col("__limit") + 1).alias("c_end"),
     ).where("c_start < c_end")
@@ -206,4 +206,4 @@ def chapter_hints(windows: DataFrame, chapters: DataFrame, keys: Sequence[str],
     reason = F.when(F.col("chapter_phase") == "talking", "chapter_title_chatting_hint").when(
         F.col("chapter_phase") == "gameplay", "chapter_title_gameplay_hint"
     )
-    return windows.select(*keys, "idx").join(best, [*keys, "idx"], "left").withColumn("chapter_reason", reason)
+    return join_same(windows.select(*keys, "idx"), best, [*keys, "idx"], "left").withColumn("chapter_reason", reason)

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.chunked import join_same
 from tidemark.functions import scalar as sc
 
 
@@ -32,8 +33,14 @@ def sweep_interrupted(jobs: DataFrame, active: Sequence[str], now: Column | str)
     })
 
 
-def upsert_rows(base: DataFrame, changes: DataFrame, key: str, fields: Sequence[str], now: str) -> DataFrame:
-    """Insert new keys and overwrite the non-null fields of known ones; touched rows get a new time stamp."""
+def upsert_rows(base: DataFrame, changes: DataFrame, key: str, fields: Sequence[str], now: str, newest: Sequence[Column] = ()) -> DataFrame:
+    """Insert new keys and overwrite the non-null fields of known ones; touched rows get a new time stamp.
+
+    Several changes of one key become one first: of each field the value of the newest change that has one, by `newest`
+    (the largest value where no order is given).
+    """
+    order = lambda f: F.struct(*newest, F.col(f))
+    changes = changes.groupBy(key).agg(*[F.max_by(f, F.when(F.col(f).isNotNull(), order(f))).alias(f) for f in fields])
     merged = base.select(key, *fields, "updated_at").join(
         changes.select(key, *[F.col(f).alias(f"new_{f}") for f in fields], F.lit(True).alias("touched")), key, "full"
     )
@@ -53,12 +60,12 @@ def guarded_delete(jobs: DataFrame, wanted: DataFrame, active: Sequence[str] = t
 
 
 def missing_work(planned: DataFrame, done: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return planned.join(done.select(*keys), list(keys), "left_anti")
+    return join_same(planned, done.select(*keys), keys, "left_anti")
 
 
 def fill_missing(planned: DataFrame, done: DataFrame, keys: Sequence[str], defaults: dict[str, Column], warning: str) -> DataFrame:
     """Planned rows with their results; missing ones get defaults and a warning."""
-    joined = planned.join(done.withColumn("__done", F.lit(True)), list(keys), "left")
+    joined = join_same(planned, done.withColumn("__done", F.lit(True)), keys, "left")
     return joined.withColumns({
         **{name: F.coalesce(name, value) for name, value in defaults.items()},
         "warning": F.when(F.col("__done").isNull(), warning),

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.chunked import join_same
 from tidemark.functions.scalar import format_timecode
 
 NOTES = [
@@ -22,7 +23,7 @@ def detector_boundaries(segments: DataFrame, blocks: DataFrame, keys: Sequence[s
         first("start").alias("talking_start"), first("end").alias("talking_end"), at(2, "start").alias("talking_block_2_start"),
         at(2, "end").alias("talking_block_2_end"), at(3, "start").alias("talking_block_3_start"), at(3, "end").alias("talking_block_3_end"))
     game = segments.where("phase = 'gameplay'").groupBy(*keys).agg(F.min("start").alias("gameplay_start"), F.min_by("end", "start").alias("gameplay_end"))
-    wide = segments.select(*keys).distinct().join(talk, list(keys), "left").join(game, list(keys), "left")
+    wide = join_same(join_same(segments.select(*keys).distinct(), talk, keys, "left"), game, keys, "left")
     return wide.unpivot(list(keys), NOTES, "transition", "detector_seconds")
 
 
@@ -30,7 +31,7 @@ def compare_notes(boundaries: DataFrame, notes: DataFrame, keys: Sequence[str] =
     """Errors of the detector for every note that was taken. `notes` has one column per boundary."""
     taken = notes.unpivot(list(keys), NOTES, "transition", "actual_seconds").where("actual_seconds IS NOT NULL")
     error = F.col("detector_seconds") - F.col("actual_seconds")
-    return taken.join(boundaries, [*keys, "transition"], "left").select(
+    return join_same(taken, boundaries, [*keys, "transition"], "left").select(
         *keys, "transition", "detector_seconds", "actual_seconds", error.alias("error_seconds"), F.abs(error).alias("absolute_error_seconds"))
 
 
@@ -48,7 +49,7 @@ def segment_metrics(segments: DataFrame, comparisons: DataFrame, keys: Sequence[
         # At most eight transitions exist, so the map is small.
         F.map_from_entries(F.sort_array(F.collect_list(F.when(F.col("error_seconds").isNotNull(), F.struct("transition", "error_seconds"))))).alias("error_by_transition"))
     over = lambda found, noted_: F.when(F.coalesce(noted_, F.lit(0)) > 0, F.greatest(F.lit(0), found - noted_)).otherwise(0)
-    return facts.join(errors, list(keys), "left").select(
+    return join_same(facts, errors, keys, "left").select(
         *keys, "mean_absolute_error_seconds", "maximum_absolute_error_seconds", "error_by_transition", "detected_phase_count",
         F.coalesce("omitted", F.lit(0)).alias("omitted_phase_count"),
         (over(F.col("talk"), F.col("noted_talk")) + over(F.col("game"), F.col("noted_game"))).cast("long").alias("false_detection_count"), "mean_confidence")

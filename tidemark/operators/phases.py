@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.config import GAMEPLAY_WORDS, LAYOUT, PHASE, PHASES, TALKING_WORDS, PhaseConfig
-from tidemark.operators.chunked import attach_by_piece, index_chunk, number_runs, ordered_fold, ordered_scan
+from tidemark.operators.chunked import attach_by_piece, index_chunk, join_same, number_runs, ordered_fold, ordered_scan
 from tidemark.operators.timeline import KEYS, ordered_labels, representatives, robust_confidence
 from tidemark.session import cut_lineage
 
@@ -22,7 +22,7 @@ def windows_from_layout(
 ) -> DataFrame:
     """Confirmed layout samples as phase windows with one-hot scores of the raw phase."""
     phases = representatives(samples, keys).withColumnsRenamed({"layout_id": "accepted", "phase": "new_phase"})
-    rows = confirmed.join(phases, [*keys, "accepted"]).join(durations, list(keys))
+    rows = join_same(join_same(confirmed, phases, [*keys, "accepted"]), durations, keys)
     scores = [F.when(F.col("phase") == p, F.col("confidence")).otherwise(0.0).alias(p) for p in PHASES]
     changed = F.when(F.col("accepted") != F.col("layout_id"), F.lit("layout_hysteresis"))
     return rows.select(
@@ -178,9 +178,9 @@ def compose_scan(
     group = F.floor(F.col("seq") / fan).cast("long")
     level1 = cut_lineage(level0.withColumn("__g", group).groupBy(*keys, "__g").applyInPandas(lambda p: fold(p), out_step))
     level2 = level1.withColumn("__g", group).groupBy(*keys, "__g").applyInPandas(lambda p: fold(p), out_step)
-    top = level2.join(start, list(keys)).groupBy(*keys).applyInPandas(spread, out_state)
+    top = join_same(level2, start, keys).groupBy(*keys).applyInPandas(spread, out_state)
     for level in (level1, level0):
-        down = level.withColumn("__g", group).join(top.withColumnRenamed("seq", "__g"), [*keys, "__g"])
+        down = join_same(level.withColumn("__g", group), top.withColumnRenamed("seq", "__g"), [*keys, "__g"])
         top = down.groupBy(*keys, "__g").applyInPandas(spread, out_state)
     return top
 
@@ -263,13 +263,13 @@ def smooth_phases(windows: DataFrame, keys: Sequence[str] = KEYS, config: PhaseC
         matrices = slim.groupBy(*by).applyInPandas(matrix, f"{key_fields}, seq long, step array<bigint>")
         zero = slim.select(*keys).distinct().withColumn("state", F.array(*[F.lit(0).cast("long")] * 4))
         entries = cut_lineage(compose_scan(matrices, keys, _min_plus, lambda s, m: (s[:, None] + m.reshape(4, 4)).min(axis=0), zero))
-        entered = slim.join(entries, by)
+        entered = join_same(slim, entries, by)
         origins = cut_lineage(entered.groupBy(*by).applyInPandas(ends, f"{key_fields}, seq long, step array<bigint>, last long"))
         final = origins.groupBy(*keys).agg(F.array(F.max_by("last", "seq")).alias("state"))
         finals = compose_scan(origins.drop("last"), keys, lambda a, b: b[a], lambda s, m: m[s], final, backward=True)
-        ready = entered.join(finals.withColumnRenamed("state", "end_state"), by)
+        ready = join_same(entered, finals.withColumnRenamed("state", "end_state"), by)
         paths = ready.groupBy(*by).applyInPandas(path, out)
-    joined = windows.join(paths, [*keys, "idx"])
+    joined = join_same(windows, paths, [*keys, "idx"])
     score = F.coalesce(*[F.when(F.col("phase") == p, F.col(p)) for p in PHASES])
     moved = F.col("phase") != F.col("raw_phase")
     return joined.withColumns({
@@ -313,7 +313,7 @@ def _segments(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
         F.min_by("start", "idx").alias("start"), F.max_by("end", "idx").alias("end"), F.min("phase").alias("phase"), F.count(F.lit(1)).alias("window_count"),
         F.bool_or(F.array_contains("reasons", "high_motion") | F.array_contains("reasons", "high_scene_change")).alias("lively"),
     )
-    return merged.join(robust_confidence(rows, [*keys, "run"]), [*keys, "run"]).withColumnRenamed("robust_confidence", "confidence")
+    return join_same(merged, robust_confidence(rows, [*keys, "run"]), [*keys, "run"]).withColumnRenamed("robust_confidence", "confidence")
 
 
 def merge_phase_runs(windows: DataFrame, keys: Sequence[str] = KEYS, labels: bool = True) -> DataFrame:
@@ -322,8 +322,8 @@ def merge_phase_runs(windows: DataFrame, keys: Sequence[str] = KEYS, labels: boo
     merged = _segments(rows, keys)
     if labels:
         both = rows.withColumn("both", F.concat("reasons", "smoothing_reasons"))
-        merged = merged.join(ordered_labels(both, [*keys, "run"], "both", "idx", "reasons"), [*keys, "run"], "left")
-        merged = merged.join(ordered_labels(rows, [*keys, "run"], "warnings", "idx", "warnings"), [*keys, "run"], "left")
+        merged = join_same(merged, ordered_labels(both, [*keys, "run"], "both", "idx", "reasons"), [*keys, "run"], "left")
+        merged = join_same(merged, ordered_labels(rows, [*keys, "run"], "warnings", "idx", "warnings"), [*keys, "run"], "left")
         empty = F.array().cast("array<string>")
         merged = merged.withColumns({"reasons": F.coalesce("reasons", empty), "warnings": F.coalesce("warnings", empty)})
     return merged

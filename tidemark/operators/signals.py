@@ -9,23 +9,43 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.chunked import index_chunk, ordered_scan
+from tidemark.operators.chunked import index_chunk, join_same, ordered_scan
 
 
 def frame_stats(samples: DataFrame, keys: Sequence[str], idx: str, value: str, frame: int = 400) -> DataFrame:
     """RMS statistics over frames, peak, zero crossings and energy continuity per clip.
 
-    Frames are map-side-combined sums, so only one row per frame reaches the clip level.
+    Only full frames count, unless a clip has none. Frames are map-side-combined sums, so only one row per frame reaches the clip level.
     """
     x = F.col(value)
-    frames = samples.groupBy(*keys, F.floor(F.col(idx) / frame).alias("f")).agg(F.sqrt(F.avg(x * x) + 1e-12).alias("rms"))
-    level = frames.groupBy(*keys).agg(
-        F.avg("rms").alias("rms_mean"), F.var_pop("rms").alias("rms_variance"), (F.percentile("rms", F.lit(0.95)) - F.percentile("rms", F.lit(0.10))).alias("dynamic_range"))
+    frames = samples.groupBy(*keys, F.floor(F.col(idx) / frame).alias("f")).agg(F.sqrt(F.avg(x * x) + 1e-12).alias("rms"), (F.count(x) == frame).alias("full"))
+    whole = F.when(F.col("full"), F.col("rms"))
+    over = lambda f: F.coalesce(f(whole), f(F.col("rms")))
+    level = join_same(
+        frames.groupBy(*keys).agg(over(F.avg).alias("rms_mean"), over(F.var_pop).alias("rms_variance"), F.max("full").alias("any_full")),
+        spread(join_same(frames, frames.groupBy(*keys).agg(F.max("full").alias("any_full")), keys).where("full OR NOT any_full"), keys, "rms"), keys).drop("any_full")
     near = ordered_scan(samples, keys, [idx], index_chunk(idx), lag={"before": x})
     crossed = F.when(F.col("before").isNotNull(), F.when((x < 0) != (F.col("before") < 0), 1.0).otherwise(0.0))
     shape = near.groupBy(*keys).agg(F.max(F.abs(x)).alias("peak_level"), F.coalesce(F.avg(crossed), F.lit(0.0)).alias("zero_crossing_rate"))
     steady = F.greatest(F.lit(0.0), 1 - F.least(F.lit(1.0), F.col("rms_variance") / F.greatest(F.col("rms_mean") * F.col("rms_mean"), F.lit(1e-8))))
-    return level.join(shape, list(keys)).withColumn("energy_continuity", steady)
+    return join_same(level, shape, keys).withColumn("energy_continuity", steady)
+
+
+def spread(frames: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """(keys, dynamic_range): distance of the 95th from the 10th percentile, exact and interpolated.
+
+    Rows are ranked in bands of the value, so no buffer holds a clip; of each clip only the four rows at the wanted ranks go on.
+    """
+    ranked = ordered_scan(frames.select(*keys, value), keys, [value], F.floor(F.log2(F.col(value)) * 256).cast("long"), row_number="rn")
+    sized = join_same(ranked, frames.groupBy(*keys).agg(F.count(value).alias("n")), keys)
+
+    def at(share: float):
+        place = (F.col("n") - 1) * share
+        low, high = F.floor(place), F.ceil(place)
+        pick = lambda rank: F.max(F.when(F.col("rn") == rank + 1, F.col(value)))
+        return pick(low) + (pick(high) - pick(low)) * F.max(place - low)
+
+    return sized.groupBy(*keys).agg((at(0.95) - at(0.10)).alias("dynamic_range"))
 
 
 def spectral_flatness(samples: DataFrame, keys: Sequence[str], idx: str, value: str, head: int = 64_000) -> DataFrame:

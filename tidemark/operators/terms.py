@@ -7,6 +7,8 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+
+from tidemark.operators.chunked import join_same
 from pyspark.sql import types as T
 
 from tidemark.functions import text as tx
@@ -65,7 +67,7 @@ def distinctive_terms(
         counted = counts.withColumns({"document_frequency": F.lit(1), "documents": F.lit(1)})
     else:
         sizes = texts.groupBy(*corpus).agg(F.count(F.lit(1)).alias("documents"))
-        counted = counts.join(document_frequency(counts, corpus), [*corpus, "term"]).join(sizes, list(corpus))
+        counted = join_same(join_same(counts, document_frequency(counts, corpus), [*corpus, "term"]), sizes, corpus)
     gathered = counted.groupBy(*keys).agg(
         F.first("documents").alias("documents"), F.collect_list(F.struct("term", "frequency", "document_frequency")).alias("counted")
     )
@@ -73,7 +75,7 @@ def distinctive_terms(
         low = lambda i: F.floor(F.length(n) * i / 4).cast("int")
         return F.array(*[F.substr(n, low(i) + 1, low(i + 1) - low(i)) for i in range(4)])
 
-    normal = texts.select(*keys, tx.bind(tx.normalize(F.col(text)), quarters).alias("quarters")).join(gathered, list(keys))
+    normal = join_same(texts.select(*keys, tx.bind(tx.normalize(F.col(text)), quarters).alias("quarters")), gathered, keys)
     shares = quarter_shares("quarters", F.transform("counted", lambda t: tx.normalize(t["term"])))
     rows = normal.select(*keys, "documents", "counted", shares.alias("shares"))
 
@@ -133,7 +135,7 @@ def hash_features(texts: DataFrame, keys: Sequence[str], text: str = "text", dim
     sums = features.select(*keys, (value % dimensions).alias("dim"), F.when(value % 2 == 1, 1.0).otherwise(-1.0).alias("s"))
     sums = sums.groupBy(*keys, "dim").agg(F.sum("s").alias("total")).where("total <> 0")
     lengths = sums.groupBy(*keys).agg(F.sqrt(F.sum(F.col("total") * F.col("total"))).alias("length"))
-    return sums.join(lengths, list(keys)).select(*keys, "dim", (F.col("total") / F.col("length")).alias("weight"))
+    return join_same(sums, lengths, keys).select(*keys, "dim", (F.col("total") / F.col("length")).alias("weight"))
 
 
 def hash_embedding(texts: DataFrame, keys: Sequence[str], text: str = "text", dimensions: int = 384) -> DataFrame:
@@ -143,7 +145,7 @@ def hash_embedding(texts: DataFrame, keys: Sequence[str], text: str = "text", di
     )
     dense = F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda i: F.coalesce(F.element_at("m", i), F.lit(0.0)))
     blank = F.array_repeat(F.lit(0.0), dimensions)
-    return texts.select(*keys).join(sparse, list(keys), "left").select(
+    return join_same(texts.select(*keys), sparse, keys, "left").select(
         *keys, F.when(F.col("m").isNull(), blank).otherwise(dense).alias("embedding")
     )
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.config import LAYOUT, PHASE, PHASES
-from tidemark.operators.chunked import attach_by_piece, index_chunk, number_runs, ordered_scan, select_rounds
+from tidemark.operators.chunked import attach_by_piece, index_chunk, join_same, number_runs, ordered_scan, select_rounds
 from tidemark.session import cut_lineage
 
 KEYS = ("vod_id",)
@@ -69,7 +69,7 @@ def merge_state_runs(
         F.count(F.lit(1)).alias("sample_count"),
         *[F.median(m).alias(m) for m in medians],
     )
-    bounded = merged.join(durations, list(keys)).withColumn("end", F.least("duration", F.col("last_at") + interval))
+    bounded = join_same(merged, durations, keys).withColumn("end", F.least("duration", F.col("last_at") + interval))
     return bounded.where("end > start").drop("last_at", "duration")
 
 
@@ -150,7 +150,7 @@ def classify_blocks(
         ending.alias("end_transition"),
     )
     primary = primary_block(blocks, keys, minimum).select(*keys, F.col("number").alias("primary_number"))
-    marked = blocks.join(primary, list(keys), "left")
+    marked = join_same(blocks, primary, keys, "left")
     is_primary = F.col("number") == F.col("primary_number")
     return marked.withColumns({
         "relevance": F.when(is_primary, "primary").otherwise(F.col("relevance")),
@@ -208,7 +208,7 @@ def layout_segments(samples: DataFrame, keys: Sequence[str] = KEYS, confirmation
     phases = representatives(samples, keys).withColumnRenamed("layout_id", "accepted")
     merged = merge_state_runs(confirmed, durations_of(samples, keys, interval), keys, interval=interval)
     named = phases.withColumnRenamed("accepted", "layout_id").withColumnRenamed("phase", "state_phase")
-    return cut_lineage(merged.join(named, [*keys, "layout_id"]).withColumn("phase", F.col("state_phase")).drop("state_phase"))
+    return cut_lineage(join_same(merged, named, [*keys, "layout_id"]).withColumn("phase", F.col("state_phase")).drop("state_phase"))
 
 
 def layout_timeline(samples: DataFrame, keys: Sequence[str] = KEYS, confirmation: int = LAYOUT.confirmation, interval: float = LAYOUT.sample_seconds) -> DataFrame:
@@ -220,7 +220,7 @@ def layout_timeline(samples: DataFrame, keys: Sequence[str] = KEYS, confirmation
         (F.max("frame_timestamp") + interval).alias("duration"),
     )
     total = F.greatest(F.lit(1), F.floor((F.col("duration") - 1e-6) / interval) + 1).cast("long")
-    return facts.join(segs, list(keys), "left").select(
+    return join_same(facts, segs, keys, "left").select(
         *keys, F.coalesce("segments", F.lit(0)).alias("segments"), "completed_samples", total.alias("total_samples"),
         F.when(F.col("blank"), F.array(F.lit("layout_no_determinable_samples"))).otherwise(F.array().cast("array<string>")).alias("warnings"),
     )

@@ -135,13 +135,12 @@ def q_region_match(spark, folder):
     return m.select("clip_id", "scene_id", F.col("region_position").alias("position"), F.col("region_ord").cast("long").alias("region_ord"))
 
 
-@query("roi_lookup", with_views("rects", f"""SELECT r.clip_id, r.frame_index, r.det_a, r.det_b, r.det_c, m.pos AS matched FROM rects r LEFT JOIN (SELECT x, y, width, height, min_by(pos, ord) AS pos FROM (SELECT DISTINCT x, y, width, height FROM rects), ({_REGIONS}) WHERE {_RIOU} >= 0.02 GROUP BY 1, 2, 3, 4) m
+@query("roi_lookup", with_views("rects", f"""SELECT r.clip_id, r.frame_index, r.det_a, r.det_b, r.det_c, coalesce(m.pos, 'profile_default') AS matched FROM rects r LEFT JOIN (SELECT x, y, width, height, min_by(pos, ord) AS pos FROM (SELECT DISTINCT x, y, width, height FROM rects), ({_REGIONS}) WHERE {_RIOU} >= 0.5 GROUP BY 1, 2, 3, 4) m
     ON m.x = r.x AND m.y = r.y AND m.width = r.width AND m.height = r.height"""))
 def q_roi(spark, folder):
     # The regions of one profile ride along as an array of three; no pair table is built.
-    regions = F.array(*[F.struct(F.lit(n).alias("position"), g.rect(*[F.lit(v) for v in b]).alias("region")) for n, _, b in _PROFILES])
-    fits = F.filter(regions, lambda r: g.iou(r["region"], F.col("region")) >= 0.02)
-    return boxed(spark, folder).select(*ID, F.get(fits, F.lit(0))["position"].alias("matched"))
+    regions = F.array(*[F.struct(F.lit(n).alias("value"), g.rect(*[F.lit(v) for v in b]).alias("region")) for n, _, b in _PROFILES])
+    return boxed(spark, folder).select(*ID, bx.lookup_region(regions, F.col("region"), F.lit("profile_default")).alias("matched"))
 
 
 def tracked(spark, folder):
@@ -227,16 +226,12 @@ def q_frame_difference(spark, folder):
     return d.groupBy("vod_id").agg(F.count(F.lit(1)).alias("frames"), F.coalesce(F.avg("d"), F.lit(0.0)).alias("motion_score"), F.coalesce(F.max("d"), F.lit(0.0)).alias("scene_change_score"))
 
 
-@query("best_detection_hint", with_views("rects", """SELECT clip_id, max(width * height) / 2073600 AS face_area_ratio, CASE WHEN max(width * height) / 2073600 >= 0.02 THEN 'fullscreen_camera_hint' ELSE 'facecam_overlay_hint' END AS layout_hint,
-    arg_max(CASE WHEN (y + height / 2) / 1080 < 0.4 THEN 'top' WHEN (y + height / 2) / 1080 > 0.6 THEN 'bottom' ELSE 'center' END || '_' || CASE WHEN (x + width / 2) / 1920 < 0.4 THEN 'left' WHEN (x + width / 2) / 1920 > 0.6 THEN 'right' ELSE 'center' END, {'a': width * height, 'd': -det_a, 'e': -det_b, 'f': -det_c}) AS position FROM rects WHERE confidence >= 0.55 GROUP BY 1"""))
+@query("best_detection_hint", with_views("rects", """SELECT clip_id, coalesce(max(CASE WHEN confidence >= 0.55 THEN width * height END), 0) / 2073600 AS face_area_ratio,
+    CASE WHEN max(confidence) < 0.55 THEN 'no_face' WHEN max(CASE WHEN confidence >= 0.55 THEN width * height END) / 2073600 >= 0.08 THEN 'fullscreen_camera_hint' ELSE 'facecam_overlay_hint' END AS layout_hint,
+    arg_max(CASE WHEN (y + height / 2) / 1080 < 0.4 THEN 'top' WHEN (y + height / 2) / 1080 > 0.6 THEN 'bottom' ELSE 'center' END || '_' || CASE WHEN (x + width / 2) / 1920 < 0.4 THEN 'left' WHEN (x + width / 2) / 1920 > 0.6 THEN 'right' ELSE 'center' END,
+      CASE WHEN confidence >= 0.55 THEN {'a': width * height, 'd': -det_a, 'e': -det_b, 'f': -det_c} END) AS position FROM rects GROUP BY 1"""))
 def q_best_detection(spark, folder):
-    cx, cy = g.center(F.col("region"))
-    place = F.concat(F.when(cy / FH < 0.4, "top").when(cy / FH > 0.6, "bottom").otherwise("center"), F.lit("_"), F.when(cx / FW < 0.4, "left").when(cx / FW > 0.6, "right").otherwise("center"))
-    size = g.area(F.col("region"))
-    sure = boxed(spark, folder).where("confidence >= 0.55").withColumns({"size": size, "place": place})
-    best = sure.groupBy("clip_id").agg(F.max("size").alias("size"), F.max_by("place", F.struct("size", -F.col("det_a"), -F.col("det_b"), -F.col("det_c"))).alias("position"))
-    share = F.col("size") / (FW * FH)
-    return best.select("clip_id", share.alias("face_area_ratio"), F.when(share >= 0.02, "fullscreen_camera_hint").otherwise("facecam_overlay_hint").alias("layout_hint"), "position")
+    return bx.detection_hint(boxed(spark, folder), ["clip_id"], [-F.col("det_a"), -F.col("det_b"), -F.col("det_c")], FW, FH)
 
 
 @query("stabilize_segments")

@@ -41,7 +41,7 @@ def q_title(spark, folder):
     return documents(spark, folder).select("doc_id", cd.candidate_title(label, F.col("text"), cd.empty_strings()).alias("title"))
 
 
-@query("title_grounding", f"""WITH b AS (SELECT item_id, string_split(text, ' ')[1:6] AS terms FROM benchmark),
+@query("title_grounding", f"""WITH b AS (SELECT item_id, string_split(text, ' ') AS terms FROM benchmark),
     d AS (SELECT doc_id, terms, {q.normalize('d.text')} AS nt FROM documents d JOIN b ON b.item_id = d.doc_id % (SELECT count(*) FROM benchmark)),
     l AS (SELECT *, list_transform(list_filter(string_split(nt, ' '), lambda p: p <> ''), lambda p: {q.lemma('p')}) AS dl FROM d),
     t AS (SELECT doc_id, nt, dl, unnest(terms) AS term, unnest(range(len(terms))) AS i FROM l), n AS (SELECT *, {q.normalize('term')} AS tn FROM t),
@@ -49,7 +49,7 @@ def q_title(spark, folder):
     g AS (SELECT *, (tn = 'ia' AND contains(nt, 'inteligencia artificial')) OR (tn <> '' AND contains(' ' || nt || ' ', ' ' || tn || ' ')) OR (len(ll) > 0 AND len(list_filter(ll, lambda x: NOT list_contains(dl, x))) = 0) AS ok FROM m)
     SELECT doc_id, avg(CASE WHEN ok THEN 1.0 ELSE 0.0 END) AS score, coalesce(string_agg(CASE WHEN NOT ok THEN term END, ',' ORDER BY i), '') AS unsupported FROM g GROUP BY 1""")
 def q_title_grounding(spark, folder):
-    items = table(spark, folder, "benchmark").select(F.col("item_id").alias("slot"), F.slice(F.split("text", " "), 1, 6).alias("terms"))
+    items = table(spark, folder, "benchmark").select(F.col("item_id").alias("slot"), F.split("text", " ").alias("terms"))
     count = table(spark, folder, "benchmark").agg(F.count(F.lit(1))).scalar()
     d = documents(spark, folder).withColumn("slot", F.col("doc_id") % count).join(items, "slot")
     d = d.withColumn("n", tx.normalize(F.col("text"))).withColumn("l", tx.lemmas_of(F.col("n")))
@@ -60,7 +60,9 @@ def q_title_grounding(spark, folder):
 @query("extractive_summary")
 def q_summary(spark, folder):
     d = documents(spark, folder).withColumn("sentences", F.filter(tx.sentences(F.col("text")), lambda s: F.size(tx.plain_words(s)) >= 6))
-    concepts = F.slice(F.filter(tx.latin_tokens(F.col("text")), lambda t: tx.is_content(tx.fold_token(t))), 1, 4)
+    terms = tm.distinctive_terms(documents(spark, folder), ["doc_id"], [], own_corpus=True)
+    d = d.join(terms, "doc_id")
+    concepts = F.transform("terms", lambda t: t["term"])
     return d.select("doc_id", cd.extractive_summary(F.col("sentences"), concepts).alias("summary"))
 
 
@@ -109,11 +111,11 @@ def ranges(spark, folder):
     d = documents(spark, folder)
     start = (F.col("doc_id") * 37 % 2000).cast("double")
     return d.select(F.col("source").alias("vod_id"), F.col("doc_id").alias("id"), start.alias("safe_start"), (start + 100 + F.col("n_chars") % 300).alias("safe_end"),
-        (F.col("n_chars") % 1000 / 10).alias("score"), F.array_join(F.slice(tx.plain_words(F.col("text")), 1, 3), " ").alias("title"))
+        (F.col("n_chars") % 1000 / 10).alias("score"), F.array_join(tx.plain_words(F.col("text")), " ").alias("title"))
 
 
 _RANGES = """SELECT source AS vod_id, doc_id AS id, (doc_id * 37 % 2000)::DOUBLE AS a, (doc_id * 37 % 2000)::DOUBLE + 100 + n_chars % 300 AS b, (n_chars % 1000) / 10 AS score,
-    array_to_string(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')[1:3], ' ') AS title FROM documents"""
+    array_to_string(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> ''), ' ') AS title FROM documents"""
 _SHARE = "greatest(0, least(x.b, y.b) - greatest(x.a, y.a)) / greatest(1, least(x.b - x.a, y.b - y.a))"
 
 
@@ -190,12 +192,14 @@ def q_compare(spark, folder):
 
 
 @query("segment_metrics", with_views("state_samples", """SELECT f.vod_id, e.mae AS mean_absolute_error_seconds, e.mx AS maximum_absolute_error_seconds, detected_phase_count, coalesce(om, 0) AS omitted_phase_count,
-    CASE WHEN coalesce(ntalk, 0) > 0 THEN greatest(0, talk - ntalk) ELSE 0 END + CASE WHEN coalesce(ngame, 0) > 0 THEN greatest(0, game - ngame) ELSE 0 END AS false_detection_count, round(mean_confidence, 4) AS mean_confidence
+    CASE WHEN coalesce(ntalk, 0) > 0 THEN greatest(0, talk - ntalk) ELSE 0 END + CASE WHEN coalesce(ngame, 0) > 0 THEN greatest(0, game - ngame) ELSE 0 END AS false_detection_count, mean_confidence, coalesce(er, 0) AS errors
     FROM (SELECT vod_id, count(*) AS detected_phase_count, count(CASE WHEN phase = 'talking' THEN 1 END) AS talk, count(CASE WHEN phase = 'gameplay' THEN 1 END) AS game, sum(("end" - start) * confidence) / sum("end" - start) AS mean_confidence FROM segs GROUP BY 1) f
-    LEFT JOIN (SELECT vod_id, avg(absolute_error_seconds) AS mae, max(absolute_error_seconds) AS mx, count(CASE WHEN detector_seconds IS NULL THEN 1 END) AS om, count(CASE WHEN transition IN ('talking_start','talking_block_2_start','talking_block_3_start') THEN 1 END) AS ntalk,
+    LEFT JOIN (SELECT vod_id, avg(absolute_error_seconds) AS mae, max(absolute_error_seconds) AS mx, count(CASE WHEN detector_seconds IS NULL THEN 1 END) AS om, count(error_seconds) AS er, count(CASE WHEN transition IN ('talking_start','talking_block_2_start','talking_block_3_start') THEN 1 END) AS ntalk,
       count(CASE WHEN transition = 'gameplay_start' THEN 1 END) AS ngame FROM cmp GROUP BY 1) e ON f.vod_id = e.vod_id""", **_BOUND))
 def q_metrics(spark, folder):
-    return mt.segment_metrics(layout_segs(spark, folder), mt.compare_notes(boundaries(spark, folder), notes(spark, folder))).drop("error_by_transition").withColumn("mean_confidence", F.round("mean_confidence", 4))
+    rows = mt.segment_metrics(layout_segs(spark, folder), mt.compare_notes(boundaries(spark, folder), notes(spark, folder)))
+    errors = F.coalesce(F.size(F.map_keys("error_by_transition")), F.lit(0)).cast("long")
+    return rows.withColumn("errors", errors).drop("error_by_transition")
 
 
 @query("validation_report")
@@ -241,7 +245,8 @@ def q_assemble(spark, folder):
 @query("signal_frame_stats", with_views("state_samples", """SELECT f.vod_id, avg(rms) AS rms_mean, var_pop(rms) AS rms_variance, any_value(peak) AS peak_level, quantile_cont(rms, 0.95) - quantile_cont(rms, 0.10) AS dynamic_range, any_value(zcr) AS zero_crossing_rate,
       greatest(0, 1 - least(1, var_pop(rms) / greatest(avg(rms) * avg(rms), 1e-8))) AS energy_continuity FROM f JOIN z ON f.vod_id = z.vod_id GROUP BY 1""",
     s="SELECT vod_id, idx, (value - 50) / 500 AS x FROM state_samples",
-    f="SELECT vod_id, idx // 8 AS f, sqrt(avg(x * x) + 1e-12) AS rms FROM s GROUP BY 1, 2",
+    f0="SELECT vod_id, idx // 8 AS f, count(*) AS n, sqrt(avg(x * x) + 1e-12) AS rms FROM s GROUP BY 1, 2",
+    f="SELECT * FROM f0 QUALIFY n = 8 OR max(n) OVER (PARTITION BY vod_id) < 8",
     z="""SELECT vod_id, max(abs(x)) AS peak, coalesce(avg(CASE WHEN p IS NULL THEN NULL WHEN (x < 0) <> (p < 0) THEN 1.0 ELSE 0.0 END), 0) AS zcr FROM (SELECT *, lag(x) OVER (PARTITION BY vod_id ORDER BY idx) AS p FROM s) GROUP BY 1"""))
 def q_signal(spark, folder):
     s = state_samples(spark, folder).select("vod_id", "idx", ((F.col("value") - 50) / 500).alias("x"))
@@ -251,4 +256,4 @@ def q_signal(spark, folder):
 @query("spectral_flatness")
 def q_flatness(spark, folder):
     s = state_samples(spark, folder).select("vod_id", "idx", ((F.col("value") - 50) / 500).alias("x"))
-    return sg.spectral_flatness(s, ["vod_id"], "idx", "x", head=64)
+    return sg.spectral_flatness(s, ["vod_id"], "idx", "x")

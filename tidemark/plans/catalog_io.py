@@ -27,20 +27,24 @@ def q_chunks(spark, folder):
     chunks = s.groupBy("vod_id", "index").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.lit("es").alias("language"), F.transform(F.sort_array(F.collect_list(part)), lambda x: x["s"]).alias("segments"))
     path = lv.state_folder(spark, "chunks")
     chunks.withColumn("vod_id", F.col("vod_id").cast("string")).write.json(path)
-    back = rd.transcript_segments(spark.read.schema(rd.CHUNK).json(path))
+    back = rd.read_transcript_chunks(spark, path, lines=True)
     text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("start", "text"))), lambda x: x["text"]), "|")
     return back.groupBy(F.col("vod_id").cast("long").alias("vod_id"), F.col("chunk_index").cast("long").alias("chunk_index")).agg(
         F.count(F.lit(1)).alias("segments"), F.sum(F.col("end") - F.col("start")).alias("seconds"), F.md5(text).alias("text_md5"))
 
 
-@query("read_timelines_guarded", with_views("state_samples", "SELECT vod_id, run, phase FROM segs WHERE vod_id % 3 <> 0", **SEGMENTS))
+@query("read_timelines_guarded", with_views("state_samples", "SELECT vod_id, run, phase FROM segs WHERE vod_id % 3 <> 0 AND vod_id % 5 <> 0", **SEGMENTS))
 def q_guarded(spark, folder):
-    segs = layout_segs(spark, folder).select("vod_id", "run", "phase", F.when(F.col("vod_id") % 3 == 0, "old").otherwise("current").alias("cache_key"))
+    """One indented document per recording; every third has an old key, and every fifth file breaks off."""
+    row = F.struct(F.col("run").cast("long").alias("run"), "phase")
+    docs = layout_segs(spark, folder).groupBy("vod_id").agg(F.sort_array(F.collect_list(row)).alias("segments"))
+    docs = docs.withColumn("cache_key", F.when(F.col("vod_id") % 3 == 0, "old").otherwise("current"))
+    text = F.to_json(F.struct("vod_id", "cache_key", "segments"), {"pretty": "true"})
+    text = F.when(F.col("vod_id") % 5 == 0, F.substring(text, 1, 40)).otherwise(text)
     path = lv.state_folder(spark, "timelines")
-    lines = segs.select(F.to_json(F.struct("*")).alias("value"))
-    broken = segs.where("run = 0").select(F.concat(F.lit("{\"vod_id\": "), F.col("vod_id").cast("string")).alias("value"))
-    lines.unionByName(broken).write.text(path)
-    return rd.read_guarded(spark, path, "vod_id long, run long, phase string, cache_key string", "current").select("vod_id", "run", "phase")
+    docs.select(F.col("vod_id").alias("file"), text.alias("value")).write.partitionBy("file").text(path)
+    kept = rd.read_guarded(spark, path, "vod_id long, cache_key string, segments array<struct<run:long,phase:string>>", "current")
+    return kept.select("vod_id", F.inline("segments"))
 
 
 @query("write_timelines", with_views("state_samples", "SELECT vod_id, run, phase, start, \"end\" FROM segs", **SEGMENTS))
@@ -107,9 +111,7 @@ def q_profiles(spark, folder):
         F.struct(F.lit(1920).alias("width"), F.lit(1080).alias("height")).alias("source_resolution"), F.array(layout).alias("layouts"))
     path = lv.state_folder(spark, "profiles")
     docs.write.json(path)
-    rows = spark.read.schema(rd.REGION_PROFILE).json(path)
-    valid = rows.where(F.size(rd.failed_rules(rd.profile_rules())) == 0)
-    return valid.select("id", F.coalesce("display_name", "id").alias("display_name"))
+    return rd.read_profiles(spark, path, lines=True).select("id", "display_name")
 
 
 @query("profile_summary", """SELECT 'p' || s_suppkey AS id, 1 AS version, CASE WHEN s_suppkey % 2 = 0 THEN 'a' ELSE 'a,b' END AS enabled_layouts FROM supplier""")
@@ -143,17 +145,17 @@ def q_segmenter(spark, folder):
 
 
 def event_stream(spark, folder, slices: int | None = None):
-    """The events as a stream. With `slices`, they arrive in that many files, one per micro-batch, dealt out by event
-    number: every file covers the whole time range, so later files bring rows behind the newest time seen."""
+    """The events as a stream. With `slices`, they arrive in that many groups of files, one group per micro-batch, dealt out by
+    event number: every group covers the whole time range, so later ones bring rows behind the newest time seen."""
     events = table(spark, folder, "events")
     reader = spark.readStream.schema(events.schema)
     if slices is None:
         rows = reader.option("pathGlobFilter", "events.parquet").parquet(folder)
     else:
-        path = lv.state_folder(spark, "events")
-        for number in range(slices):  # one file after the other, so that file times give the order of arrival
-            events.where(F.col("event_id") % slices == number).coalesce(1).write.mode("append").parquet(path)
-        rows = reader.option("maxFilesPerTrigger", 1).parquet(path)
+        path, tasks = lv.state_folder(spark, "events"), 4
+        for number in range(slices):  # one group after the other, so that file times give the order of arrival
+            events.where(F.col("event_id") % slices == number).repartition(tasks).write.mode("append").parquet(path)
+        rows = reader.option("maxFilesPerTrigger", tasks).parquet(path)
     return rows.withColumn("ts", F.col("ts").cast("timestamp"))
 
 

@@ -136,7 +136,7 @@ def q_normalize_identity(spark, folder):
     return table(spark, folder, "customer").select("c_custkey", sc.normalize_identity(F.col("c_name")).alias("identity"))
 
 
-@query("clean_tags", """SELECT doc_id, array_to_string(list_transform(list_filter(string_split(text, '.'), lambda t: trim(t, ' ') <> '')[:50], lambda t: substr(trim(t, ' '), 1, 100)), '|') AS tags FROM documents""")
+@query("clean_tags", """SELECT doc_id, CASE WHEN len(string_split(text, '.')) <= 50 THEN array_to_string(list_transform(list_filter(string_split(text, '.'), lambda t: trim(t, ' ') <> ''), lambda t: substr(trim(t, ' '), 1, 100)), '|') END AS tags FROM documents""")
 def q_clean_tags(spark, folder):
     return table(spark, folder, "documents").select("doc_id", F.array_join(sc.clean_tags(F.split("text", r"\.")), "|").alias("tags"))
 
@@ -196,9 +196,9 @@ def q_parse_rational_rate(spark, folder):
     return table(spark, folder, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", sc.parse_rate(text).alias("fps"))
 
 
-@query("stage_fingerprint", """WITH a AS (SELECT o_orderkey AS id, sha256('audio-v1|' || o_custkey) AS audio_key, o_orderpriority AS p FROM orders),
-    t AS (SELECT *, sha256(audio_key || '|model-a|1800|15') AS transcription_key FROM a), s AS (SELECT *, sha256(transcription_key || '|' || p || '|30|60|90') AS segmentation_key FROM t)
-    SELECT id, audio_key, transcription_key, segmentation_key, sha256(segmentation_key || '|55|10') AS candidate_key FROM s""")
+@query("stage_fingerprint", """WITH a AS (SELECT o_orderkey AS id, sha256('{"p0":"audio-v1","p1":"' || o_custkey || '"}') AS audio_key, o_orderpriority AS p FROM orders),
+    t AS (SELECT *, sha256('{"p0":"' || audio_key || '","p1":"model-a","p2":"1800","p3":"15"}') AS transcription_key FROM a), s AS (SELECT *, sha256('{"p0":"' || transcription_key || '","p1":"' || p || '","p2":"30","p3":"60","p4":"90"}') AS segmentation_key FROM t)
+    SELECT id, audio_key, transcription_key, segmentation_key, sha256('{"p0":"' || segmentation_key || '","p1":"55","p2":"10"}') AS candidate_key FROM s""")
 def q_stage_fingerprint(spark, folder):
     o = table(spark, folder, "orders").select(F.col("o_orderkey").alias("id"), "o_custkey", "o_orderpriority")
     keyed = o.withColumn("audio_key", sc.fingerprint(F.lit("audio-v1"), F.col("o_custkey")))
@@ -235,11 +235,12 @@ def q_elapsed_seconds(spark, folder):
 
 @query("upsert_rows", with_views("jobs", """SELECT coalesce(j.id, c.id) AS id, coalesce(c.status, j.status) AS status, coalesce(c.cache_key, j.cache_key) AS cache_key,
       CASE WHEN c.id IS NOT NULL THEN '2030-01-01' ELSE j.updated_at END AS updated_at FROM jobs j FULL JOIN chg c ON j.id = c.id""",
-    chg="SELECT l_orderkey + 10000 AS id, CASE WHEN min(l_linenumber) = 1 THEN 'ready' END AS status, max(l_suppkey) AS cache_key FROM lineitem GROUP BY 1"))
+    chg="SELECT l_orderkey + 10000 AS id, arg_max(CASE WHEN l_linenumber % 2 = 1 THEN 'ready' || l_linenumber END, CASE WHEN l_linenumber % 2 = 1 THEN {'n': l_linenumber, 'p': l_partkey} END) AS status, arg_max(l_suppkey, {'n': l_linenumber, 'p': l_partkey, 's': l_suppkey}) AS cache_key FROM lineitem GROUP BY 1"))
 def q_upsert_rows(spark, folder):
-    changes = table(spark, folder, "lineitem").groupBy((F.col("l_orderkey") + 10000).alias("id")).agg(
-        F.when(F.min("l_linenumber") == 1, "ready").alias("status"), F.max("l_suppkey").alias("cache_key"))
-    return jb.upsert_rows(jobs(spark, folder), changes, "id", ["status", "cache_key"], "2030-01-01")
+    n = F.col("l_linenumber")
+    changes = table(spark, folder, "lineitem").select(
+        (F.col("l_orderkey") + 10000).alias("id"), F.when(n % 2 == 1, F.concat(F.lit("ready"), n.cast("string"))).alias("status"), F.col("l_suppkey").alias("cache_key"), "l_linenumber", "l_partkey")
+    return jb.upsert_rows(jobs(spark, folder), changes, "id", ["status", "cache_key"], "2030-01-01", newest=[n, F.col("l_partkey")])
 
 
 @query("guarded_delete", with_views("jobs", """SELECT w.id, CASE WHEN j.id IS NULL THEN 'not_found' WHEN status = 'processing' THEN 'active' ELSE 'deleted' END AS outcome
@@ -310,19 +311,19 @@ def job_durations(spark, folder):
 
 _DUR = "SELECT o_orderkey AS vod_id, floor(o_totalprice / 200) AS duration FROM orders"
 _WINDOWS = """SELECT vod_id, idx, idx * 30.0::DOUBLE AS start, least(idx * 30.0::DOUBLE + 30, lim) AS "end", lim FROM (
-    SELECT vod_id, least(duration, 1500) AS lim, unnest(range(CAST(ceil(least(duration, 1500) / 30) AS BIGINT))) AS idx FROM d)"""
+    SELECT vod_id, duration AS lim, unnest(range(CAST(ceil(duration / 30) AS BIGINT))) AS idx FROM d)"""
 
 
 @query("tumbling_windows", f"""WITH d AS ({_DUR}), w AS ({_WINDOWS}) SELECT vod_id, idx, start, "end",
     round(start + ("end" - start - least(10, "end" - start)) / 2, 3) AS sample_start, round(start + ("end" - start - least(10, "end" - start)) / 2 + least(10, "end" - start), 3) AS sample_end,
     CAST(floor(start / 900) AS BIGINT) AS block_index FROM w""")
 def q_tumbling_windows(spark, folder):
-    return rg.tumbling_windows(job_durations(spark, folder), ["vod_id"], max_seconds=1500)
+    return rg.tumbling_windows(job_durations(spark, folder), ["vod_id"])
 
 
 @query("window_blocks", f"""WITH d AS ({_DUR}), w AS ({_WINDOWS}) SELECT vod_id, CAST(floor(start / 900) AS BIGINT) AS block_index, count(*) AS windows, min(start) AS start, max("end") AS "end" FROM w GROUP BY 1, 2""")
 def q_window_blocks(spark, folder):
-    w = rg.tumbling_windows(job_durations(spark, folder), ["vod_id"], max_seconds=1500)
+    w = rg.tumbling_windows(job_durations(spark, folder), ["vod_id"])
     return w.groupBy("vod_id", "block_index").agg(F.count(F.lit(1)).alias("windows"), F.min("start").alias("start"), F.max("end").alias("end"))
 
 

@@ -56,7 +56,7 @@ def q_filler(spark, folder):
     return documents(spark, folder).select("doc_id", tx.filler_ratio(F.col("text")).alias("filler"))
 
 
-_GROUND = f"""g0 AS (SELECT d.doc_id, array_to_string(string_split(b.text, ' ')[1:2], ' ') AS term, {q.normalize('d.text')} AS nt FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % (SELECT count(*) FROM benchmark)),
+_GROUND = f"""g0 AS (SELECT d.doc_id, b.text AS term, {q.normalize('d.text')} AS nt FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % (SELECT count(*) FROM benchmark)),
     g1 AS (SELECT *, {q.normalize('term')} AS tn FROM g0),
     g2 AS (SELECT *, list_transform(list_filter(string_split(tn, ' '), lambda p: p <> '' AND {q.content('p')}), lambda p: {q.lemma('p')}) AS tl,
         list_transform(list_filter(string_split(nt, ' '), lambda p: p <> ''), lambda p: {q.lemma('p')}) AS dl FROM g1)"""
@@ -66,7 +66,7 @@ _GROUND = f"""g0 AS (SELECT d.doc_id, array_to_string(string_split(b.text, ' ')[
     CASE WHEN tn = 'ia' AND contains(nt, 'inteligencia artificial') THEN 'inteligencia artificial' WHEN tn <> '' AND contains(' ' || nt || ' ', ' ' || tn || ' ') THEN term
          WHEN len(tl) > 0 AND len(list_filter(tl, lambda x: NOT list_contains(dl, x))) = 0 THEN array_to_string(tl, ',') ELSE '' END AS evidence FROM g2""")
 def q_grounded(spark, folder):
-    items = table(spark, folder, "benchmark").select(F.col("item_id").alias("slot"), F.array_join(F.slice(F.split("text", " "), 1, 2), " ").alias("term"))
+    items = table(spark, folder, "benchmark").select(F.col("item_id").alias("slot"), F.col("text").alias("term"))
     count = table(spark, folder, "benchmark").agg(F.count(F.lit(1))).scalar()
     d = documents(spark, folder).select("doc_id", tx.normalize(F.col("text")).alias("n"))
     # Every document names exactly one item.
@@ -242,7 +242,7 @@ _SENT = f"""sx AS (SELECT doc_id, unnest(string_split(regexp_replace(text, '([.!
     sd AS (SELECT doc_id, pos, s FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, k ORDER BY pos) AS rn FROM sz) WHERE rn = 1)"""
 
 
-@query("split_sentences_rank", f"""WITH {_SENT}, b AS (SELECT d.doc_id, string_split(b.text, ' ')[1:8] AS terms FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % (SELECT count(*) FROM benchmark)),
+@query("split_sentences_rank", f"""WITH {_SENT}, b AS (SELECT d.doc_id, string_split(b.text, ' ') AS terms FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % (SELECT count(*) FROM benchmark)),
     n AS (SELECT sd.*, terms, {q.normalize('s')} AS nt, regexp_extract_all(s, '{tx.LATIN}') AS lt FROM sd JOIN b USING (doc_id)),
     m AS (SELECT *, list_transform(list_filter(string_split(nt, ' '), lambda p: p <> ''), lambda p: {q.lemma('p')}) AS dl, CASE WHEN len(lt) = 0 THEN 1.0 ELSE len(list_filter(lt, lambda x: {q.fold('x')} IN ({q.quoted(tx.STOPWORDS)}))) / len(lt) END AS filler FROM n),
     h AS (SELECT doc_id, pos, s, filler, nt, dl, unnest(terms) AS term FROM m), h2 AS (SELECT *, {q.normalize('term')} AS tn FROM h),
@@ -251,7 +251,7 @@ _SENT = f"""sx AS (SELECT doc_id, unnest(string_split(regexp_replace(text, '([.!
     r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(hits * 2 + 1 - filler, 9) DESC, pos DESC) AS rn FROM g)
     SELECT doc_id, count(*) AS n, md5(string_agg(s, '|' ORDER BY pos)) AS sentences_md5 FROM r WHERE rn <= 6 GROUP BY 1""")
 def q_sentences(spark, folder):
-    items = table(spark, folder, "benchmark").select(F.col("item_id").alias("slot"), F.slice(F.split("text", " "), 1, 8).alias("terms"))
+    items = table(spark, folder, "benchmark").select(F.col("item_id").alias("slot"), F.split("text", " ").alias("terms"))
     count = table(spark, folder, "benchmark").agg(F.count(F.lit(1))).scalar()
     d = documents(spark, folder).withColumn("slot", F.col("doc_id") % count).join(items, "slot")
     r = tm.rank_sentences(d, ["doc_id"], "text", "terms", 6)

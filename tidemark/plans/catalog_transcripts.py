@@ -23,13 +23,13 @@ def dirty(spark, folder):
     base = s.select("vod_id", (F.col("pos") - F.col("pos") % 4).alias("pos"), F.col("text").alias("held"))
     same = base.join(s.where("pos % 4 = 0").select("vod_id", "pos", F.col("text").alias("lead_text")), ["vod_id", "pos"]).select("vod_id", "pos", "lead_text").distinct()
     out = s.withColumn("g", F.col("pos") - F.col("pos") % 4).join(same.withColumnRenamed("pos", "g"), ["vod_id", "g"])
-    text = F.when(F.col("vod_id") % 3 == 0, F.col("lead_text")).when(F.col("no_speech_probability") > 0.8, F.array_join(F.slice(F.split("text", " "), 1, 2), "  ")).otherwise(F.col("text"))
+    text = F.when(F.col("vod_id") % 3 == 0, F.col("lead_text")).when(F.col("no_speech_probability") > 0.8, F.array_join(F.split("text", " "), "  ")).otherwise(F.col("text"))
     return out.select("vod_id", "pos", "start", "end", text.alias("text"), "avg_logprob", (F.col("no_speech_probability") * 1.15).alias("no_speech_probability"))
 
 
 @query("clean_transcript", with_views("segments", """SELECT vod_id, pos, text, CASE WHEN removed IS NULL AND rn > 2 THEN 'repeated_whisper_hallucination_removed' ELSE removed END AS removed FROM (
       SELECT *, CASE WHEN removed IS NULL THEN row_number() OVER (PARTITION BY vod_id, removed IS NULL, isl ORDER BY pos) END AS rn FROM runs)""",
-    d0="""SELECT s.vod_id, s.pos, trim(regexp_replace(CASE WHEN s.vod_id % 3 = 0 THEN l.text WHEN s.no_speech_probability > 0.8 THEN array_to_string(string_split(s.text, ' ')[1:2], '  ') ELSE s.text END, '\\s+', ' ', 'g')) AS text,
+    d0="""SELECT s.vod_id, s.pos, trim(regexp_replace(CASE WHEN s.vod_id % 3 = 0 THEN l.text WHEN s.no_speech_probability > 0.8 THEN array_to_string(string_split(s.text, ' '), '  ') ELSE s.text END, '\\s+', ' ', 'g')) AS text,
         s.no_speech_probability * 1.15::DOUBLE AS ns FROM segments s JOIN segments l ON l.vod_id = s.vod_id AND l.pos = s.pos - s.pos % 4""",
     d1=f"SELECT *, {_W.replace('(t)', '(text)')} AS w FROM d0",
     d2="SELECT *, CASE WHEN text = '' THEN 'empty' WHEN ns > 0.92 AND len(w) < 5 THEN 'high_no_speech_segment_removed' END AS removed, array_to_string(w, ' ') AS c FROM d1",

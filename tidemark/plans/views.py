@@ -12,17 +12,9 @@ from pyspark.sql import functions as F
 from tidemark.operators.chunked import index_chunk, ordered_scan
 
 
-TEXT_TABLES = ("documents", "conversations", "pages", "benchmark")
-
-
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A given table. A text table in fewer file splits than the cluster has cores is spread once, because work on
-    text is bound by computing; a large table has more splits than cores and is read as it is, without a shuffle."""
-    rows = spark.read.parquet(f"{folder}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    if name in TEXT_TABLES and rows.rdd.getNumPartitions() < cores:
-        return rows.repartition(cores)
-    return rows
+    """A given table, as it is split into files."""
+    return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
 def minute_of(ts: str) -> Column:

@@ -25,6 +25,7 @@ METADATA = (
     "id string, title string, extractor string, extractor_key string, uploader string, channel string, duration double, webpage_url string, original_url string, "
     f"availability string, chapters array<struct<start_time:double,end_time:double,title:string>>, formats array<{FORMAT}>"
 )
+# Places that a region profile may name.
 POSITIONS = [
     "top_left", "top_right", "bottom_left", "bottom_right", "left", "right", "center", "left_center", "right_center", "left_column", "right_column", "unknown",
 ]
@@ -34,20 +35,24 @@ def transcript_segments(chunks: DataFrame) -> DataFrame:
     return chunks.select("vod_id", F.col("index").alias("chunk_index"), "language", F.inline("segments"))
 
 
-def read_transcript_chunks(spark: SparkSession, path: str) -> DataFrame:
-    return transcript_segments(spark.read.schema(CHUNK).option("multiLine", True).json(path))
+def read_transcript_chunks(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Segments of chunk documents, one per file, or one per line with `lines`."""
+    return transcript_segments(spark.read.schema(CHUNK).option("multiLine", not lines).json(path))
 
 
 def segment_words(segments: DataFrame, keys: Sequence[str] = ("vod_id",)) -> DataFrame:
     return segments.select(*keys, F.inline("words"))
 
 
-def read_guarded(spark: SparkSession, path: str, schema: str, cache_key: Column | str) -> DataFrame:
-    """Timelines with the expected fingerprint; files that do not parse are left out."""
+def read_guarded(spark: SparkSession, path: str, schema: str, cache_key: Column | str, lines: bool = False) -> DataFrame:
+    """Timelines with the expected fingerprint. A file is one document, indented or not, or one document per line with `lines`;
+    a file that does not parse is left out as a whole."""
     typed = T.StructType([*T._parse_datatype_string(schema).fields, T.StructField("_corrupt", T.StringType())])
-    rows = spark.read.schema(typed).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").json(path)
+    reader = spark.read.schema(typed).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").option("multiLine", not lines)
+    rows = reader.json(path).withColumn("_file", F.col("_metadata.file_path"))
+    broken = rows.where("_corrupt IS NOT NULL OR cache_key IS NULL").select("_file").distinct()  # nor can a document without a key be the expected one
     wanted = F.lit(cache_key) if isinstance(cache_key, str) else cache_key
-    return rows.where(F.col("_corrupt").isNull() & (F.col("cache_key") == wanted)).drop("_corrupt")
+    return rows.join(broken, "_file", "left_anti").where(F.col("cache_key") == wanted).select(*[f.name for f in typed.fields[:-1]])
 
 
 def vod_metadata(raw: DataFrame, platform: Column) -> tuple[DataFrame, DataFrame]:
@@ -77,9 +82,9 @@ def profile_rules() -> dict[str, Column]:
     }
 
 
-def read_profiles(spark: SparkSession, path: str) -> DataFrame:
-    """Valid region profiles of a folder, one JSON document per file."""
-    rows = spark.read.schema(REGION_PROFILE).option("multiLine", True).json(path)
+def read_profiles(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Valid region profiles of a folder, one JSON document per file, or per line with `lines`."""
+    rows = spark.read.schema(REGION_PROFILE).option("multiLine", not lines).json(path)
     return rows.where(F.size(failed_rules(profile_rules())) == 0).withColumn("display_name", F.coalesce("display_name", "id"))
 
 
@@ -90,25 +95,26 @@ def profile_summary(profiles: DataFrame) -> DataFrame:
 
 
 def read_pcm_samples(spark: SparkSession, path: str, frame: int = 400) -> DataFrame:
-    """16-bit mono 16 kHz PCM files as sample frames in [-1, 1); other formats come back with an `error`."""
+    """16-bit mono 16 kHz PCM files as sample frames in [-1, 1); other files come back as one row with an `error`."""
     import io
     import wave
 
     def load(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for name, content in zip(batch["path"], batch["content"]):
-                with wave.open(io.BytesIO(content), "rb") as source:
-                    good = source.getnchannels() == 1 and source.getframerate() == 16000 and source.getsampwidth() == 2
-                    data = source.readframes(source.getnframes()) if good else b""
-                if not good:
-                    yield pd.DataFrame({"clip_id": [name], "frame_index": [None], "samples": [None], "error": ["not mono 16 kHz 16-bit PCM"]})
-                    continue
-                values = np.frombuffer(data, dtype="<i2").astype(np.float32) / 32768.0
-                frames = [values[i:i + frame].tolist() for i in range(0, len(values), frame)]
-                # A file becomes rows of one frame each, a few thousand per Arrow batch.
-                for begin in range(0, len(frames), 4096):
-                    part = frames[begin:begin + 4096]
-                    yield pd.DataFrame({"clip_id": name, "frame_index": range(begin, begin + len(part)), "samples": part, "error": None})
+                try:
+                    with wave.open(io.BytesIO(content), "rb") as source:
+                        if (source.getnchannels(), source.getframerate(), source.getsampwidth()) != (1, 16000, 2):
+                            raise wave.Error("not mono 16 kHz 16-bit PCM")
+                        begin = 0
+                        # A few thousand frames at a time, each a row; the file's samples are never all held as numbers.
+                        while data := source.readframes(frame * 1024):
+                            values = np.frombuffer(data[: len(data) // 2 * 2], dtype="<i2").astype(np.float32) / 32768.0
+                            part = [values[i:i + frame] for i in range(0, len(values), frame)]
+                            yield pd.DataFrame({"clip_id": name, "frame_index": range(begin, begin + len(part)), "samples": part, "error": None})
+                            begin += len(part)
+                except (wave.Error, EOFError) as exc:
+                    yield pd.DataFrame({"clip_id": [name], "frame_index": [None], "samples": [None], "error": [str(exc) or "not a WAV file"]})
 
     files = spark.read.format("binaryFile").load(path).select("path", "content")
     return files.mapInPandas(load, "clip_id string, frame_index long, samples array<float>, error string")
