@@ -108,7 +108,7 @@ def brute_removed(rows, window=13):
     return out
 
 
-@pytest.mark.parametrize("cfg", [suffix_dedup.Trees(), replace(suffix_dedup.Trees(), group=2, gather=50)])
+@pytest.mark.parametrize("cfg", [suffix_dedup.Trees(), replace(suffix_dedup.Trees(), group=2, gather=50, slots=64)])
 def test_repeated_passages_equal_brute_force(spark, cfg):
     rnd, rows = random.Random(8), []
     shared = [sentence(rnd, n) for n in (12, 13, 14, 40, 200)]
