@@ -28,7 +28,7 @@ class Outliers:
 
     share: int = 12
     consistency: float = 1.486
-    ridge: tuple[float, ...] = (0.25, 0.02, 0.02, 0.01)
+    ridge: tuple[float, ...] = (0.5, 0.15, 0.15, 0.1)
     cutoff: float = 60.0
     least: int = 30
     steps: int = 3
