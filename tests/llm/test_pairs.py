@@ -77,7 +77,7 @@ def test_near_duplicates_of_nothing(spark):
 
 def test_dense_region_goes_deeper():
     rnd = np.random.default_rng(1)
-    rest = rnd.integers(0, 3, (300, 12)).astype(np.uint8)
+    rest = rnd.integers(0, 3, (300, 6)).astype(np.uint8)
     cfg = replace(lsh_forest.Forest(), dense=10, agree=0.5)
     sets = lsh_forest.Union(300)
     lsh_forest.spanning_candidates(rest, cfg, sets, np.arange(300))

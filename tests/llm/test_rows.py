@@ -77,7 +77,7 @@ def personal_rows(n=400):
 def test_personal_data(spark):
     rows = personal_rows()
     docs = documents(spark, rows + odd_rows()).withColumn("spans", F.lit(0))
-    model = pii_boosting.train(docs)
+    model = pii_boosting.train(docs, cfg=replace(pii_boosting.Boosting(), confident=0.8))
     assert model.trees
     got = {r["doc_id"]: r for r in pii_boosting.detect(docs, model).collect()}
     for d, text, *_ in rows:
