@@ -25,7 +25,7 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 _DIGITS = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_ANY = re.compile(r"[0-9@]|[\[( ][Dd][Oo][Tt][\]) ]")
+_ANY = re.compile(r"[0-9@]|[\[(]\s?[Aa][Tt]\s?[\])]|[\[( ][Dd][Oo][Tt][\]) ]")
 
 
 def luhn(digits: str) -> bool:
@@ -84,7 +84,7 @@ _GENERATORS = (
     re.compile(rf"(?<![\w.%+-])[\w.%+-]{{1,64}}{_AT}[\w-]{{1,63}}(?:{_DOT}[\w-]{{1,63}}){{1,4}}", re.IGNORECASE),
     re.compile(r"(?<!\d)\d{1,3}(?:\s?(?:\.|\[\.\]|\(\.\))\s?\d{1,3}){3}(?!\d)"),
     re.compile(r"(?<!\d)\d(?:[ ./_-]{0,3}\d){12,18}(?!\d)"),
-    re.compile(r"(?<!\d)(?:\+|00)?[ (]{0,2}\d(?:[ ()./-]{0,3}\d){6,14}(?!\d)"),
+    re.compile(r"(?<!\d)(?:(?:\+|00)[ (]{0,2}|\()?\d(?:[ ()./-]{0,3}\d){6,14}(?!\d)"),
 )
 _CARD = re.compile(r"(?<!\d)(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3})(?!\d)")  # numbers that touch others, taken alone
 _HINTS = (
@@ -102,7 +102,7 @@ def proposals(text: str) -> list[tuple[int, int, int]]:
     """(kind, start, end) of everything that could be personal data; spans may overlap."""
     if not _ANY.search(text):
         return []
-    written = "@" in text or re.search(r"[\[( ]dot[\]) ]", text, re.IGNORECASE)
+    written = "@" in text or re.search(r"[\[( ](?:at|dot)[\]) ]", text, re.IGNORECASE)
     found = [(k, *m.span()) for k, g in enumerate(_GENERATORS) if k or written for m in g.finditer(text)]
     return list(dict.fromkeys(found + [(2, *m.span()) for m in _CARD.finditer(text)]))
 
