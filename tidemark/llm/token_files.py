@@ -12,6 +12,8 @@ from __future__ import annotations
 import re
 import uuid
 import zlib
+from array import array
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +44,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.dtype = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.words, self.pieces, self.stems = words, {}, {}
         self.special = sorted({t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content})
 
@@ -51,40 +54,56 @@ class Encoder:
             cls._made[path] = cls(path)
         return cls._made[path]
 
+    def _packed(self, ids: list[int]) -> bytes:
+        return array(self.code, ids).tobytes()
+
     def _whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes() if text else b""
+        return self._packed(self.tokenizer.encode(text, add_special_tokens=False).ids) if text else b""
 
     def _learn(self, pieces: list[str]) -> None:
         """Ids of `" " + piece` for new pieces: letters, stops, a line end, letters, stops are encoded apart."""
-        parts = []
+        stems, parts = self.stems, []
         for piece in pieces:
+            stem = piece.rstrip(".,;:!?")
+            if stem.isalpha():
+                parts.append((" " + stem, piece[len(stem) :]) if len(stem) < len(piece) else (" " + stem,))
+                continue
             m = _SIMPLE.fullmatch(piece)
-            if m and all(not w or w.isalpha() for w in m.group(1, 4)) and m[1] and (m[3] or not m[4]):
-                parts.append([" " + m[1], *(p for p in m.group(2, 3, 4, 5) if p)])
+            if m and m[1].isalpha() and (not m[4] or m[3] and m[4].isalpha()):
+                parts.append((" " + m[1], *filter(None, m.group(2, 3, 4, 5))))
             else:
-                parts.append([" " + piece])
-        stems = self.stems
-        new = list({p for ps in parts for p in ps if p not in stems})
+                parts.append((" " + piece,))
+        new = [p for p in dict.fromkeys(chain.from_iterable(parts)) if p not in stems]
         for b in range(0, len(new), 5000):
-            for p, e in zip(new[b : b + 5000], self.tokenizer.encode_batch(new[b : b + 5000], add_special_tokens=False), strict=True):
-                stems[p] = np.array(e.ids, self.dtype).tobytes()
-        for piece, ps in zip(pieces, parts, strict=True):
-            self.pieces[piece] = stems[ps[0]] if len(ps) == 1 else b"".join([stems[p] for p in ps])
+            found = self.tokenizer.encode_batch_fast(new[b : b + 5000], add_special_tokens=False)  # without character offsets
+            stems.update(zip(new[b : b + 5000], [self._packed(e.ids) for e in found], strict=True))
+        of = stems.__getitem__
+        self.pieces.update(zip(pieces, [of(ps[0]) if len(ps) == 1 else b"".join(map(of, ps)) for ps in parts], strict=True))
 
-    def batch(self, texts: list[str]) -> list[bytes]:
-        """The ids of every text, packed."""
+    def _prepared(self, texts: list[str]) -> list[list[str] | None]:
+        """Each text cut before its single spaces, all of its pieces known; None where a text must be encoded as a whole."""
         split = [None if _TWO_SPACES.search(t) or any(s in t for s in self.special) else t.split(" ") for t in texts]
-        if len(self.pieces) > self.words or len(self.stems) > self.words:
-            self.pieces.clear()
-            self.stems.clear()
+        for table in (self.pieces, self.stems):
+            if len(table) > self.words:
+                table.clear()
         new: set[str] = set()
         for p in split:
             if p:
-                new.update(p[1:])
-        self._learn([w for w in new if w not in self.pieces])
-        ids = self.pieces.__getitem__
+                new.update(set(p).difference(self.pieces))
+        if new:
+            self._learn(list(new))
+        return split
+
+    def batch(self, texts: list[str]) -> list[bytes]:
+        """The ids of every text, packed."""
+        split, ids = self._prepared(texts), self.pieces.__getitem__
         return [self._whole(t) if p is None else self._whole(p[0]) + b"".join(map(ids, p[1:])) for t, p in zip(texts, split, strict=True)]
 
+    def counts(self, texts: list[str]) -> list[int]:
+        """How many ids every text has."""
+        split, ids, width = self._prepared(texts), self.pieces.__getitem__, self.dtype.itemsize
+        return [len(self._whole(t)) // width if p is None else (len(self._whole(p[0])) + sum(map(len, map(ids, p[1:])))) // width for t, p in zip(texts, split, strict=True)]
+
 
 def _steps(texts: list[str], limit: int = 1_000_000):
     """Runs of texts of at most `limit` characters, or one text."""
@@ -105,7 +124,7 @@ def token_counts(docs: DataFrame, tokenizer: str, id_column: str = "doc_id", tex
         encoder = Encoder.of(tokenizer)
         for batch in batches:
             texts = [t.as_py() or "" for t in batch.column(1)]
-            counts = [len(ids) // encoder.dtype.itemsize + 1 for b, e in _steps(texts) for ids in encoder.batch(texts[b:e])]
+            counts = [n + 1 for b, e in _steps(texts) for n in encoder.counts(texts[b:e])]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64())], names=["id", "n_tokens"])
 
     source = docs.select(F.col(f"`{id_column}`").cast("long").alias("id"), F.col(f"`{text_column}`").cast("string").alias("text"))
