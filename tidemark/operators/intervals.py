@@ -189,21 +189,30 @@ def coverage_problems(segments: DataFrame, durations: DataFrame, keys: Sequence[
 def chapter_hints(windows: DataFrame, chapters: DataFrame, keys: Sequence[str], talking: Sequence[str], gameplay: Sequence[str], bucket: float = 300.0) -> DataFrame:
     """First chapter that contains the window's midpoint and carries a keyword; an absent end means no end.
 
-    Open chapters are bounded by the last window of the recording before they are spread over buckets.
+    Closed chapters meet the windows in time buckets. Of the open ones only the first that has begun matters: a running
+    minimum along the merged times of chapters and windows, which builds no pairs.
     """
     title = F.lower("title")
     has = lambda words: F.exists(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(title, w))
     hint = F.when(has(talking), "talking").when(has(gameplay), "gameplay")
-    ends = windows.groupBy(*keys).agg(F.max("end").alias("__limit"))
-    hinted = join_same(chapters.withColumn("hint", hint).where("hint IS NOT NULL"), ends, keys).select(
-        *keys, "chapter_ord", "hint", F.coalesce("start_time", F.lit(0.0)).alias("c_start"),
-        F.coalesce(F.nullif("end_time", F.lit(0.0)), F.col("__limit") + 1).alias("c_end"),
-    ).where("c_start < c_end")
+    hinted = chapters.withColumn("hint", hint).where("hint IS NOT NULL").select(
+        *keys, "chapter_ord", "hint", F.coalesce("start_time", F.lit(0.0)).alias("c_start"), F.nullif("end_time", F.lit(0.0)).alias("c_end"))
     points = windows.withColumn("mid", (F.col("start") + F.col("end")) / 2)
     points = points.withColumn("mid2", F.col("mid"))
-    pairs = range_join(points, hinted, keys, ("mid", "mid2"), ("c_start", "c_end"), (F.col("c_start") <= F.col("mid")) & (F.col("mid") < F.col("c_end")), bucket)
-    best = pairs.groupBy(*keys, "idx").agg(F.min_by("hint", "chapter_ord").alias("chapter_phase"))
+    closed = hinted.where("c_start < c_end")
+    pairs = range_join(points, closed, keys, ("mid", "mid2"), ("c_start", "c_end"), (F.col("c_start") <= F.col("mid")) & (F.col("mid") < F.col("c_end")), bucket)
+    inside = pairs.groupBy(*keys, "idx").agg(F.min(F.struct("chapter_ord", "hint")).alias("closed"))
+
+    opened = hinted.where("c_end IS NULL").select(*keys, F.col("c_start").alias("at"), F.lit(0).alias("kind"), F.col("chapter_ord").cast("long").alias("tie"), F.struct((-F.col("chapter_ord")).cast("long").alias("o"), "hint").alias("chapter"))
+    asked = points.select(*keys, F.col("mid").alias("at"), F.lit(1).alias("kind"), F.col("idx").cast("long").alias("tie"), F.lit(None).cast("struct<o:bigint,hint:string>").alias("chapter"))
+    merged = ordered_scan(opened.unionByName(asked), keys, ["at", "kind", "tie"], time_chunk("at"), cummax={"first": F.col("chapter")})
+    begun = merged.where("kind = 1").select(*keys, F.col("tie").alias("idx"), F.struct((-F.col("first.o")).alias("chapter_ord"), F.col("first.hint").alias("hint")).alias("opened"), F.col("first").isNotNull().alias("__some"))
+    begun = begun.where("__some").drop("__some")
+    order = F.col("closed.chapter_ord").cast("long")
+    take_open = F.col("opened").isNotNull() & (order.isNull() | (F.col("opened.chapter_ord") < order))
+    best = join_same(windows.select(*keys, F.col("idx")), inside, [*keys, "idx"], "left")
+    best = join_same(best, begun, [*keys, "idx"], "left").withColumn("chapter_phase", F.when(take_open, F.col("opened.hint")).otherwise(F.col("closed.hint")))
     reason = F.when(F.col("chapter_phase") == "talking", "chapter_title_chatting_hint").when(
         F.col("chapter_phase") == "gameplay", "chapter_title_gameplay_hint"
     )
-    return join_same(windows.select(*keys, "idx"), best, [*keys, "idx"], "left").withColumn("chapter_reason", reason)
+    return best.select(*keys, "idx", "chapter_phase").withColumn("chapter_reason", reason)

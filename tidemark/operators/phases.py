@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.config import GAMEPLAY_WORDS, LAYOUT, PHASE, PHASES, TALKING_WORDS, PhaseConfig
-from tidemark.operators.chunked import attach_by_piece, index_chunk, join_same, number_runs, ordered_fold, ordered_scan
+from tidemark.operators.chunked import attach_by_piece, index_chunk, join_same, number_runs, ordered_scan
 from tidemark.operators.timeline import KEYS, ordered_labels, representatives, robust_confidence
 from tidemark.session import cut_lineage
 
@@ -239,36 +239,16 @@ def smooth_phases(windows: DataFrame, keys: Sequence[str] = KEYS, config: PhaseC
             state = int(b[state])
         return pdf.sort_values("idx")[[*keys, "idx"]].assign(phase=[PHASES[s] for s in reversed(states)])
 
-    width = len(keys)
-
-    def step(rows, row):
-        rows.append(row)
-        return ()
-
-    def flush(rows):
-        emission = np.array([r[width + 1] for r in rows], dtype=np.int64)
-        final, back = walk(emission, np.zeros(4, dtype=np.int64), True)
-        state, states = int(final.argmin()), []
-        for b in reversed(back):
-            states.append(state)
-            state = int(b[state])
-        for r, s in zip(rows, reversed(states)):
-            yield (*r[:width + 1], PHASES[s])
-
     by, out = [*keys, "seq"], f"{key_fields}, idx long, phase string"
-    if slim.agg(F.max("seq")).first()[0] in (None, 0):
-        # Every recording fits one chunk of `rows` windows.
-        paths = ordered_fold(slim.drop("seq"), keys, [F.col("idx")], list, step, flush, out)
-    else:
-        matrices = slim.groupBy(*by).applyInPandas(matrix, f"{key_fields}, seq long, step array<bigint>")
-        zero = slim.select(*keys).distinct().withColumn("state", F.array(*[F.lit(0).cast("long")] * 4))
-        entries = cut_lineage(compose_scan(matrices, keys, _min_plus, lambda s, m: (s[:, None] + m.reshape(4, 4)).min(axis=0), zero))
-        entered = join_same(slim, entries, by)
-        origins = cut_lineage(entered.groupBy(*by).applyInPandas(ends, f"{key_fields}, seq long, step array<bigint>, last long"))
-        final = origins.groupBy(*keys).agg(F.array(F.max_by("last", "seq")).alias("state"))
-        finals = compose_scan(origins.drop("last"), keys, lambda a, b: b[a], lambda s, m: m[s], final, backward=True)
-        ready = join_same(entered, finals.withColumnRenamed("state", "end_state"), by)
-        paths = ready.groupBy(*by).applyInPandas(path, out)
+    matrices = slim.groupBy(*by).applyInPandas(matrix, f"{key_fields}, seq long, step array<bigint>")
+    zero = slim.select(*keys).distinct().withColumn("state", F.array(*[F.lit(0).cast("long")] * 4))
+    entries = cut_lineage(compose_scan(matrices, keys, _min_plus, lambda s, m: (s[:, None] + m.reshape(4, 4)).min(axis=0), zero))
+    entered = join_same(slim, entries, by)
+    origins = cut_lineage(entered.groupBy(*by).applyInPandas(ends, f"{key_fields}, seq long, step array<bigint>, last long"))
+    final = origins.groupBy(*keys).agg(F.array(F.max_by("last", "seq")).alias("state"))
+    finals = compose_scan(origins.drop("last"), keys, lambda a, b: b[a], lambda s, m: m[s], final, backward=True)
+    ready = join_same(entered, finals.withColumnRenamed("state", "end_state"), by)
+    paths = ready.groupBy(*by).applyInPandas(path, out)
     joined = join_same(windows, paths, [*keys, "idx"])
     score = F.coalesce(*[F.when(F.col("phase") == p, F.col(p)) for p in PHASES])
     moved = F.col("phase") != F.col("raw_phase")

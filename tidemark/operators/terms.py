@@ -4,12 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.chunked import join_same
-from pyspark.sql import types as T
 
 from tidemark.functions import text as tx
 
@@ -60,7 +58,8 @@ def distinctive_terms(
     """Best terms per text: array `terms` of (term, score, frequency, document_frequency, distribution).
 
     `corpus` keys are part of `keys`. With `own_corpus` every text is its own corpus. A text's terms are gathered
-    only after counting, bounded by the length of that one text.
+    only after counting, bounded by the length of that one text. Where in the text a term occurs is looked up from the
+    largest possible score down, and only until the best terms are settled: a few dozen searches a text.
     """
     counts = term_counts(texts, keys, text)
     if own_corpus:
@@ -76,39 +75,50 @@ def distinctive_terms(
         return F.array(*[F.substr(n, low(i) + 1, low(i + 1) - low(i)) for i in range(4)])
 
     normal = join_same(texts.select(*keys, tx.bind(tx.normalize(F.col(text)), quarters).alias("quarters")), gathered, keys)
-    shares = quarter_shares("quarters", F.transform("counted", lambda t: tx.normalize(t["term"])))
-    rows = normal.select(*keys, "documents", "counted", shares.alias("shares"))
 
-    def entry(q: Column, t: Column, share: Column) -> Column:
+    def score(q: Column, t: Column, share: Column) -> Column:
         idf = F.log((1 + q["documents"]) / (1 + t["document_frequency"])) + 1
-        value = (
+        return (
             F.log1p(t["frequency"]) * idf * (0.65 + 0.35 * share) * F.when(F.contains(t["term"], F.lit(" ")), 1.35).otherwise(1.0)
             * F.when(t["term"].isin(tx.GENERIC_TERMS), 0.35).otherwise(1.0)
         )
-        return tx.bind(value, lambda v: F.struct(
+
+    def bounded(q: Column) -> Column:
+        """Terms from the largest possible score down: the share of quarters can only lower it, to 0.65 of it at most."""
+        return F.sort_array(F.transform(q["counted"], lambda t: F.struct(
+            (-F.round(score(q, t, F.lit(1.0)), 9)).alias("least"), t["term"].alias("term"), t["frequency"].alias("frequency"), t["document_frequency"].alias("document_frequency"))))
+
+    def entry(q: Column, t: Column) -> Column:
+        found = tx.bind(tx.normalize(t["term"]), lambda n: F.aggregate(q["quarters"], F.lit(0), lambda acc, part: acc + F.contains(part, n).cast("int")))
+        return tx.bind(found / 4, lambda share: tx.bind(score(q, t, share), lambda v: F.struct(
             (-F.round(v, 9)).alias("o1"), (-t["frequency"]).alias("o2"), t["term"].alias("term"), v.alias("score"),
             t["frequency"].alias("frequency"), t["document_frequency"].alias("document_frequency"), share.alias("distribution"),
-        ))
+        )))
+
+    def settled(tested: Column, t: Column) -> Column:
+        """The best so far are final once the last of them beats everything that is still to come."""
+        return tx.bind(select_terms(F.sort_array(tested), maximum), lambda best: (F.size(best) >= maximum) & (F.element_at(best, F.lit(-1))["o1"] < t["least"]))
+
+    def look(q: Column, state: Column, t: Column) -> Column:
+        n = F.size(state["tested"])
+        final = state["done"] | ((n >= maximum) & (n % maximum == 0) & settled(state["tested"], t))
+        return F.when(state["done"], state).otherwise(tx.bind(final, lambda done: F.struct(
+            F.when(done, state["tested"]).otherwise(F.array_append(state["tested"], entry(q, t))).alias("tested"), done.alias("done"))))
 
     def drop_order(t: Column) -> Column:
         return F.struct(*[t[n].alias(n) for n in ("term", "score", "frequency", "document_frequency", "distribution")])
 
-    ranked = tx.bind(
-        F.struct("documents", "counted", "shares"),
-        lambda q: F.sort_array(F.zip_with(q["counted"], q["shares"], lambda t, share: entry(q, t, share))),
-    )
-    # Bound once: the selection refers to the ranked list more than once.
-    chosen = tx.bind(ranked, lambda r: F.transform(select_terms(r, maximum), drop_order))
-    return rows.select(*keys, chosen.alias("terms"))
-
-
-@F.pandas_udf(T.ArrayType(T.DoubleType()))
-def quarter_shares(quarters: pd.Series, terms: pd.Series) -> pd.Series:
-    """Share of the four quarters of a text that contain each term. Searching many terms in one text is the costly
-    part of term scoring; the built-in `contains` compares byte by byte, Python's substring search skips ahead."""
-    return pd.Series([
-        [((t in q[0]) + (t in q[1]) + (t in q[2]) + (t in q[3])) / 4 for t in found] for q, found in zip(quarters, terms)
-    ])
+    kind = "array<struct<o1:double,o2:bigint,term:string,score:double,frequency:bigint,document_frequency:bigint,distribution:double>>"
+    start = F.struct(F.array().cast(kind).alias("tested"), F.lit(False).alias("done"))
+
+    def best_terms(q: Column) -> Column:
+        tested = F.aggregate(bounded(q), start, lambda state, t: look(q, state, t))["tested"]
+        # Bound once: the selection refers to the ranked list more than once.
+        return tx.bind(F.sort_array(tested), lambda r: F.transform(select_terms(r, maximum), drop_order))
+
+    counted_type = "array<struct<term:string,frequency:bigint,document_frequency:bigint>>"
+    packed = F.struct(F.col("documents").cast("bigint").alias("documents"), F.col("counted").cast(counted_type).alias("counted"), "quarters")
+    return normal.select(*keys, tx.bind(packed, best_terms).alias("terms"))
 
 
 def keyword_quality(terms: Column, normal_text: Column, text_lemmas: Column) -> Column:

@@ -138,9 +138,11 @@ def q_topk_candidates(spark, folder):
     return ranked.select("vod_id", "id", F.col("rank").cast("long").alias("rank"))
 
 
-@query("pairwise_overlap", f"WITH r AS ({_RANGES}) SELECT x.vod_id, x.id AS id_a, y.id AS id_b, {_SHARE} AS overlap FROM r x JOIN r y ON x.vod_id = y.vod_id AND x.id < y.id AND x.b > y.a AND x.a < y.b")
+@query("pairwise_overlap", f"WITH r0 AS ({_RANGES}), r AS (SELECT * REPLACE (vod_id || '/' || (id // 400) AS vod_id) FROM r0) SELECT x.vod_id, x.id AS id_a, y.id AS id_b, {_SHARE} AS overlap FROM r x JOIN r y ON x.vod_id = y.vod_id AND x.id < y.id AND x.b > y.a AND x.a < y.b")
 def q_pairwise(spark, folder):
-    return cd.pairwise_overlap(ranges(spark, folder), ["vod_id"])
+    # A recording has a few dozen candidates: the pairs grow with the recordings.
+    r = ranges(spark, folder)
+    return cd.pairwise_overlap(r.withColumn("vod_id", F.concat("vod_id", F.lit("/"), F.floor(F.col("id") / 400).cast("string"))), ["vod_id"])
 
 
 @query("topic_candidates_end_to_end")
