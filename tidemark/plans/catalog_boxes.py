@@ -153,7 +153,21 @@ def tracked(spark, folder):
 SCENE, DET = ["clip_id", "scene_id"], ["det_a", "det_b", "det_c"]
 
 
-@query("track_linking")
+_LINKED = {
+    "tl": """SELECT clip_id, frame_index // 4 AS scene_id, list({'f': frame_index, 'a': det_a, 'b': det_b, 'c': det_c, 'cx': (x + width / 2) / 1920, 'cy': (y + height / 2) / 1080, 'area': (width * height)::DOUBLE}
+        ORDER BY frame_index, -confidence, -(width * height), det_a, det_b, det_c) AS l FROM rects GROUP BY 1, 2""",
+    "tr": """SELECT * FROM (WITH RECURSIVE r(clip_id, scene_id, i, tracks, labels) AS (
+        SELECT clip_id, scene_id, 0::BIGINT, list_transform(l[1:0], lambda b: {'cx': b.cx, 'cy': b.cy, 'area': b.area, 'f': b.f}), [0::BIGINT][1:0] FROM tl
+        UNION ALL SELECT clip_id, scene_id, i + 1, CASE WHEN n > len(tracks) THEN list_append(tracks, here) ELSE list_transform(tracks, lambda t, k: CASE WHEN k = n THEN here ELSE t END) END, list_append(labels, (n - 1)::BIGINT) FROM (
+          SELECT *, {'cx': x.cx, 'cy': x.cy, 'area': x.area, 'f': x.f} AS here, coalesce(list_sort(list_filter(list_transform(tracks, lambda t, k: {'d': sqrt((x.cx - t.cx) ** 2 + (x.cy - t.cy) ** 2), 'k': k::BIGINT,
+            'ok': t.f <> x.f AND x.area / greatest(1, t.area) BETWEEN 0.35 AND 2.8}), lambda o: o.ok AND o.d < 0.10))[1].k, len(tracks) + 1) AS n
+          FROM (SELECT r.*, tl.l[r.i + 1] AS x FROM r JOIN tl ON tl.clip_id = r.clip_id AND tl.scene_id = r.scene_id WHERE r.i < len(tl.l))))
+        SELECT r.clip_id, r.scene_id, tl.l, r.labels FROM r JOIN tl ON tl.clip_id = r.clip_id AND tl.scene_id = r.scene_id WHERE r.i = len(tl.l))""",
+    "linked": "SELECT clip_id, scene_id, b.f AS frame_index, b.a AS det_a, b.b AS det_b, b.c AS det_c, track FROM (SELECT clip_id, scene_id, unnest(l) AS b, unnest(labels) AS track FROM tr)",
+}
+
+
+@query("track_linking", with_views("rects", "SELECT * FROM linked", **_LINKED))
 def q_track_linking(spark, folder):
     return bx.link_tracks(tracked(spark, folder), SCENE, DET).select(*SCENE, "frame_index", *DET, "track")
 

@@ -122,7 +122,7 @@ def q_profile_summary(spark, folder):
     return rd.profile_summary(p).select("id", "version", F.array_join("enabled_layouts", ",").alias("enabled_layouts"))
 
 
-@query("embed_texts")
+@query("embed_texts", with_views("segments", """SELECT vod_id, pos, CASE WHEN length(text) > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS length, 'length-encoder' AS effective_backend, FALSE AS fallback_used FROM segments"""))
 def q_embed(spark, folder):
     s = segments(spark, folder)
 
