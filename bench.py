@@ -15,7 +15,7 @@ from tidemark.session import build_session
 HEADLINE = [
     "state_durations", "hysteresis", "classify_phase_window", "viterbi_smooth", "phase_timeline", "silence_cut_list", "keep_list", "overlap_join", "chapter_asof_join",
     "latest_cached_result", "upsert_rows", "tumbling_windows", "term_counts", "distinctive_terms", "hash_embedding", "semantic_windows", "topic_boundaries",
-    "region_match_join", "track_linking", "diversify_topk", "stream_windows",
+    "region_match_join", "track_linking", "diversify_topk", "stream_windows", "composition_plan", "topic_candidates_end_to_end",
 ]
 
 

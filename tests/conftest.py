@@ -12,6 +12,6 @@ from tidemark.session import build_session
 def spark():
     session = build_session("tests", master="local[8]", shuffle_partitions=4)
     session.sparkContext.setLogLevel("ERROR")
-    session.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-tests-"))
+    session.sparkContext.setCheckpointDir(os.environ.get("TIDEMARK_CHECKPOINT_DIR") or tempfile.mkdtemp(prefix="tidemark-tests-"))
     yield session
     session.stop()

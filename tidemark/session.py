@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +19,8 @@ def build_session(app: str = "tidemark", master: str | None = None, shuffle_part
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.sql.sources.partitionOverwriteMode", "dynamic")
     )
+    if os.environ.get("TIDEMARK_CHECKPOINT_DIR"):
+        builder = builder.config("spark.checkpoint.dir", os.environ["TIDEMARK_CHECKPOINT_DIR"])
     if master:
         builder = builder.master(master)
     if shuffle_partitions:
