@@ -1,6 +1,7 @@
 """Near-duplicates, repeated passages and benchmark passages against brute force."""
 
 import hashlib
+import itertools
 import random
 import re
 from dataclasses import replace
@@ -161,6 +162,52 @@ def test_benchmark_passages(spark):
     assert spaced_seeds.overlaps(documents(spark, []), bench).collect() == []
 
 
+def brute_passage(item, text, least=13):
+    """Whether any alignment has a stretch of `least` tokens, or the whole item, of which four in five agree."""
+    for offset in range(-len(item) + 1, len(text)):
+        b, e = max(offset, 0), min(offset + len(item), len(text))
+        score = np.concatenate([[0], np.cumsum([5 * (item[i - offset] == text[i]) - 4 for i in range(b, e)])])
+        if any(score[j] >= score[i] for i in range(e - b + 1) for j in range(i + min(least, len(item)), e - b + 1)):
+            return True
+    return False
+
+
+@pytest.mark.parametrize("n", range(2, 26))
+def test_substituted_passages_equal_brute_force(n):
+    item = [f"k{i}" for i in range(n)]
+    block = spaced_seeds.Block([(7, " ".join(item))], spaced_seeds.Seeds())
+    for wrong in itertools.chain.from_iterable(itertools.combinations(range(n), k) for k in range(4 if n in (15, 16) else 3)):
+        passage = ["other" if i in wrong else w for i, w in enumerate(item)]
+        for text in (passage, ["x", *passage, "y", "z"], ["x", *passage[2:]], [*passage[:-3], "y"]):
+            got = block.overlaps(" ".join(text))
+            assert bool(got) == brute_passage(item, text), (wrong, text)
+            for _, b, e, equal, size in got:
+                assert size == n and e - b >= min(13, n) and 5 * equal >= 4 * (e - b)
+
+
+def test_masks_leave_no_passage_unseen():
+    """In every stretch of 13 to 25 tokens with the most words that may differ, some mask is whole; longer ones hold such a half."""
+    for n in range(13, 26):
+        wrong = np.array([sum(1 << j for j in c) for c in itertools.combinations(range(n), n // 5)])
+        for mask in spaced_seeds.Seeds().masks:
+            reads = sum(1 << j for j, c in enumerate(mask) if c == "1")
+            for at in range(n - len(mask) + 1):
+                wrong = wrong[wrong & (reads << at) != 0]
+        assert not len(wrong)
+
+
+def test_longest_stretch_equals_brute_force():
+    rnd = random.Random(3)
+    for _ in range(400):
+        agree = np.array([rnd.random() < 0.75 for _ in range(rnd.randint(1, 40))])
+        fits = [(i, j) for i in range(len(agree)) for j in range(i + 13, len(agree) + 1) if 5 * agree[i:j].sum() >= 4 * (j - i)]
+        b, e = spaced_seeds.longest_stretch(agree, 13, 80)
+        assert ((b, e) in fits) if fits else (b, e) == (0, 0)
+        if fits:
+            i, j = max(fits, key=lambda x: (x[1] - x[0], -x[0]))
+            assert i <= b and e <= j and agree[b:e].sum() == agree[i:j].sum()
+
+
 def test_best_stretch_is_the_largest_sum():
     rnd = random.Random(2)
     for _ in range(300):

@@ -2,7 +2,7 @@
 
 A mask reads some positions of a run of tokens and ignores the rest, so a substituted token in an ignored position leaves
 the hash unchanged. Hashes of all benchmark positions under all masks meet the hashes of all text positions; around each hit
-benchmark and text are laid side by side, and the best stretch is accepted if it is long enough and agrees well enough.
+benchmark and text are laid side by side, and the longest stretch that agrees well enough is accepted if it is long enough.
 
 The benchmark is taken in blocks of bounded size, and every block is a hash table that meets all texts where they lie:
 nothing is shuffled, and a passage that a third of all texts contain is ordinary work for every task.
@@ -25,12 +25,13 @@ _TOKEN = re.compile(r"[^\W_]+")
 
 @dataclass(frozen=True)
 class Seeds:
-    """`masks`: 1 reads a token, 0 ignores it. Each has weight six within eight to eleven tokens: two substitutions next to
-    each other or apart leave one of them whole in any 13 tokens, and six equal tokens by chance are rare.
+    """`masks`: 1 reads a token, 0 ignores it. Each has weight six within eight to eleven tokens, and six equal tokens by chance
+    are rare. One of them is whole in every stretch of 13 to 25 tokens of which four in five agree (enumerated), and so in every
+    longer one, as one of its halves agrees as well. Items below `least` tokens are looked up in parts, one of which is whole.
     A stretch is accepted with at least `least` tokens, or the whole item if it is shorter, of which `percent` agree.
     `block` tokens of the benchmark are held by a task at a time."""
 
-    masks: tuple[str, ...] = ("11101011", "1101100101", "11010010111", "11111100")
+    masks: tuple[str, ...] = ("11101011", "1101100101", "11010010111", "11111100", "1110001011")
     least: int = 13
     percent: int = 80
     block: int = 500_000
@@ -41,6 +42,22 @@ def tokens(text: str | None) -> list[str]:
     return _TOKEN.findall(text.lower()) if text else []
 
 
+def longest_stretch(agree: np.ndarray, least: int, percent: int) -> tuple[int, int]:
+    """[start, end) of the longest stretch of which `percent` agree, the first one on ties; (0, 0) if it has fewer than `least`
+    positions. Positions at its ends that do not agree are left off as long as `least` remain."""
+    score = np.concatenate([[0], np.cumsum(np.where(agree, 100, 0) - percent)])
+    start = np.searchsorted(-np.minimum.accumulate(score), -score)  # the first place that is no higher
+    end = int(np.argmax(np.arange(len(score)) - start))
+    start = int(start[end])
+    if end - start < least:
+        return 0, 0
+    while end - start > least and not agree[end - 1]:
+        end -= 1
+    while end - start > least and not agree[start]:
+        start += 1
+    return start, end
+
+
 def best_stretch(agree: np.ndarray) -> tuple[int, int]:
     """[start, end) of the stretch with the largest sum of +1 per agreeing and -3 per other position: four in five must agree, and its ends do."""
     score = np.concatenate([[0], np.cumsum(np.where(agree, 1, -3))])
@@ -60,19 +77,23 @@ class Block:
         self.codes = {w: n + 1 for n, w in enumerate(words)}  # 0: a word that no item has
         self.items = [(i, np.array([self.codes[w] for w in t], np.int64)) for i, t in split if t]
         self.masks = [np.flatnonzero(np.array(list(m)) == "1") for m in cfg.masks]
-        shortest = min(len(m) for m in cfg.masks)
         keys, item, at = [], [], []
+        short = set()
         for n, (_, codes) in enumerate(self.items):
+            if len(codes) < cfg.least:  # one part more than words that may differ: one of them is whole
+                edges = np.linspace(0, len(codes), len(codes) * (100 - cfg.percent) // 100 + 2).astype(int).tolist()
+                for b, e in zip(edges, edges[1:]):
+                    keys.append(self._whole(codes[b:e], e - b))
+                    item.append(np.array([n]))
+                    at.append(np.array([b]))
+                    short.add(e - b)
+                continue
             for k, (mask, text) in enumerate(zip(self.masks, cfg.masks, strict=True)):
                 found = self._hash(codes, mask, len(text), k)
                 keys.append(found)
                 item.append(np.full(len(found), n))
                 at.append(np.arange(len(found)))
-            if len(codes) < shortest:  # too short for any mask: looked up whole
-                keys.append(self._whole(codes, len(codes)))
-                item.append(np.array([n]))
-                at.append(np.array([0]))
-        self.short = sorted({len(c) for _, c in self.items if len(c) < shortest})
+        self.short = sorted(short)
         keys = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
         order = np.argsort(keys, kind="stable")
         self.keys = keys[order]
@@ -115,11 +136,10 @@ class Block:
             name, item = self.items[n]
             b, e = max(offset, 0), min(offset + len(item), len(codes))
             agree = item[b - offset : e - offset] == codes[b:e]
-            start, end = best_stretch(agree)
-            length, equal = end - start, int(agree[start:end].sum())
-            if length >= min(self.cfg.least, len(item)) and 100 * equal >= self.cfg.percent * length:
+            start, end = longest_stretch(agree, min(self.cfg.least, len(item)), self.cfg.percent)
+            if end > start:
                 key = (name, b + start)
-                out[key] = max(out.get(key, (0, 0, 0)), (equal, b + end, len(item)))
+                out[key] = max(out.get(key, (0, 0, 0)), (int(agree[start:end].sum()), b + end, len(item)))
         return [(name, start, end, equal, size) for (name, start), (equal, end, size) in sorted(out.items())]
 
 
