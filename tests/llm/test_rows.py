@@ -135,6 +135,23 @@ def test_quality_counts_and_outliers(spark):
     assert robust_outliers.judged(documents(spark, []), ["doc_id"]).collect() == []
 
 
+def test_outliers_of_small_groups(spark):
+    rnd, rows, planted = random.Random(12), [], set()
+    for n in (*range(1, 30), 200):  # a source of n texts, one of them strange; "xx" is a language of one such text
+        for i in range(n):
+            text = "\n".join(sentence(rnd, 10) for _ in range(rnd.randint(3, 20)))
+            if i == 0 and n < 30:
+                planted.add(len(rows))
+                text = " ".join("#$%&*|<>" * 6 + str(j) for j in range(60))
+            rows.append((len(rows), text, "xx" if n == 1 else "en" if n % 2 else None, f"s{n}", 1))
+    for few in (rows, rows[:1] + [r for r in rows if r[3] == "s200"]):
+        got = {r["doc_id"]: r for r in robust_outliers.judged(documents(spark, few), ["doc_id"]).collect()}
+        assert {d for d, r in got.items() if not r["kept"] and not r["base_failed"]} == planted & set(got)
+        assert all((r["distance"] is None) == r["base_failed"] for r in got.values())
+    alone = robust_outliers.judged(documents(spark, rows[1:2]), ["doc_id"]).collect()
+    assert len(alone) == 1 and alone[0]["distance"] is not None
+
+
 def test_determinant_estimate_ignores_outliers(spark):
     rnd = np.random.default_rng(2)
     good, bad = rnd.normal(0, 1, (400, 4)) @ np.diag([1.0, 2.0, 0.5, 1.0]), rnd.normal(30, 1, (80, 4))

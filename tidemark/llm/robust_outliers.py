@@ -2,12 +2,13 @@
 
 Counts of a text give a vector of transformed statistics. For every language and source the minimum-covariance-determinant
 estimate of centre and spread is found by concentration steps: keep the rows nearest to the present estimate, estimate anew
-from them, repeat. Rows that lie far away by Mahalanobis distance are rejected.
+from them, repeat. Small groups have theirs shrunk towards the language's, and that of a small language towards that of all
+rows. Rows that lie far away by Mahalanobis distance are rejected.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,7 +24,9 @@ DIMENSIONS = 4
 class Outliers:
     """`share` of the rows that the estimate rests on, in sixteenths. `consistency` makes its spread that of normal rows: for
     four dimensions and three quarters, 0.75 / P(chi2 with 6 degrees < 5.385). `ridge` is added to each variance: differences
-    below it never reject. `cutoff` is the squared distance that rejects. Groups below `least` rows reject nothing.
+    below it never reject. `cutoff` is the squared distance that rejects. Groups below `least` rows count n/`least` in
+    their centre and the square of it in their spread, in which few rows would hide the outlier among them; the next larger group
+    counts the rest.
     `bins` per unit cut values for quantiles."""
 
     share: int = 12
@@ -159,6 +162,23 @@ def estimates(rows: DataFrame, keys: list[str], cfg: Outliers = Outliers()) -> D
     return shared_table(_joined(counts, best.select(*keys, "e.*").drop("start"), keys), "mcd-best")
 
 
+def _shrunk(groups: DataFrame, wider: DataFrame, keys: list[str], by: list[str], cfg: Outliers) -> DataFrame:
+    """Estimates of `groups` (one row per `keys`, with `rows`), those below `least` rows mixed with the one of `wider` for the same `by`."""
+    names = [c for c in wider.columns if c not in (*by, "rows", "logdet")]
+    share = F.least(F.col("rows") / cfg.least, F.lit(1.0))
+    both = _joined(groups, wider.select(*by, *[F.col(c).alias(f"w_{c}") for c in names]), by).withColumn("share", share)
+
+    def product(prefix: str, i: int, j: int) -> Column:
+        return sum((F.col(f"{prefix}l{i}{k}") * F.col(f"{prefix}l{j}{k}") for k in range(j + 1)), F.lit(0.0))
+
+    def mixed(share: Column, own: Column, other: Column) -> Column:
+        return share * own + (1 - share) * other
+
+    centre = [mixed(F.col("share"), F.col(f"m{i}"), F.col(f"w_m{i}")).alias(f"m{i}") for i in range(DIMENSIONS)]
+    spread = [mixed(F.col("share") * F.col("share"), product("", i, j), product("w_", i, j)).alias(f"c{i}{j}") for i in range(DIMENSIONS) for j in range(i + 1)]
+    return _factored(both.select(*keys, *centre, *spread), keys, replace(cfg, ridge=(0.0,) * DIMENSIONS))  # both hold the ridge
+
+
 def _joined(rows: DataFrame, small: DataFrame, keys: list[str]) -> DataFrame:
     """Rows with the one row per key of `small`; null keys match null keys. Spark broadcasts `small` if it is; otherwise both sides are dealt anew and a hot key can be split."""
     renamed = small.select(*[F.col(k).alias(f"__{k}") for k in keys], *[c for c in small.columns if c not in keys])
@@ -168,7 +188,7 @@ def _joined(rows: DataFrame, small: DataFrame, keys: list[str]) -> DataFrame:
 
 def judged(docs: DataFrame, carry: list[str], text_column: str = "text", groups: tuple[str, str] = ("lang", "source"), prefix: str = "", cfg: Outliers = Outliers()) -> DataFrame:
     """The columns `carry` of every row, and, with names that start with `prefix`, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-    distance (null where the group is too small to judge or the row failed the base rules) and kept.
+    distance (null where the row failed the base rules) and kept. Every row that passes the base rules is judged, however small its group.
 
     Null and empty texts have no words and fail. Null languages or sources are groups of their own; a missing group column
     counts as null. Rows that repeat are judged alike, each. An empty table gives an empty result. Statistics are taken over
@@ -180,7 +200,13 @@ def judged(docs: DataFrame, carry: list[str], text_column: str = "text", groups:
     )
     rows = counted(inner, "t").drop("t")
     table = shared_table(rows.withColumns({f"x{i}": x for i, x in enumerate(statistics())}), "mcd-rows")
-    best = estimates(table.where("NOT base_failed"), ["g0", "g1"], cfg).where(F.col("rows") >= cfg.least).drop("rows")
+    null = F.lit(None).cast("string")
+    levels = F.array(*[F.struct(F.lit(n).alias("level"), x.alias("g0"), y.alias("g1")) for n, (x, y) in enumerate(((null, null), (F.col("g0"), null), (F.col("g0"), F.col("g1"))))])
+    passed = table.where("NOT base_failed").select(F.explode(levels).alias("k"), *[f"x{i}" for i in range(DIMENSIONS)]).select("k.*", *[f"x{i}" for i in range(DIMENSIONS)])
+    found = estimates(passed, ["level", "g0", "g1"], cfg)  # of all rows, of each language, and of each language and source
+    overall, languages, sources = (found.where(F.col("level") == n) for n in range(3))
+    languages = _shrunk(languages.drop("g1"), overall.drop("g0", "g1").withColumn("level", F.lit(1)), ["level", "g0"], ["level"], cfg)
+    best = shared_table(_shrunk(sources.drop("level"), languages.drop("level"), ["g0", "g1"], ["g0"], cfg), "mcd-judges")
     renamed = best.select(F.col("g0").alias("h0"), F.col("g1").alias("h1"), *[c for c in best.columns if c not in ("g0", "g1")])
     joined = _distance(table.join(renamed, [F.col("g0").eqNullSafe(F.col("h0")), F.col("g1").eqNullSafe(F.col("h1"))], "left"))
     distance = F.when(~F.col("base_failed"), F.col("d"))
