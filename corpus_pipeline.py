@@ -25,6 +25,11 @@ def _columns(docs: DataFrame) -> list[str]:
     return [c for c in COLUMNS if c in docs.columns]
 
 
+def _numbered(docs: DataFrame, name: str) -> DataFrame:
+    """The columns of `docs` with `row`, a unique number that stays, as the table is written."""
+    return shared_table(docs.select(*_columns(docs), F.monotonically_increasing_id().alias("row")), name)
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that pass the base rules and are no outlier of their language and source."""
     columns = _columns(docs)
@@ -41,11 +46,11 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows without a passage of the benchmark. Rows without a doc_id can't be named by a hit and are judged by a number of their own."""
-    columns = _columns(docs)
+    """Rows without a passage of the benchmark. Each row is judged by a number of its own, whatever its doc_id."""
+    rows = _numbered(docs, "decontamination-rows")
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    found = overlaps(docs.select("doc_id", "text"), benchmark).select(F.col("doc_id").alias("leak")).distinct()
-    return docs.select(*columns).join(found, docs["doc_id"] == F.col("leak"), "left_anti")
+    found = overlaps(rows, benchmark, id_column="row").select("row").distinct()
+    return rows.join(found, "row", "left_anti").select(*_columns(docs))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

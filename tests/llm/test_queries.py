@@ -89,6 +89,13 @@ def test_pipeline_stage_by_stage(spark, tmp_path):
             assert {r["doc_id"]: r["n_tokens"] for r in after} == size
 
 
+def test_decontamination_judges_rows(spark):
+    ((passage,),) = duckdb.sql(f"SELECT text FROM '{FOLDER}/benchmark.parquet' LIMIT 1").fetchall()
+    rows = [(None, f"before {passage} after", "en", "s", 1), (None, "clean", "en", "s", 1), (7, passage, "en", "s", 1), (7, "clean too", "en", "s", 1), (8, None, "en", "s", 1)]
+    left = corpus_pipeline.decontamination(spark, documents(spark, rows), FOLDER).collect()
+    assert sorted(map(str, left)) == sorted(map(str, documents(spark, [rows[1], *rows[3:]]).collect()))
+
+
 def test_pipeline_of_nothing(spark, tmp_path):
     docs = documents(spark, [])
     for _, stage in corpus_pipeline.STAGES:
