@@ -142,3 +142,54 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
     from tidemark.llm.token_files import token_counts
 
     return pack(token_counts(_table(spark, folder, "documents"), _tokenizer()), "n_tokens")
+
+
+def _merkle_sql(levels: int = 5, tops: int = 3, fan: int = 16) -> str:
+    """Levels written out: 16^5 leaves a source, 16^3 sources."""
+    field = lambda c: f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen({c}::VARCHAR)::VARCHAR || ':' || {c}::VARCHAR END"
+    row = lambda text: "sha256(" + " || ".join(map(field, ["doc_id", "source", "lang", "n_chars", text])) + ")"
+    low = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    bits = "list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))"
+    crc = f"xor(list_reduce(list_concat([4294967295], list_transform(string_split(doc_id::VARCHAR, ''), lambda z: ascii(z)::BIGINT)), lambda c, b: {bits}), 4294967295)"
+    parts = [
+        f"l AS (SELECT doc_id, CASE WHEN source IS NULL THEN '' ELSE 's' || source END AS tree, {row('text')} AS leaf, CASE WHEN ({crc}) % 5 = 0 THEN {row(low)} ELSE {row('text')} END AS shown FROM documents)",
+        "a AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS r FROM l)",
+        "v0 AS (SELECT tree, r, count(*) OVER (PARTITION BY tree) AS c, leaf AS d FROM a)",
+    ]
+
+    def climb(v: str, k: int) -> list[str]:
+        run = f"PARTITION BY tree, r // {fan} ORDER BY r ROWS BETWEEN"
+        return [
+            f"w{v}{k} AS (SELECT *, CASE WHEN c = 1 THEN '' ELSE coalesce(string_agg(d, '') OVER ({run} UNBOUNDED PRECEDING AND 1 PRECEDING), '') END AS lo, CASE WHEN c = 1 THEN '' ELSE coalesce(string_agg(d, '') OVER ({run} 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') END AS hi FROM {v}{k})",
+            f"{v}{k + 1} AS (SELECT tree, r // {fan} AS r, (any_value(c) + {fan - 1}) // {fan} AS c, CASE WHEN any_value(c) = 1 THEN any_value(d) ELSE sha256(string_agg(d, '' ORDER BY r)) END AS d FROM {v}{k} GROUP BY tree, r // {fan})",
+        ]
+
+    def fold(before: str, v: str, k: int, place: str, tree: str) -> str:
+        return (
+            f"SELECT f.* EXCLUDE (proof, got), proof || lo || hi AS proof, CASE WHEN c = 1 THEN got ELSE sha256(lo || got || hi) END AS got FROM {before} f JOIN w{v}{k} w ON w.tree = {tree} AND w.r = f.{place} // {fan**k}"
+        )
+
+    for k in range(levels):
+        parts += climb("v", k)
+    parts += [f"t AS (SELECT tree AS name, d, row_number() OVER (ORDER BY tree) - 1 AS top FROM v{levels})", "u0 AS (SELECT '' AS tree, top AS r, count(*) OVER () AS c, d FROM t)"]
+    for k in range(tops):
+        parts += climb("u", k)
+    parts.append("f0 AS (SELECT doc_id, a.tree, r, leaf, t.d AS subroot, top, '' AS proof, shown AS got FROM a JOIN t ON a.tree = t.name)")
+    for k in range(levels):
+        parts.append(f"f{k + 1} AS ({fold(f'f{k}', 'v', k, 'r', 'f.tree')})")
+    for k in range(tops):
+        parts.append(f"f{levels + k + 1} AS ({fold(f'f{levels + k}', 'u', k, 'top', chr(39) * 2)})")
+    return f"WITH {', '.join(parts)} SELECT doc_id, leaf, subroot, u.d AS root, sha256(proof) AS proof_sha256, got AS folded_root, got = u.d AS verified FROM f{levels + tops}, u{tops} u"
+
+
+@register("op13_merkle_manifest", _merkle_sql())
+def op13_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    from tidemark.llm.merkle_witness import LOWER, UPPER, folded, proof_digest, row_digest, witnesses
+
+    docs = _table(spark, folder, "documents")
+    of = lambda text: row_digest([F.col(c) for c in ("doc_id", "source", "lang", "n_chars")] + [text])
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    leaves = docs.select("doc_id", "source", of(F.col("text")).alias("leaf"), F.when(tampered, of(F.translate("text", UPPER, LOWER))).alias("tampered"))
+    shown = witnesses(leaves, "source", "doc_id", carried=["tampered"])
+    got = shown.withColumn("folded_root", folded(F.coalesce("tampered", "leaf"), F.col("witness")))
+    return got.select("doc_id", "leaf", "subroot", "root", proof_digest(F.col("witness")).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
