@@ -193,3 +193,23 @@ def op13_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
     shown = witnesses(leaves, "source", "doc_id", carried=["tampered"])
     got = shown.withColumn("folded_root", folded(F.coalesce("tampered", "leaf"), F.col("witness")))
     return got.select("doc_id", "leaf", "subroot", "root", proof_digest(F.col("witness")).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+@register(
+    "op11_embedding_near_dedup",
+    """
+    WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+    ok AS (SELECT vec_id, e, sqrt(list_inner_product(e, e)) AS size FROM v WHERE len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x != 0)) > 0),
+    link AS (SELECT a.vec_id AS x, b.vec_id AS y FROM ok a JOIN ok b ON a.vec_id < b.vec_id AND len(a.e) = len(b.e) WHERE list_inner_product(a.e, b.e) / (a.size * b.size) >= 0.95),
+    edge AS (SELECT x, y FROM link UNION ALL SELECT y, x FROM link),
+    reach(node, low) AS (SELECT x, x FROM edge UNION SELECT e.y, r.low FROM reach r JOIN edge e ON e.x = r.node WHERE r.low < e.y),
+    comp AS (SELECT node, min(low) AS low FROM reach GROUP BY node),
+    n AS (SELECT x, count(*) AS n FROM edge GROUP BY x)
+    SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, coalesce(low, vec_id) AS component_id, coalesce(low, vec_id) = vec_id AS kept
+    FROM v LEFT JOIN n ON n.x = vec_id LEFT JOIN comp ON comp.node = vec_id
+    """,
+)
+def op11_embedding_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    from tidemark.llm.rotation_codes import similar_vectors
+
+    return similar_vectors(_table(spark, folder, "embeddings"))
