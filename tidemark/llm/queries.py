@@ -213,3 +213,32 @@ def op11_embedding_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     from tidemark.llm.rotation_codes import similar_vectors
 
     return similar_vectors(_table(spark, folder, "embeddings"))
+
+
+_PIECES = r"'[.,;:!?\x0A-\x0D]'"
+
+
+def _phrase_sql(least: int = 30, top: int = 2000) -> str:
+    return rf"""
+    WITH d AS (SELECT doc_id, coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+    w AS (SELECT lang, regexp_extract_all(unnest(string_split_regex(t, {_PIECES})), '[^\x20\x09]+') AS w FROM d),
+    g AS (SELECT lang, size, w[p : p + size - 1] AS g FROM (SELECT lang, w, size, unnest(range(1, len(w) - size + 2)) AS p FROM w, (SELECT unnest([1, 2, 3, 4]) AS size) WHERE len(w) >= size)),
+    c AS (SELECT lang, size, g, count(*) AS a FROM g GROUP BY ALL),
+    total AS (SELECT lang, sum(a)::BIGINT AS n FROM c WHERE size = 1 GROUP BY lang),
+    big AS (SELECT * FROM c WHERE size > 1 AND a >= {least}),
+    cut AS (SELECT b.lang, b.size, b.g, b.a, k, x.a AS l, y.a AS r, (2000000::HUGEINT * b.a) // (x.a + y.a) AS score
+        FROM (SELECT *, unnest(range(1, size)) AS k FROM big) b JOIN c x ON x.lang = b.lang AND x.g = b.g[1:k] JOIN c y ON y.lang = b.lang AND y.g = b.g[k + 1 : b.size]),
+    low AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1),
+    inside AS (SELECT lang, g[p : p + m - 1] AS g, max(a) AS longer FROM (SELECT lang, g, a, m, unnest(range(1, size - m + 2)) AS p FROM (SELECT *, unnest(range(2, size)) AS m FROM big)) GROUP BY ALL),
+    kept AS (SELECT low.* FROM low LEFT JOIN inside USING (lang, g) WHERE longer IS NULL OR 100 * longer < 80 * a),
+    named AS (SELECT lang, array_to_string(g, ' ') AS phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, score::BIGINT AS score FROM kept)
+    SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM named JOIN total USING (lang)
+    QUALIFY rank <= {top}
+    """
+
+
+@register("op12_collocations", _phrase_sql())
+def op12_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    from tidemark.llm.phrase_trie import collocations
+
+    return collocations(_table(spark, folder, "documents"))
