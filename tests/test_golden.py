@@ -118,7 +118,8 @@ def test_path_in_chunks_equals_whole_path_and_brute_force(spark):
     raw = [rng.choice(PHASES) for _ in range(60)]
     windows = scored_windows(spark, raw, 6)
     whole = [r.phase for r in ph.smooth_phases(windows).orderBy("idx").collect()]
-    assert [r.phase for r in ph.smooth_phases(windows, rows=7).orderBy("idx").collect()] == whole
+    for rows, fan in ((7, 1024), (3, 2), (1, 3)):
+        assert [r.phase for r in ph.smooth_phases(windows, rows=rows, fan=fan).orderBy("idx").collect()] == whole
     penalty, rows = ph._penalty_matrix(PhaseConfig()), windows.orderBy("idx").collect()
     cost, back = None, []
     for r in rows:

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.config import GAMEPLAY_WORDS, LAYOUT, PHASE, PHASES, TALKING_WORDS, PhaseConfig
 from tidemark.operators.chunked import attach_by_piece, index_chunk, join_same, number_runs, ordered_scan
+from tidemark.operators.stepwise import cheapest_path
 from tidemark.operators.timeline import KEYS, ordered_labels, representatives, robust_confidence
 from tidemark.session import cut_lineage
 
@@ -144,112 +144,14 @@ def _penalty_matrix(config: PhaseConfig) -> np.ndarray:
     return out
 
 
-def compose_scan(
-    elements: DataFrame, keys: Sequence[str], compose: Callable, apply: Callable, start: DataFrame, *, fan: int = 1024, backward: bool = False
-) -> DataFrame:
-    """State before every element of an ordered list of composable steps.
-
-    `elements` has `keys`, `seq` and `step array<bigint>`; `compose(a, b)` is the step "a, then b" and
-    `apply(state, step)` moves a state over a step; `start` has `keys` and `state array<bigint>`. Neighbouring
-    steps are composed in groups of `fan`, twice, so a group never has more than `fan` rows except at the top,
-    which holds one row per `fan`² elements of a key.
-    """
-    key_fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in elements.select(*keys).schema.fields)
-    direction = not backward
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq", ascending=direction)
-        total = None
-        for step in pdf["step"]:
-            step = np.asarray(step, dtype=np.int64)
-            total = step if total is None else compose(total, step)
-        return pdf.head(1)[list(keys)].assign(seq=pdf["seq"].iloc[0] // fan, step=[total.tolist()])
-
-    def spread(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq", ascending=direction)
-        state, states = np.asarray(pdf["state"].iloc[0], dtype=np.int64), []
-        for step in pdf["step"]:
-            states.append(state.tolist())
-            state = apply(state, np.asarray(step, dtype=np.int64))
-        return pdf[[*keys, "seq"]].assign(state=states)
-
-    out_step, out_state = f"{key_fields}, seq long, step array<bigint>", f"{key_fields}, seq long, state array<bigint>"
-    level0 = cut_lineage(elements.select(*keys, F.col("seq").cast("long").alias("seq"), "step"))
-    group = F.floor(F.col("seq") / fan).cast("long")
-    level1 = cut_lineage(level0.withColumn("__g", group).groupBy(*keys, "__g").applyInPandas(lambda p: fold(p), out_step))
-    level2 = level1.withColumn("__g", group).groupBy(*keys, "__g").applyInPandas(lambda p: fold(p), out_step)
-    top = join_same(level2, start, keys).groupBy(*keys).applyInPandas(spread, out_state)
-    for level in (level1, level0):
-        down = join_same(level.withColumn("__g", group), top.withColumnRenamed("seq", "__g"), [*keys, "__g"])
-        top = down.groupBy(*keys, "__g").applyInPandas(spread, out_state)
-    return top
-
-
-def _min_plus(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return (a.reshape(4, 4)[:, :, None] + b.reshape(4, 4)[None, :, :]).min(axis=1).reshape(-1)
-
-
-def smooth_phases(windows: DataFrame, keys: Sequence[str] = KEYS, config: PhaseConfig = PHASE, rows: int = 2048) -> DataFrame:
+def smooth_phases(windows: DataFrame, keys: Sequence[str] = KEYS, config: PhaseConfig = PHASE, rows: int = 512, fan: int = 1024) -> DataFrame:
     """Cheapest phase path through a recording. Adds `phase`, `confidence` and `smoothing_reasons`.
 
-    A chunk of windows is a 4x4 matrix of path costs, and such matrices compose. So each chunk first gets the costs
-    it is entered with, then (from the last chunk back) the state it ends in, and only then walks its own windows.
-    """
-    penalty = _penalty_matrix(config)
-    key_fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in windows.select(*keys).schema.fields)
-    cost = F.array(*[F.round((1 - F.col(p)) * MICRO).cast("long") for p in PHASES])
-    slim = windows.select(*keys, "idx", cost.alias("cost")).withColumn("seq", index_chunk("idx", rows))
-    slim = cut_lineage(slim)
-
-    def costs(pdf: pd.DataFrame) -> np.ndarray:
-        return np.array(pdf.sort_values("idx")["cost"].tolist(), dtype=np.int64)
-
-    def matrix(pdf: pd.DataFrame) -> pd.DataFrame:
-        emission, first = costs(pdf), pdf["seq"].iloc[0] == 0
-        total = None
-        for number, e in enumerate(emission):
-            step = (np.zeros((4, 4), dtype=np.int64) if first and number == 0 else penalty) + e[None, :]
-            total = step.reshape(-1) if total is None else _min_plus(total, step.reshape(-1))
-        return pdf.head(1)[[*keys, "seq"]].assign(step=[total.tolist()])
-
-    def walk(emission: np.ndarray, entry: np.ndarray, first: bool):
-        current, back = entry, []
-        for number, e in enumerate(emission):
-            options = current[:, None] + (np.zeros_like(penalty) if first and number == 0 else penalty)
-            back.append(options.argmin(axis=0))
-            current = options.min(axis=0) + e
-        return current, back
-
-    def ends(pdf: pd.DataFrame) -> pd.DataFrame:
-        entry = np.asarray(pdf["state"].iloc[0], dtype=np.int64)
-        final, back = walk(costs(pdf), entry, pdf["seq"].iloc[0] == 0)
-        origin = []
-        for state in range(4):
-            for b in reversed(back):
-                state = b[state]
-            origin.append(int(state))
-        return pdf.head(1)[[*keys, "seq"]].assign(step=[origin], last=int(final.argmin()))
-
-    def path(pdf: pd.DataFrame) -> pd.DataFrame:
-        entry, state = np.asarray(pdf["state"].iloc[0], dtype=np.int64), int(pdf["end_state"].iloc[0][0])
-        _, back = walk(costs(pdf), entry, pdf["seq"].iloc[0] == 0)
-        states = []
-        for b in reversed(back):
-            states.append(state)
-            state = int(b[state])
-        return pdf.sort_values("idx")[[*keys, "idx"]].assign(phase=[PHASES[s] for s in reversed(states)])
-
-    by, out = [*keys, "seq"], f"{key_fields}, idx long, phase string"
-    matrices = slim.groupBy(*by).applyInPandas(matrix, f"{key_fields}, seq long, step array<bigint>")
-    zero = slim.select(*keys).distinct().withColumn("state", F.array(*[F.lit(0).cast("long")] * 4))
-    entries = cut_lineage(compose_scan(matrices, keys, _min_plus, lambda s, m: (s[:, None] + m.reshape(4, 4)).min(axis=0), zero))
-    entered = join_same(slim, entries, by)
-    origins = cut_lineage(entered.groupBy(*by).applyInPandas(ends, f"{key_fields}, seq long, step array<bigint>, last long"))
-    final = origins.groupBy(*keys).agg(F.array(F.max_by("last", "seq")).alias("state"))
-    finals = compose_scan(origins.drop("last"), keys, lambda a, b: b[a], lambda s, m: m[s], final, backward=True)
-    ready = join_same(entered, finals.withColumnRenamed("state", "end_state"), by)
-    paths = ready.groupBy(*by).applyInPandas(path, out)
+    Positions `idx` count from 0. A recording is walked in pieces of `rows` windows (see `cheapest_path`)."""
+    cost = [F.round((1 - F.col(p)) * MICRO).cast("long") for p in PHASES]
+    paths = cheapest_path(windows, keys, cost, _penalty_matrix(config), size=rows, fan=fan)
     joined = join_same(windows, paths, [*keys, "idx"])
+    joined = joined.withColumn("phase", F.element_at(F.array(*map(F.lit, PHASES)), (F.col("choice") + 1).cast("int"))).drop("choice")
     score = F.coalesce(*[F.when(F.col("phase") == p, F.col(p)) for p in PHASES])
     moved = F.col("phase") != F.col("raw_phase")
     return joined.withColumns({
