@@ -1,5 +1,6 @@
 """Expected results of the operators on small inputs."""
 
+import datetime as dt
 import random
 
 import pytest
@@ -267,11 +268,12 @@ def test_stream_state_continues_over_batches(spark, tmp_path):
     from tidemark.streaming import live as lv
 
     for number, states in enumerate(("FFS", "SSF", "FFF")):
-        rows = [(1, 100 * number + i, s) for i, s in enumerate(states)]
-        spark.createDataFrame(rows, "k int, t long, s string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema("k int, t long, s string").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    out = lv.run_to_table(lv.live_hysteresis(stream, "k", "t", "s", 3), "batches").orderBy("start_us").collect()
-    assert [(r.from_state, r.to_state, r.start_us) for r in out] == [("F", "S", 2), ("S", "F", 102)]
+        rows = [(1, dt.datetime.fromtimestamp(100 * number + i, dt.timezone.utc), s) for i, s in enumerate(states)]
+        rows += [(2, dt.datetime.fromtimestamp(9999, dt.timezone.utc), "-")] * (number == 2)  # moves the watermark on
+        spark.createDataFrame(rows, "k int, t timestamp, s string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("k int, t timestamp, s string").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    out = lv.run_to_table(lv.live_hysteresis(stream, ["k"], "t", "1 hour", "s", 3), "batches").orderBy("start_us").collect()
+    assert [(r.from_state, r.to_state, r.start_us) for r in out] == [("F", "S", 2_000_000), ("S", "F", 102_000_000)]
 
 
 def test_embedding_backend_is_reported_truthfully(spark):

@@ -42,6 +42,8 @@ class LayoutConfig:
 class TranscriptConfig:
     chunk_seconds: int = 1800
     overlap_seconds: int = 15
+    duplicate_jaccard: float = 0.72
+    duplicate_window: int = 8
     window_target: float = 60.0
     window_min: float = 30.0
 

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.config import LAYOUT, PHASE, PHASES
 from tidemark.operators.chunked import attach_by_piece, index_chunk, join_same, number_runs, ordered_scan, select_rounds
+from tidemark.operators.orderstats import at_rank, medians, ranked_values
 from tidemark.session import cut_lineage
 
 KEYS = ("vod_id",)
@@ -56,19 +57,28 @@ def merge_state_runs(
     idx: str = "idx",
     state: str = "accepted",
     interval: float = LAYOUT.sample_seconds,
-    medians: Sequence[str] = ("confidence",),
+    median_of: Sequence[str] = ("confidence",),
+    labels: Sequence[str] = (),
 ) -> DataFrame:
     """Consecutive equal states become one segment that ends one interval after its last sample, at most at the
-    recording's end. `durations` has the keys and `duration`."""
+    recording's end. `durations` has the keys and `duration`. Medians of the columns `median_of` and the distinct entries of
+    the array columns `labels`, in the order they first occur, are added; neither gathers the samples of a run."""
     rows = number_runs(samples, keys, [idx], index_chunk(idx), state)
-    merged = rows.groupBy(*keys, "run").agg(
+    if median_of or labels:
+        rows = cut_lineage(rows.select(*dict.fromkeys([*keys, "run", idx, state, "frame_timestamp", "phase", *median_of, *labels])))
+    run = [*keys, "run"]
+    merged = rows.groupBy(*run).agg(
         F.min("frame_timestamp").alias("start"),
         F.max("frame_timestamp").alias("last_at"),
         F.min(state).alias("layout_id"),
         F.max_by("phase", idx).alias("phase"),
         F.count(F.lit(1)).alias("sample_count"),
-        *[F.median(m).alias(m) for m in medians],
     )
+    if median_of:
+        merged = join_same(merged, medians(rows, run, median_of), run, "left")
+    for name in labels:
+        merged = join_same(merged, ordered_labels(rows, run, name, idx, name), run, "left")
+        merged = merged.withColumn(name, F.coalesce(name, F.array().cast("array<string>")))
     bounded = join_same(merged, durations, keys).withColumn("end", F.least("duration", F.col("last_at") + interval))
     return bounded.where("end > start").drop("last_at", "duration")
 
@@ -96,20 +106,14 @@ def transitions(segments: DataFrame, keys: Sequence[str] = KEYS, run: str = "run
 
 
 def robust_confidence(rows: DataFrame, keys: Sequence[str], value: str = "confidence") -> DataFrame:
-    """Trim a tenth at each side, then 0.6 median + 0.4 mean. Works on the histogram of distinct values, so a group
-    of any length shrinks before it meets in one place."""
-    counts = rows.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("c"))
-    w = Window.partitionBy(*keys).orderBy(value)
-    whole = Window.partitionBy(*keys)
-    h = counts.select(*keys, F.col(value).alias("v"), "c", F.sum("c").over(w).alias("upto"), F.sum("c").over(whole).alias("n"))
-    trim = F.floor(F.col("n") / 10)
-    h = h.withColumns({"low": trim, "high": F.col("n") - trim, "prior": F.col("upto") - F.col("c")})
-    kept = F.greatest(F.lit(0), F.least("upto", "high") - F.greatest("prior", "low"))
-    at = lambda p: F.max(F.when((F.col("prior") <= p) & (p < F.col("upto")), F.col("v")))
-    span = F.col("high") - F.col("low")
-    left, right = F.col("low") + F.floor((span - 1) / 2), F.col("low") + F.floor(span / 2)
+    """Trim a tenth at each side, then 0.6 median + 0.4 mean, from the ranks of the distinct values."""
+    trim = F.floor(F.col("stat_total") / 10)
+    h = ranked_values(rows, keys, value).withColumns({"stat_low": trim, "stat_high": F.col("stat_total") - trim})
+    kept = F.greatest(F.lit(0), F.least(F.col("stat_before") + F.col("stat_count"), "stat_high") - F.greatest("stat_before", "stat_low"))
+    span = F.col("stat_high") - F.col("stat_low")
+    left, right = F.col("stat_low") + F.floor((span - 1) / 2), F.col("stat_low") + F.floor(span / 2)
     out = h.groupBy(*keys).agg(
-        ((at(left) + at(right)) / 2).alias("mid"), (F.sum(F.col("v") * kept) / F.sum(kept)).alias("mean")
+        ((at_rank(left) + at_rank(right)) / 2).alias("mid"), (F.sum(F.col("stat_value") * kept) / F.sum(kept)).alias("mean")
     )
     score = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("mid") * 0.6 + F.col("mean") * 0.4))
     return out.select(*keys, score.alias("robust_confidence"))
@@ -202,18 +206,24 @@ def state_durations(segments: DataFrame, keys: Sequence[str] = KEYS) -> DataFram
     return segments.groupBy(*keys).agg(*[seconds(p).alias(names[p]) for p in PHASES])
 
 
-def layout_segments(samples: DataFrame, keys: Sequence[str] = KEYS, confirmation: int = LAYOUT.confirmation, interval: float = LAYOUT.sample_seconds) -> DataFrame:
-    """Confirmed samples merged into segments; the phase of a segment is the one of its confirmed state."""
+def layout_segments(
+    samples: DataFrame, keys: Sequence[str] = KEYS, confirmation: int = LAYOUT.confirmation, interval: float = LAYOUT.sample_seconds,
+    median_of: Sequence[str] = ("confidence",), labels: Sequence[str] = (),
+) -> DataFrame:
+    """Confirmed samples merged into segments; the phase of a segment is the one of its confirmed state. If `reasons` are among
+    the merged labels, those of the confirmation join each sample's own."""
     confirmed = hysteresis(samples, keys, confirmation=confirmation)
+    if "reasons" in labels:
+        confirmed = confirmed.withColumn("reasons", F.array_compact(F.concat("reasons", F.array("hysteresis_reason"))))
     phases = representatives(samples, keys).withColumnRenamed("layout_id", "accepted")
-    merged = merge_state_runs(confirmed, durations_of(samples, keys, interval), keys, interval=interval)
+    merged = merge_state_runs(confirmed, durations_of(samples, keys, interval), keys, interval=interval, median_of=median_of, labels=labels)
     named = phases.withColumnRenamed("accepted", "layout_id").withColumnRenamed("phase", "state_phase")
     return cut_lineage(join_same(merged, named, [*keys, "layout_id"]).withColumn("phase", F.col("state_phase")).drop("state_phase"))
 
 
 def layout_timeline(samples: DataFrame, keys: Sequence[str] = KEYS, confirmation: int = LAYOUT.confirmation, interval: float = LAYOUT.sample_seconds) -> DataFrame:
     """One row per recording: segment count, completeness and warnings."""
-    segs = layout_segments(samples, keys, confirmation, interval).groupBy(*keys).agg(F.count(F.lit(1)).alias("segments"))
+    segs = layout_segments(samples, keys, confirmation, interval, median_of=()).groupBy(*keys).agg(F.count(F.lit(1)).alias("segments"))
     facts = samples.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("completed_samples"),
         F.bool_and(F.col("phase") == "unknown").alias("blank"),

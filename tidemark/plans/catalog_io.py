@@ -144,22 +144,34 @@ def q_segmenter(spark, folder):
 # ---- streams over the events and orders tables
 
 
-def event_stream(spark, folder, slices: int | None = None):
+def event_stream(spark, folder, slices: int | None = None, group=None):
     """The events as a stream. With `slices`, they arrive in that many groups of files, one group per micro-batch, dealt out by
-    event number: every group covers the whole time range, so later ones bring rows behind the newest time seen."""
+    `group`. The default is the event number: every group covers the whole time range, so later ones bring rows behind the newest
+    time seen."""
     events = table(spark, folder, "events")
     reader = spark.readStream.schema(events.schema)
     if slices is None:
         rows = reader.option("pathGlobFilter", "events.parquet").parquet(folder)
     else:
         path, tasks = lv.state_folder(spark, "events"), 4
-        for number in range(slices):  # one group after the other, so that file times give the order of arrival
-            events.where(F.col("event_id") % slices == number).repartition(tasks).write.mode("append").parquet(path)
+        number = F.col("event_id") % slices if group is None else group
+        for part in range(slices):  # one group after the other, so that file times give the order of arrival
+            events.where(number == part).repartition(tasks).write.mode("append").parquet(path)
         rows = reader.option("maxFilesPerTrigger", tasks).parquet(path)
     return rows.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-_LIMIT = "(SELECT max(epoch_us(ts)) - {d} * 1000000 FROM events)"
+def shuffled_stream(spark, folder):
+    """The events in three batches by time, a third of them user 0's. An event comes up to twenty hours late, in any order."""
+    t = F.unix_micros(F.col("ts").cast("timestamp"))
+    span = table(spark, folder, "events").agg(F.min(t).alias("a"), F.max(t).alias("b")).first()
+    late = t + F.pmod(F.xxhash64("event_id"), F.lit(20 * 3600)) * 1_000_000
+    third = F.least(F.floor((late - span["a"]) * 3 / (span["b"] - span["a"] + 1)), F.lit(2))
+    stream = event_stream(spark, folder, 3, third)
+    return stream.withColumn("user_id", F.when(F.col("event_id") % 3 == 1, 0).otherwise(F.col("user_id")).cast("long"))
+
+
+_LIMIT = "(SELECT max(epoch_us(ts)) - {d}::BIGINT * 1000000 FROM events)"
 
 
 @query("stream_windows", f"""SELECT user_id, s AS start_us, s + 3600000000 AS end_us, count(*) AS n, sum(value) AS total FROM (SELECT *, epoch_us(ts) // 3600000000 * 3600000000 AS s FROM events)
@@ -184,11 +196,31 @@ def q_stream_runs(spark, folder):
     return lv.run_to_table(lv.live_runs(event_stream(spark, folder), ["user_id", "event_type"], "ts", "10 minutes", "6 hours"), "runs")
 
 
-@query("stream_hysteresis", with_views("state_samples", """SELECT c.vod_id AS user_id, c.prior AS from_state, c.accepted AS to_state, e.t AS start_us FROM confirmed c
-    JOIN (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS idx, epoch_us(ts) AS t FROM events) e ON e.user_id = c.vod_id AND e.idx = c.idx WHERE c.prior <> c.accepted""", **hysteresis_sql(2)))
+_SHUFFLED = "SELECT event_id, event_type, props, epoch_us(ts) AS t, CASE WHEN event_id % 3 = 1 THEN 0 ELSE user_id END AS user_id FROM events"
+
+
+@query("stream_hysteresis", f"""WITH hot AS ({_SHUFFLED}), state_samples AS (SELECT user_id AS vod_id, t, row_number() OVER (PARTITION BY user_id ORDER BY t, event_id) - 1 AS idx, event_type AS layout_id FROM hot
+      WHERE t <= {_LIMIT.format(d=86400)}), {', '.join(f'{k} AS ({v})' for k, v in hysteresis_sql(2).items())}
+    SELECT vod_id AS user_id, prior AS from_state, accepted AS to_state, t AS start_us FROM confirmed WHERE prior <> accepted""")
 def q_stream_hysteresis(spark, folder):
-    s = event_stream(spark, folder).withColumn("ts_us", F.unix_micros("ts"))
-    return lv.run_to_table(lv.live_hysteresis(s, "user_id", "ts_us", "event_type", 2), "hysteresis")
+    changes = lv.live_hysteresis(shuffled_stream(spark, folder), ["user_id"], "ts", "1 day", "event_type", 2, F.col("event_id"))
+    return lv.run_to_table(changes, "hysteresis")
+
+
+_HEARD = f"""SELECT user_id, t AS start_us, t + 30000000::BIGINT * (event_id % 4000) AS end_us, event_type || ' uno dos tres k' || (event_id % 2) AS text, list_sort([event_type, 'uno', 'dos', 'tres', 'k' || (event_id % 2)]) AS w,
+    row_number() OVER (PARTITION BY user_id ORDER BY t, event_id) AS rn FROM ({_SHUFFLED}) WHERE t <= {_LIMIT.format(d=86400)}"""
+
+
+@query("stream_unrepeated", f"""WITH RECURSIVE heard AS ({_HEARD}), walk(user_id, rn, keep, last) AS (
+    SELECT user_id, rn, true, [{{'a': start_us, 'b': end_us, 'w': w}}] FROM heard WHERE rn = 1 UNION ALL
+    SELECT user_id, rn, NOT again, CASE WHEN again THEN last ELSE list_append(last, {{'a': start_us, 'b': end_us, 'w': w}})[-8:] END FROM (
+      SELECT h.*, k.last, len(list_filter(k.last, lambda x: least(x.b, h.end_us) > greatest(x.a, h.start_us) AND len(list_intersect(x.w, h.w)) >= 0.72 * len(list_distinct(list_concat(x.w, h.w))))) > 0 AS again
+      FROM walk k JOIN heard h ON h.user_id = k.user_id AND h.rn = k.rn + 1))
+    SELECT h.user_id, start_us, end_us, text FROM walk JOIN heard h USING (user_id, rn) WHERE keep""")
+def q_stream_unrepeated(spark, folder):
+    s = shuffled_stream(spark, folder)
+    heard = s.select("user_id", "event_id", "ts", (F.col("ts") + F.make_dt_interval(secs=(F.col("event_id") % 4000) * 30)).alias("until"), F.concat("event_type", F.lit(" uno dos tres k"), F.col("event_id") % 2).alias("text"))
+    return lv.run_to_table(lv.live_unrepeated(heard, ["user_id"], "ts", "1 day", "until", "text", tie=F.col("event_id")), "unrepeated")
 
 
 @query("stream_dedup_transcript", "SELECT user_id, count(DISTINCT event_type || props) AS kept FROM events GROUP BY 1")
@@ -200,7 +232,7 @@ def q_stream_dedup(spark, folder):
 @query("stream_job_state", "SELECT user_id, arg_max(event_type, {'t': ts, 'e': event_id}) AS event_type FROM events GROUP BY 1")
 def q_stream_job_state(spark, folder):
     s = event_stream(spark, folder, slices=3).select("user_id", "event_id", "event_type", "ts")
-    return lv.live_job_state(s, "user_id", ["ts", "event_id"]).select("user_id", "event_type")
+    return lv.live_job_state(s, ["user_id"], ["ts", "event_id"]).select("user_id", "event_type")
 
 
 @query("stream_late_rows", """SELECT event_id, user_id FROM events WHERE (event_id % 3 = 1 AND ts < (SELECT max(ts) FROM events WHERE event_id % 3 = 0) - INTERVAL 600 SECOND)

@@ -54,9 +54,25 @@ def q_hysteresis(spark, folder):
     return tl.hysteresis(state_samples(spark, folder), confirmation=3).select("vod_id", "idx", "layout_id", "accepted", "hysteresis_reason")
 
 
-@query("merge_state_runs", with_views("state_samples", 'SELECT vod_id, run, layout_id, phase, start, "end", sample_count, confidence FROM segs', **SEGMENTS))
+DETAIL = {
+    **SEGMENTS,
+    "d0": "SELECT vod_id, CAST(run AS BIGINT) AS run, idx, k, list_filter([CASE WHEN k % 9 = 0 THEN 'high_motion' END, CASE WHEN k % 4 = 0 THEN 'calm' END, hysteresis_reason], lambda x: x IS NOT NULL) AS reasons, CASE WHEN k % 10 = 0 THEN ['late'] ELSE [] END AS warnings FROM s2",
+    "d1": "SELECT vod_id, run, median((k * 7) % 100 / 100.0::DOUBLE) AS match_score, median((k * 3) % 50 / 100.0::DOUBLE) AS second_best_score, median(CASE WHEN k % 5 > 0 THEN k / 200.0::DOUBLE END) AS score_margin FROM d0 GROUP BY 1, 2",
+    "d2": "SELECT vod_id, run, kind, string_agg(x, ',' ORDER BY i, p) AS labels FROM (SELECT vod_id, run, kind, x, min(idx) AS i, arg_min(p, idx) AS p FROM (SELECT vod_id, run, idx, 'r' AS kind, unnest(reasons) AS x, generate_subscripts(reasons, 1) AS p FROM d0 UNION ALL SELECT vod_id, run, idx, 'w', unnest(warnings), 1 FROM d0) GROUP BY vod_id, run, kind, x) GROUP BY vod_id, run, kind",
+}
+
+
+@query("merge_state_runs", with_views("state_samples", """SELECT s.vod_id, s.run, layout_id, phase, start, "end", sample_count, confidence, match_score, second_best_score, score_margin,
+    coalesce(r.labels, '') AS reasons, coalesce(w.labels, '') AS warnings FROM segs s JOIN d1 USING (vod_id, run) LEFT JOIN d2 r ON r.vod_id = s.vod_id AND r.run = s.run AND r.kind = 'r' LEFT JOIN d2 w ON w.vod_id = s.vod_id AND w.run = s.run AND w.kind = 'w'""", **DETAIL))
 def q_merge_state_runs(spark, folder):
-    return layout_segs(spark, folder).select("vod_id", "run", "layout_id", "phase", "start", "end", "sample_count", "confidence")
+    k = F.col("k")
+    samples = state_samples(spark, folder).withColumns({
+        "match_score": F.pmod(k * 7, F.lit(100)) / 100.0, "second_best_score": F.pmod(k * 3, F.lit(50)) / 100.0, "score_margin": F.when(k % 5 > 0, k / 200.0),
+        "reasons": F.array_compact(F.array(F.when(k % 9 == 0, "high_motion"), F.when(k % 4 == 0, "calm"))), "warnings": F.array_compact(F.array(F.when(k % 10 == 0, "late"))),
+    })
+    scores = ["confidence", "match_score", "second_best_score", "score_margin"]
+    segs = tl.layout_segments(samples, confirmation=2, median_of=scores, labels=["reasons", "warnings"])
+    return segs.select("vod_id", "run", "layout_id", "phase", "start", "end", "sample_count", *scores, joined("reasons").alias("reasons"), joined("warnings").alias("warnings"))
 
 
 @query("state_durations", with_views("state_samples", """
@@ -65,7 +81,7 @@ def q_merge_state_runs(spark, folder):
       sum(CASE WHEN phase='gameplay' THEN "end"-start ELSE 0 END) AS gameplay_seconds,
       sum(CASE WHEN phase='unknown' THEN "end"-start ELSE 0 END) AS unknown_seconds FROM segs GROUP BY 1""", **SEGMENTS))
 def q_state_durations(spark, folder):
-    return tl.state_durations(layout_segs(spark, folder))
+    return tl.state_durations(tl.layout_segments(state_samples(spark, folder), confirmation=2, median_of=()))
 
 
 @query("transitions", with_views("state_samples", """

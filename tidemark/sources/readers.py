@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.operators.chunked import join_same
 from tidemark.operators.rules import failed_rules
 
 WORD = "struct<start:double,end:double,word:string,probability:double>"
@@ -135,7 +136,7 @@ def embed_texts(texts: DataFrame, keys: Sequence[str], text: str, make_encoder:
             reason = f"{type(exc).__name__}: {str(exc)[:200]}"
     note = {"requested_backend": F.lit(requested), "effective_backend": F.lit(requested if reason is None else "hash-fallback"), "fallback_used": F.lit(reason is not None), "fallback_reason": F.lit(reason).cast("string")}
     if reason is not None:
-        return texts.select(*keys).join(fallback, list(keys)).withColumns(note)
+        return join_same(texts.select(*keys), fallback, keys).withColumns(note)
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = make_encoder()

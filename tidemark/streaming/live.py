@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import types as T
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from tidemark.config import TRANSCRIPT
+from tidemark.functions import text as tx
+from tidemark.operators.chunked import join_same
 from tidemark.operators.jobs import latest_per_key
+from tidemark.session import cut_lineage
 
 
 def state_folder(spark: SparkSession, name: str) -> str:
@@ -57,52 +64,188 @@ def live_runs(stream: DataFrame, keys: Sequence[str], ts: str, delay: str, gap:
     return runs.select(*keys, F.unix_micros("w.start").alias("start_us"), F.unix_micros("w.end").alias("end_us"), "samples")
 
 
-def live_hysteresis(stream: DataFrame, key: str, ts_us: str, state: str, confirmation: int) -> DataFrame:
-    """Confirmed transitions with the time of the first sample that carried the new state.
-
-    What is remembered per recording is the current state, the pending one, its start and its count. Samples of a
-    recording within one micro-batch are put in time order; a later batch continues where the last one ended.
-    """
-
-    def step(group: tuple, frames: Iterator[pd.DataFrame], saved: GroupState) -> Iterator[pd.DataFrame]:
-        current, pending, since, count = saved.get if saved.exists else (None, None, 0, 0)
+#: Ordered state needs timers and lists, which Spark keeps in this store.
+STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+class InOrder(StatefulProcessor):
+    """Hands the rows of a key to `step(state, at, row)` in the order of their times, once the watermark has passed them.
+
+    Rows wait in a list that the watermark bounds: Spark drops later ones, and a timer hands earlier ones on. Of a key only a
+    small state of plain types is remembered; `step` returns the next one and the rows to emit. After more than `idle`
+    microseconds without a row a key starts anew, and its state is removed once the watermark shows that."""
+
+    def __init__(self, step: Callable, idle: int | None, columns: Sequence[str]) -> None:
+        self.step, self.idle, self.columns = step, idle, list(columns)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "at long, tie long, row string")
+        self.known = handle.getValueState("known", "state string, newest long")
+        self.alarm = handle.getValueState("alarm", "at long")
+
+    def _wake(self, at: int | None) -> None:
+        """One timer a key, the earliest that is needed."""
+        if self.alarm.exists():
+            self.handle.deleteTimer(self.alarm.get()[0])
+        if at is None:
+            self.alarm.clear()
+        else:
+            self.handle.registerTimer(at)
+            self.alarm.update((at,))
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        first = None
+        for frame in rows:
+            values = [(int(at), int(tie), row) for at, tie, row in frame[["at", "tie", "row"]].itertuples(index=False)]
+            self.waiting.appendList(values)
+            least = min(values)[0]
+            first = least if first is None else min(first, least)
+        if first is not None and (not self.alarm.exists() or first // 1000 + 1 < self.alarm.get()[0]):
+            self._wake(first // 1000 + 1)
+        return iter([])
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        rows = sorted(tuple(row) for row in self.waiting.get()) if self.waiting.exists() else []
+        ready = [row for row in rows if row[0] <= passed]
+        state, newest = None, None
+        if self.known.exists():
+            text, newest = self.known.get()
+            state = json.loads(text)
         out = []
-        for at, value in pd.concat(list(frames))[[ts_us, state]].sort_values(ts_us).itertuples(index=False):
-            if current is None:
-                current = value
-            elif value == current:
-                pending, count = None, 0
-            else:
-                pending, since, count = (pending, since, count + 1) if value == pending else (value, at, 1)
-                if count >= confirmation:
-                    out.append((group[0], current, value, since))
-                    current, pending, count = value, None, 0
-        saved.update((current, pending, int(since), int(count)))
-        yield pd.DataFrame(out, columns=[key, "from_state", "to_state", "start_us"])
-
-    kind = stream.schema[key].dataType.simpleString()
-    return stream.select(key, ts_us, state).groupBy(key).applyInPandasWithState(
-        step, f"{key} {kind}, from_state string, to_state string, start_us long", "current string, pending string, since long, count long",
-        "append", GroupStateTimeout.NoTimeout,
-    )
+        for at, _, row in ready:
+            if self.idle is not None and newest is not None and at - newest > self.idle:
+                state = None
+            state, emitted = self.step(state, at, json.loads(row))
+            out.extend((*key, *values) for values in emitted)
+            newest = at
+        rest = rows[len(ready) :]
+        if rest:
+            self.waiting.put(rest)
+        else:
+            self.waiting.clear()
+        quiet = self.idle is not None and newest is not None and newest + self.idle < passed
+        if quiet or newest is None:
+            self.known.clear()
+        else:
+            self.known.update((json.dumps(state), newest))
+        times = [rest[0][0]] if rest else []
+        times += [newest + self.idle + 1000] if self.idle is not None and newest is not None and not quiet else []
+        self._wake(min(times) // 1000 + 1 if times else None)
+        yield pd.DataFrame(out, columns=self.columns)
+
+
+def live_in_order(
+    stream: DataFrame, keys: Sequence[str], ts: str, delay: str, columns: dict[str, Column], step: Callable, schema: str, tie: Column | None = None, idle_seconds: int | None = None
+) -> DataFrame:
+    """Rows of every key folded in event time, whatever order they arrive in: keys and the rows that `step` emits.
+
+    `step(state, at, row)` gets the state before (None for a new key), the row's time in microseconds and its `columns` as
+    a dictionary without nulls, and returns (state, emitted tuples). Equal times go by `tie`, a whole number. Rows later than the
+    watermark and rows without a time are left out.
+    """
+    stream.sparkSession.conf.set(*STORE)
+    rows = stream.where(F.col(ts).isNotNull()).withWatermark(ts, delay)
+    rows = rows.select(*keys, ts, F.unix_micros(ts).alias("at"), F.coalesce(F.lit(0) if tie is None else tie, F.lit(0)).cast("long").alias("tie"), F.to_json(F.struct(*[c.alias(n) for n, c in columns.items()])).alias("row"))
+    kinds = ", ".join(f"`{k}` {stream.schema[k].dataType.simpleString()}" for k in keys)
+    out = T._parse_datatype_string(f"{kinds}, {schema}")
+    idle = None if idle_seconds is None else idle_seconds * 1_000_000
+    return rows.groupBy(*keys).transformWithStateInPandas(InOrder(step, idle, out.names), out, "Append", "EventTime")
+
+
+def live_hysteresis(
+    stream: DataFrame, keys: Sequence[str], ts: str, delay: str, state: str, confirmation: int, tie: Column | None = None, idle_seconds: int | None = None
+) -> DataFrame:
+    """Confirmed transitions with the time of the first sample that carried the new state, in event time.
+
+    What is remembered per recording is the current state, the pending one, its start and its count. Null is a state like others."""
+
+    def step(before, at: int, row: dict):
+        value = row.get("state")
+        if before is None:
+            return [value, None, 0, 0], []
+        current, pending, since, count = before
+        if value == current:
+            return [current, None, 0, 0], []
+        since, count = (since, count + 1) if count and value == pending else (at, 1)
+        if count >= confirmation:
+            return [value, None, 0, 0], [(current, value, since)]
+        return [current, value, since, count], []
+
+    return live_in_order(stream, keys, ts, delay, {"state": F.col(state)}, step, "from_state string, to_state string, start_us long", tie, idle_seconds)
+
+
+def live_unrepeated(
+    stream: DataFrame, keys: Sequence[str], ts: str, delay: str, end: str, text: str, alike: float = TRANSCRIPT.duplicate_jaccard, remembered: int = TRANSCRIPT.duplicate_window, tie: Column | None = None
+) -> DataFrame:
+    """Transcript segments without those that repeat one of the last `remembered` kept ones: they share time with it and at least
+    `alike` of both word sets. `ts` and `end` are times. What was emitted stays, so the first hearing is kept, not the better one."""
+
+    def step(before, at: int, row: dict):
+        kept, words, until = before or [], set(row.get("words") or []), row.get("until", at)
+        for start, stop, heard in kept:
+            both = words.union(heard)
+            if min(until, stop) > max(at, start) and both and len(words.intersection(heard)) >= alike * len(both):
+                return kept, []
+        return [*kept, [at, until, sorted(words)]][-remembered:], [(at, until, row.get("text"))]
+
+    columns = {"until": F.unix_micros(end), "text": F.col(text), "words": F.array_distinct(tx.words(F.col(text)))}
+    return live_in_order(stream, keys, ts, delay, columns, step, "start_us long, end_us long, text string", tie)
 
 
 def live_distinct(stream: DataFrame, keys: Sequence[str], ts: str, delay: str) -> DataFrame:
     return stream.withWatermark(ts, delay).dropDuplicatesWithinWatermark(list(keys))
 
 
-def live_job_state(stream: DataFrame, key: str, newest: Sequence[str]) -> DataFrame:
-    """Latest row per job. Every micro-batch writes its own latest rows under its batch number, so a replayed batch
-    overwrites itself; readers take the newest over all batches."""
-    spark = stream.sparkSession
-    folder = state_folder(spark, "job-state")
-    order = [F.col(c) for c in newest]
+class CurrentTable:
+    """The latest row per key of everything seen so far, in `buckets` by key, as versioned files.
 
-    def handle(batch: DataFrame, number: int) -> None:
-        latest_per_key(batch, [key], order).write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
+    A batch rewrites only the buckets that it touches, under its own number, and then writes which version holds each bucket.
+    A replayed batch starts from the version before it and overwrites its own, so it changes nothing. A reader opens one version
+    per bucket: reading costs the keys, not the batches.
+    """
 
-    run_batches(stream, "job-state-run", handle)
-    return latest_per_key(spark.read.parquet(f"{folder}/out").drop("batch"), [key], order)
+    def __init__(self, spark: SparkSession, folder: str, keys: Sequence[str], newest: Sequence[str], buckets: int = 64) -> None:
+        self.spark, self.folder, self.keys, self.newest, self.buckets = spark, folder, list(keys), [F.col(c) for c in newest], buckets
+
+    def _holders(self, before: int | None = None) -> dict[int, int]:
+        """bucket -> the version that holds it, after the last batch (before batch `before`): at most `buckets` rows."""
+        try:
+            rows = self.spark.read.parquet(f"{self.folder}/holders")
+        except AnalysisException:  # nothing written yet
+            return {}
+        rows = rows if before is None else rows.where(F.col("number") < before)
+        last = rows.agg(F.max("number")).first()[0]
+        return {} if last is None else {r["bucket"]: r["version"] for r in rows.where(F.col("number") == last).collect()}
+
+    def _rows(self, holders: dict[int, int], schema) -> DataFrame | None:
+        paths = [f"{self.folder}/version={v}/bucket={b}" for b, v in sorted(holders.items())]
+        return self.spark.read.schema(schema).parquet(*paths) if paths else None
+
+    def merge(self, batch: DataFrame, number: int) -> None:
+        holders = self._holders(number)
+        latest = cut_lineage(latest_per_key(batch, self.keys, self.newest))
+        bucket = F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int")
+        touched = [r[0] for r in latest.select(bucket.alias("bucket")).distinct().collect()]
+        old = self._rows({b: v for b, v in holders.items() if b in touched}, latest.schema)
+        merged = latest if old is None else latest_per_key(latest.unionByName(old), self.keys, self.newest)
+        placed = merged.withColumn("bucket", bucket)
+        placed.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("bucket").parquet(f"{self.folder}/version={number}")
+        rows = [(b, v) for b, v in (holders | dict.fromkeys(touched, number)).items()]
+        self.spark.createDataFrame(rows, "bucket int, version long").coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/holders/number={number}")
+
+    def read(self, schema) -> DataFrame:
+        found = self._rows(self._holders(), schema)
+        return self.spark.createDataFrame([], schema) if found is None else found
+
+
+def live_job_state(stream: DataFrame, keys: Sequence[str], newest: Sequence[str], buckets: int = 64) -> DataFrame:
+    """Latest row per job, kept up to date by every micro-batch (see `CurrentTable`)."""
+    spark = stream.sparkSession
+    table = CurrentTable(spark, state_folder(spark, "job-state"), keys, newest, buckets)
+    run_batches(stream, "job-state-run", table.merge)
+    return table.read(stream.select(*keys, *[c for c in stream.columns if c not in keys]).schema)
 
 
 def live_late_rows(stream: DataFrame, ts: str, delay_seconds: int) -> DataFrame:
@@ -128,4 +271,4 @@ def live_late_rows(stream: DataFrame, ts: str, delay_seconds: int) -> DataFrame:
 def live_missing(planned: DataFrame, completed: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Planned work that the completed stream has not delivered up to now. Restarting continues from the checkpoint."""
     done = run_to_table(completed.select(*keys), "completed")
-    return planned.join(done, list(keys), "left_anti")
+    return join_same(planned, done, keys, "left_anti")
