@@ -15,16 +15,20 @@ FILLER_PHRASES = [
 ]
 
 # Stop words.
-STOPWORDS = """
-a acá ah ahí ahora al algo alguien algún alguna algunas alguno algunos ante antes aquí así aun aunque bien bueno cada
-casi claro como cómo con contra cosa cosas cual cuando de del desde donde dos durante e eh el él ella ellas ellos en
-entonces entre era erais eran eras eres es esa esas ese eso esos esta está estaba estaban estado estamos están estar
-estas este esto estos estoy fue fuera fueron hacer hace haces hacia hay incluso ir la las le les literal literalmente
-lo los luego más me menos mi mientras mira mismo mucho muy nada ni ningún no nos nosotros nuestra nuestro nunca o otra
-otro para pero poco por porque pues que qué realmente sabe sabéis sabemos saben sabes ser si sí siempre sin sobre solo
-somos son su sus tal también te tengo tiene tienen tipo toda todo todos tres tú un una uno unos usted va vale vamos
-verdad y ya yo
-""".split()
+STOPWORDS = [
+    "a", "acá", "ah", "ahí", "ahora", "al", "algo", "alguien", "algún", "alguna", "algunas", "alguno", "algunos",
+    "ante", "antes", "aquí", "así", "aun", "aunque", "bien", "bueno", "cada", "casi", "claro", "como", "cómo", "con",
+    "contra", "cosa", "cosas", "cual", "cuando", "de", "del", "desde", "donde", "dos", "durante", "e", "eh", "el",
+    "él", "ella", "ellas", "ellos", "en", "entonces", "entre", "era", "erais", "eran", "eras", "eres", "es", "esa",
+    "esas", "ese", "eso", "esos", "esta", "está", "estaba", "estaban", "estado", "estamos", "están", "estar", "estas",
+    "este", "esto", "estos", "estoy", "fue", "fuera", "fueron", "hacer", "hace", "haces", "hacia", "hay", "incluso",
+    "ir", "la", "las", "le", "les", "literal", "literalmente", "lo", "los", "luego", "más", "me", "menos", "mi",
+    "mientras", "mira", "mismo", "mucho", "muy", "nada", "ni", "ningún", "no", "nos", "nosotros", "nuestra", "nuestro",
+    "nunca", "o", "otra", "otro", "para", "pero", "poco", "por", "porque", "pues", "que", "qué", "realmente", "sabe",
+    "sabéis", "sabemos", "saben", "sabes", "ser", "si", "sí", "siempre", "sin", "sobre", "solo", "somos", "son", "su",
+    "sus", "tal", "también", "te", "tengo", "tiene", "tienen", "tipo", "toda", "todo", "todos", "tres", "tú", "un",
+    "una", "uno", "unos", "usted", "va", "vale", "vamos", "verdad", "y", "ya", "yo",
+]
 
 # Terms too general to name a topic.
 GENERIC_TERMS = [
@@ -81,6 +85,19 @@ def latin_tokens(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(LATIN), F.lit(0))
 
 
+def latin_forms(text: Column) -> tuple[Column, Column]:
+    """The Latin tokens of a text in lower case, and folded: two arrays of one length. Whole strings are lowered and folded, not
+    token by token; no token has a blank or changes its length."""
+    lowered = F.lower(F.array_join(latin_tokens(text), " "))
+    tokens = lambda joined: F.filter(F.split(joined, " "), lambda t: t != "")
+    return tokens(lowered), tokens(F.translate(lowered, "áéíóúüñ", "aeiouun"))
+
+
+def plain_normal(word: str) -> str:
+    """`normalize` of one string outside Spark."""
+    return " ".join(re.findall("[a-z0-9]+", fold_word(word)))
+
+
 def fold_token(token: Column) -> Column:
     """Fold of one Latin token; its alphabet is small."""
     return F.translate(F.lower(token), "áéíóúüñ", "aeiouun")

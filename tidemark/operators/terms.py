@@ -4,35 +4,33 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-
-from tidemark.operators.chunked import join_same
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from tidemark.functions import text as tx
+from tidemark.operators.chunked import join_same
 
 
 def term_counts(texts: DataFrame, keys: Sequence[str], text: str = "text") -> DataFrame:
     """Lemmas of content words, and two- and three-word phrases between content words, with their counts.
 
-    Tokens are zipped with their two successors inside the row, so no shuffle is needed before the map-side
-    combined count.
+    A text is lowered and folded as a whole, and its tokens are zipped with their two successors inside the row. What is
+    decided per token is decided on exploded rows, in generated code; no shuffle comes before the map-side combined count.
     """
-    marked = F.transform(
-        tx.latin_tokens(F.col(text)),
-        lambda t: tx.bind(tx.fold_token(t), lambda f: F.struct(F.lower(t).alias("w"), F.when(tx.is_content(f), f).alias("f"))),
-    )
-    shifted = tx.bind(
-        marked,
-        lambda m: F.arrays_zip(
-            m.alias("a"), F.slice(m, 2, F.greatest(F.size(m), F.lit(1))).alias("b"), F.slice(m, 3, F.greatest(F.size(m), F.lit(1))).alias("c")
-        ),
-    )
-    rows = texts.select(*keys, F.explode(shifted).alias("z")).select(*keys, "z.*").where("a.f IS NOT NULL")
-    pair, triple = F.concat_ws(" ", "a.w", "b.w"), F.concat_ws(" ", "a.w", "b.w", "c.w")
-    two = F.when(F.col("b.f").isNotNull() & ~pair.isin(tx.FILLER_PHRASES), pair)
-    three = F.when(F.col("c.f").isNotNull() & ~triple.isin(tx.FILLER_PHRASES), triple)
-    terms = rows.select(*keys, F.explode(F.array_compact(F.array(tx.lemma(F.col("a.f")), two, three))).alias("term"))
+    lowered, folded = tx.latin_forms(F.col(text))
+    later = lambda array, n: F.slice(F.col(array), n, F.greatest(F.size(array), F.lit(1)))
+    zipped = F.arrays_zip(
+        F.col("__w").alias("a"), F.col("__f").alias("fa"), later("__w", 2).alias("b"), later("__f", 2).alias("fb"), later("__w", 3).alias("c"), later("__f", 3).alias("fc"))
+    tokens = texts.select(*keys, lowered.alias("__w"), folded.alias("__f")).select(*keys, F.inline(zipped)).where(tx.is_content(F.col("fa")))
+    content = lambda c: F.coalesce(tx.is_content(F.col(c)), F.lit(False))
+    pair, triple = F.concat_ws(" ", "a", "b"), F.concat_ws(" ", "a", "b", "c")
+    two = F.when(content("fb") & ~pair.isin(tx.FILLER_PHRASES), pair)
+    three = F.when(content("fc") & ~triple.isin(tx.FILLER_PHRASES), triple)
+    terms = tokens.select(*keys, F.explode(F.array(tx.lemma(F.col("fa")), two, three)).alias("term")).where("term IS NOT NULL")
     return terms.groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("frequency"))
 
 
@@ -41,15 +39,37 @@ def document_frequency(counts: DataFrame, corpus: Sequence[str]) -> DataFrame:
     return counts.groupBy(*corpus, "term").agg(F.count(F.lit(1)).alias("document_frequency"))
 
 
-def select_terms(scored: Column, maximum: int) -> Column:
-    """Terms in order, leaving out each one that contains or is contained in a term already taken."""
-    empty = F.slice(scored, 1, 0)
+TERM = "struct<term:string,score:double,frequency:bigint,document_frequency:bigint,distribution:double>"
 
-    def add(taken: Column, item: Column) -> Column:
-        near = F.exists(taken, lambda t: F.contains(t["term"], item["term"]) | F.contains(item["term"], t["term"]))
-        return F.when((F.size(taken) >= maximum) | near, taken).otherwise(F.array_append(taken, item))
 
-    return F.aggregate(scored, empty, add)
+def apart(ranked: list[tuple], maximum: int) -> list[tuple]:
+    """Ranked terms in order, leaving out each one that contains or is contained in a term already taken."""
+    taken: list[tuple] = []
+    for item in ranked:
+        if len(taken) >= maximum:
+            break
+        if not any(item[2] in t[2] or t[2] in item[2] for t in taken):
+            taken.append(item)
+    return taken
+
+
+def settled_terms(quarters: list[str], counted: list[tuple], maximum: int) -> list[tuple]:
+    """The best `maximum` terms of one text, as (-score, -frequency, term, score, document frequency, share).
+
+    `counted` has (best possible score, term, frequency, document frequency), the best first. The share of quarters that a
+    term occurs in only lowers its score. So terms are looked up from the top, and once the last of the best beats all that is
+    still to come, they are final: a few dozen searches, whatever the length of the text."""
+    tested: list[tuple] = []
+    for highest, term, frequency, documents in counted:
+        if len(tested) >= maximum and len(tested) % maximum == 0:
+            best = apart(sorted(tested), maximum)
+            if len(best) >= maximum and best[-1][0] < -round(highest, 9):
+                return best
+        normal = tx.plain_normal(term)
+        share = sum(normal in part for part in quarters) / len(quarters)
+        score = highest * (0.65 + 0.35 * share)
+        tested.append((-round(score, 9), -frequency, term, score, documents, share))
+    return apart(sorted(tested), maximum)
 
 
 def distinctive_terms(
@@ -57,68 +77,50 @@ def distinctive_terms(
 ) -> DataFrame:
     """Best terms per text: array `terms` of (term, score, frequency, document_frequency, distribution).
 
-    `corpus` keys are part of `keys`. With `own_corpus` every text is its own corpus. A text's terms are gathered
-    only after counting, bounded by the length of that one text. Where in the text a term occurs is looked up from the
-    largest possible score down, and only until the best terms are settled: a few dozen searches a text.
+    `corpus` keys are part of `keys`. With `own_corpus` every text is its own corpus. A text's terms are gathered only after
+    counting, bounded by the length of that one text. A task then looks terms up in the quarters of its texts, from the best
+    possible score down, until the best ones are settled (see `settled_terms`).
     """
     counts = term_counts(texts, keys, text)
     if own_corpus:
-        counted = counts.withColumns({"document_frequency": F.lit(1), "documents": F.lit(1)})
+        counted = counts.withColumns({"document_frequency": F.lit(1).cast("long"), "documents": F.lit(1)})
     else:
         sizes = texts.groupBy(*corpus).agg(F.count(F.lit(1)).alias("documents"))
         counted = join_same(join_same(counts, document_frequency(counts, corpus), [*corpus, "term"]), sizes, corpus)
-    gathered = counted.groupBy(*keys).agg(
-        F.first("documents").alias("documents"), F.collect_list(F.struct("term", "frequency", "document_frequency")).alias("counted")
+    idf = F.log((1 + F.col("documents")) / (1 + F.col("document_frequency"))) + 1
+    highest = (
+        F.log1p("frequency") * idf * F.when(F.contains("term", F.lit(" ")), 1.35).otherwise(1.0) * F.when(F.col("term").isin(tx.GENERIC_TERMS), 0.35).otherwise(1.0)
     )
+    entry = F.struct(highest.alias("highest"), "term", "frequency", "document_frequency")
+    gathered = counted.groupBy(*keys).agg(F.collect_list(entry).alias("__counted"))
+
     def quarters(n: Column) -> Column:
         low = lambda i: F.floor(F.length(n) * i / 4).cast("int")
         return F.array(*[F.substr(n, low(i) + 1, low(i + 1) - low(i)) for i in range(4)])
 
-    normal = join_same(texts.select(*keys, tx.bind(tx.normalize(F.col(text)), quarters).alias("quarters")), gathered, keys)
-
-    def score(q: Column, t: Column, share: Column) -> Column:
-        idf = F.log((1 + q["documents"]) / (1 + t["document_frequency"])) + 1
-        return (
-            F.log1p(t["frequency"]) * idf * (0.65 + 0.35 * share) * F.when(F.contains(t["term"], F.lit(" ")), 1.35).otherwise(1.0)
-            * F.when(t["term"].isin(tx.GENERIC_TERMS), 0.35).otherwise(1.0)
-        )
-
-    def bounded(q: Column) -> Column:
-        """Terms from the largest possible score down: the share of quarters can only lower it, to 0.65 of it at most."""
-        return F.sort_array(F.transform(q["counted"], lambda t: F.struct(
-            (-F.round(score(q, t, F.lit(1.0)), 9)).alias("least"), t["term"].alias("term"), t["frequency"].alias("frequency"), t["document_frequency"].alias("document_frequency"))))
-
-    def entry(q: Column, t: Column) -> Column:
-        found = tx.bind(tx.normalize(t["term"]), lambda n: F.aggregate(q["quarters"], F.lit(0), lambda acc, part: acc + F.contains(part, n).cast("int")))
-        return tx.bind(found / 4, lambda share: tx.bind(score(q, t, share), lambda v: F.struct(
-            (-F.round(v, 9)).alias("o1"), (-t["frequency"]).alias("o2"), t["term"].alias("term"), v.alias("score"),
-            t["frequency"].alias("frequency"), t["document_frequency"].alias("document_frequency"), share.alias("distribution"),
-        )))
-
-    def settled(tested: Column, t: Column) -> Column:
-        """The best so far are final once the last of them beats everything that is still to come."""
-        return tx.bind(select_terms(F.sort_array(tested), maximum), lambda best: (F.size(best) >= maximum) & (F.element_at(best, F.lit(-1))["o1"] < t["least"]))
-
-    def look(q: Column, state: Column, t: Column) -> Column:
-        n = F.size(state["tested"])
-        final = state["done"] | ((n >= maximum) & (n % maximum == 0) & settled(state["tested"], t))
-        return F.when(state["done"], state).otherwise(tx.bind(final, lambda done: F.struct(
-            F.when(done, state["tested"]).otherwise(F.array_append(state["tested"], entry(q, t))).alias("tested"), done.alias("done"))))
-
-    def drop_order(t: Column) -> Column:
-        return F.struct(*[t[n].alias(n) for n in ("term", "score", "frequency", "document_frequency", "distribution")])
-
-    kind = "array<struct<o1:double,o2:bigint,term:string,score:double,frequency:bigint,document_frequency:bigint,distribution:double>>"
-    start = F.struct(F.array().cast(kind).alias("tested"), F.lit(False).alias("done"))
-
-    def best_terms(q: Column) -> Column:
-        tested = F.aggregate(bounded(q), start, lambda state, t: look(q, state, t))["tested"]
-        # Bound once: the selection refers to the ranked list more than once.
-        return tx.bind(F.sort_array(tested), lambda r: F.transform(select_terms(r, maximum), drop_order))
-
-    counted_type = "array<struct<term:string,frequency:bigint,document_frequency:bigint>>"
-    packed = F.struct(F.col("documents").cast("bigint").alias("documents"), F.col("counted").cast(counted_type).alias("counted"), "quarters")
-    return normal.select(*keys, tx.bind(packed, best_terms).alias("terms"))
+    ready = join_same(texts.select(*keys, tx.bind(tx.normalize(F.col(text)), quarters).alias("__quarters")), gathered, keys)
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in texts.select(*keys).schema.fields)
+    schema = f"{fields}, terms array<{TERM}>"
+    arrow = to_arrow_schema(T._parse_datatype_string(schema))
+
+    def settle(batches):
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            lists = table.column("__counted").combine_chunks()
+            offsets, flat = lists.offsets.to_numpy() - lists.offsets[0].as_py(), lists.flatten()
+            scores = flat.field("highest").to_numpy()
+            columns = [flat.field(n) for n in ("highest", "term", "frequency", "document_frequency")]
+            out = []
+            for row, parts in enumerate(table.column("__quarters").to_pylist()):
+                b, e = int(offsets[row]), int(offsets[row + 1])
+                order = np.argsort(-scores[b:e], kind="stable") + b
+                # The list is read a few hundred terms at a time; most of it is never looked at.
+                ranked = (t for at in range(0, len(order), 256) for t in zip(*[c.take(pa.array(order[at : at + 256])).to_pylist() for c in columns], strict=True))
+                out.append([{"term": t, "score": s, "frequency": -f, "document_frequency": d, "distribution": x} for _, f, t, s, d, x in settled_terms(parts, ranked, maximum)])
+            kept = table.select(list(keys)).append_column("terms", pa.array(out, arrow.field("terms").type))
+            yield from kept.cast(arrow).to_batches()
+
+    return ready.mapInArrow(settle, schema)
 
 
 def keyword_quality(terms: Column, normal_text: Column, text_lemmas: Column) -> Column:
@@ -136,11 +138,10 @@ def semantic_coherence(parent: Column, terms: Column) -> Column:
 
 def hash_features(texts: DataFrame, keys: Sequence[str], text: str = "text", dimensions: int = 384) -> DataFrame:
     """Sparse hashed embedding: one row per text and non-zero dimension, weights of unit length per text."""
-    both = tx.bind(
-        tx.words(F.col(text)),
-        lambda w: F.concat(w, F.transform(F.slice(F.arrays_zip(w.alias("a"), F.slice(w, 2, F.greatest(F.size(w), F.lit(1))).alias("b")), 1, F.greatest(F.size(w) - 1, F.lit(0))), lambda z: F.concat(z["a"], F.lit("_"), z["b"]))),
-    )
-    features = texts.select(*keys, F.explode(both).alias("f"))
+    heard = texts.select(*keys, tx.words(F.col(text)).alias("__w"))
+    follow = F.slice(F.col("__w"), 2, F.greatest(F.size("__w"), F.lit(1)))
+    pairs = heard.select(*keys, F.inline(F.arrays_zip(F.col("__w").alias("a"), follow.alias("b"))))
+    features = pairs.select(*keys, F.explode(F.array("a", F.concat("a", F.lit("_"), "b"))).alias("f")).where("f IS NOT NULL")
     value = F.conv(F.substring(F.md5("f"), 1, 15), 16, 10).cast("long")
     sums = features.select(*keys, (value % dimensions).alias("dim"), F.when(value % 2 == 1, 1.0).otherwise(-1.0).alias("s"))
     sums = sums.groupBy(*keys, "dim").agg(F.sum("s").alias("total")).where("total <> 0")
