@@ -71,6 +71,26 @@ def test_chain_through_three_levels(spark):
 def test_greedy_rounds_skip_what_does_not_fit(spark):
     rows = [(0, 1, 10.0), (0, 2, 20.0), (0, 3, 5.0), (0, 4, 1.0), (1, 1, 99.0)]
     df = table(spark, rows, "k int, rank int, d double")
-    fits = (F.col("total") + F.col("d") <= 16) | (F.col("total") == 0)
-    out = select_rounds(df, ["k"], 3, fits, {"total": (F.lit(0.0), F.col("total") + F.col("d"))}, "rank")
-    assert sorted((r.k, r["rank"]) for r in out.where("picked IS NOT NULL").collect()) == [(0, 1), (0, 3), (0, 4), (1, 1)]
+    fits = lambda s, r: (s["total"] + r["d"] <= 16) | (s["total"] == 0)
+    take = lambda s, r: {"total": s["total"] + r["d"]}
+    for at_once in (1, 2, 64):
+        out = select_rounds(df, ["k"], 3, ["d"], {"total": ("double", F.lit(0.0))}, fits, take, "rank", at_once)
+        assert sorted((r.k, r["rank"], r.picked) for r in out.where("picked IS NOT NULL").collect()) == [(0, 1, 1), (0, 3, 2), (0, 4, 3), (1, 1, 1)]
+
+
+def test_greedy_rounds_equal_a_loop(spark):
+    rng = random.Random(8)
+    rows = [(k, i, float(rng.randint(1, 9))) for k, n in ((None, 200), (1, 3), (2, 90)) for i in range(n)]
+    df = table(spark, rows, "k int, rank int, d double")
+    near = lambda s, r: ~F.exists(s["kept"], lambda k: F.abs(k - r["d"]) < 1.5)
+    take = lambda s, r: {"kept": F.array_append(s["kept"], r["d"])}
+    expected = []
+    for key in (None, 1, 2):
+        kept = []
+        for k, i, d in rows:
+            if k == key and len(kept) < 4 and not any(abs(d - x) < 1.5 for x in kept):
+                kept.append(d)
+                expected.append((str(k), i, len(kept)))
+    for at_once in (1, 3, 64):
+        out = select_rounds(df, ["k"], 4, ["d"], {"kept": ("array<double>", F.array())}, near, take, "rank", at_once)
+        assert sorted((str(r.k), r["rank"], r.picked) for r in out.where("picked IS NOT NULL").collect()) == sorted(expected)

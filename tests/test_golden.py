@@ -246,7 +246,7 @@ def test_pcm_files(spark, tmp_path):
     import struct
     import wave
 
-    from tidemark.sources.readers import read_pcm_samples
+    from tidemark.sources.pcm import read_pcm_samples
 
     def save(name, rate, values):
         with wave.open(str(tmp_path / name), "wb") as out:

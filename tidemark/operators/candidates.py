@@ -11,7 +11,7 @@ from tidemark.config import CANDIDATE, CandidateConfig
 from tidemark.functions import scalar as sc
 from tidemark.functions import text as tx
 from tidemark.operators import terms as tm
-from tidemark.operators.chunked import join_same, ordered_scan, select_rounds
+from tidemark.operators.chunked import join_same, select_rounds
 from tidemark.operators.intervals import overlap_join
 from tidemark.operators.ranges import split_long_ranges
 from tidemark.session import cut_lineage
@@ -131,21 +131,25 @@ def overlap_ratio(a: tuple[Column, Column], b: tuple[Column, Column]) -> Column:
 def diversify(candidates: DataFrame, keys: Sequence[str], order: Sequence[str], maximum: int = CANDIDATE.max_candidates) -> DataFrame:
     """By falling score, keep candidates that neither overlap a kept one by more than 0.45 nor repeat its title words.
 
-    At most `maximum` are kept, so `maximum` rounds of "best remaining candidate that fits" give the exact greedy
-    result. A round is one map-side-combined minimum per recording; no recording is collected. Input: `score`,
+    At most `maximum` are kept, in rounds of the best remaining candidates that fit (see `select_rounds`); no recording is
+    collected. Input: `score`,
     `safe_start`, `safe_end`, `title`; `order` breaks ties.
     """
-    rows = candidates.withColumns({
-        "neg_score": -F.col("score"), "title_words": F.array_distinct(F.split(tx.normalize(F.col("title")), " ")),
-    })
-    # Scores have one digit between 0 and 100, so a band is one score and bounds the rows of a chunk.
-    ranked = ordered_scan(rows, keys, ["neg_score", *order], F.floor(F.col("neg_score") * 10).cast("long"), row_number="rank")
-    span = (F.col("safe_start"), F.col("safe_end"))
-    near = F.exists("kept", lambda k: (overlap_ratio(span, (k["a"], k["b"])) > 0.45) | (tx.containment(F.col("title_words"), k["w"]) > 0.8))
-    item = F.struct(F.col("safe_start").cast("double").alias("a"), F.col("safe_end").cast("double").alias("b"), F.col("title_words").alias("w"))
-    none = F.array().cast("array<struct<a:double,b:double,w:array<string>>>")
-    picked = select_rounds(ranked, keys, maximum, ~near, {"kept": (none, F.array_append("kept", item))}, "rank")
-    return picked.where(F.col("picked").isNotNull()).drop("neg_score", "title_words")
+    words = F.array_distinct(F.split(tx.normalize(F.col("title")), " "))
+    numbered = cut_lineage(candidates.withColumns({"title_words": words, "__row_id": F.monotonically_increasing_id()}))  # equal rows stay apart
+    ranked = numbered.withColumn("__rank_of", F.struct((-F.col("score")).alias("a"), *[F.col(c).alias(f"o{i}") for i, c in enumerate(order)], F.col("__row_id").alias("z")))
+
+    def fits(state: Column, row: Column) -> Column:
+        span = (row["safe_start"], row["safe_end"])
+        return ~F.exists(state["kept"], lambda k: (overlap_ratio(span, (k["a"], k["b"])) > 0.45) | (tx.containment(row["title_words"], k["w"]) > 0.8))
+
+    def take(state: Column, row: Column) -> dict[str, Column]:
+        item = F.struct(row["safe_start"].cast("double").alias("a"), row["safe_end"].cast("double").alias("b"), row["title_words"].alias("w"))
+        return {"kept": F.array_append(state["kept"], item)}
+
+    kept = {"kept": ("array<struct<a:double,b:double,w:array<string>>>", F.array())}
+    picked = select_rounds(ranked, keys, maximum, ["safe_start", "safe_end", "title_words"], kept, fits, take, "__rank_of")
+    return picked.where(F.col("picked").isNotNull()).drop("title_words", "__row_id", "__rank_of")
 
 
 def pairwise_overlap(candidates: DataFrame, keys: Sequence[str], bucket: float = 300.0) -> DataFrame:

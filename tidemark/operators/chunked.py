@@ -191,31 +191,45 @@ def attach_by_piece(
 
 
 def select_rounds(
-    ranked: DataFrame, keys: Sequence[str], rounds: int, fits: Column, state: dict[str, tuple[Column, Column]], rank: str
+    ranked: DataFrame, keys: Sequence[str], maximum: int, columns: Sequence[str], state: dict[str, tuple[str, Column]], fits: Callable[[Column, Column], Column],
+    take: Callable[[Column, Column], dict[str, Column]], rank: str, at_once: int = 64,
 ) -> DataFrame:
-    """Greedy selection in rank order: take the best row that `fits` the state, at most `rounds` per key.
+    """Greedy selection in rank order: take each row that `fits(state, row)`, at most `maximum` per key; adds `picked`.
 
-    `state` maps a column to (initial value, value after taking the row). Each round is one map-side-combined
-    `min_by` per key, so a key of any size is never collected.
+    `state` maps a name to (type, initial value); `take(state, row)` gives the values after taking a row; `columns` are those
+    that both look at. What does not fit must never fit later. A round drops, where they lie, the rows that no longer fit, and
+    walks the next `at_once` rows of every key, of which tasks send no more. The first row of a round always fits, so there
+    are `maximum` rounds at most and mostly one or two. A key of any size is never collected.
     """
-    names = list(state)
-    source = cut_lineage(ranked)
-    current = source.select(*keys).distinct().withColumns({n: v[0] for n, v in state.items()}).withColumn(
-        "__last", F.lit(None).cast(source.schema[rank].dataType)
-    )
-    taken = None
-    for number in range(1, rounds + 1):
-        open_rows = join_same(source, current, keys).where(
-            (F.col("__last").isNull() | (F.col(rank) > F.col("__last"))) & fits
-        )
-        best = open_rows.withColumns({f"__next_{n}": v[1] for n, v in state.items()}).groupBy(*keys).agg(
-            F.min_by(F.struct(F.col(rank).alias("__rank"), *[F.col(f"__next_{n}").alias(n) for n in names]), F.col(rank)).alias("b")
-        )
-        best = cut_lineage(best.select(*keys, "b.*"))
-        chosen = best.select(*keys, F.col("__rank").alias(rank), F.lit(number).cast("long").alias("picked"))
-        taken = chosen if taken is None else taken.unionByName(chosen)
-        current = best.withColumnRenamed("__rank", "__last")
-    return join_same(source, taken, [*keys, rank], "left")
+    kind = ranked.schema[rank].dataType.simpleString()
+    types = {**{n: t for n, (t, _) in state.items()}, "picked": f"array<{kind}>", "last": kind}
+    shape = f"struct<{','.join(f'{n}:{t}' for n, t in types.items())}>"
+    source = cut_lineage(ranked.select(*keys, F.col(rank).alias("__rank"), F.struct(*columns).alias("__row")))
+    first = {**{n: v for n, (_, v) in state.items()}, "picked": F.array(), "last": F.lit(None)}
+    packed = lambda values: F.struct(*[values[n].cast(t).alias(n) for n, t in types.items()]).cast(shape)
+    current = source.select(*keys).distinct().withColumn("__state", packed(first))
+    finished, order = None, Window.partitionBy(*keys).orderBy("__rank")
+
+    def step(s: Column, item: Column) -> Column:
+        row, place = item["row"], item["rank"]
+        moved = {**{n: s[n] for n in state}, "picked": s["picked"], "last": place}
+        taken = {**moved, **take(s, row), "picked": F.array_append(s["picked"], place)}
+        return F.when((F.size(s["picked"]) < maximum) & fits(s, row), packed(taken)).otherwise(packed(moved))
+
+    while True:
+        later = F.coalesce(F.col("__rank") > F.col("__state.last"), F.lit(True))
+        open_rows = join_same(source, current, keys).where(later & fits(F.col("__state"), F.col("__row")))
+        near = open_rows.select(*keys, "__rank", "__row").withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= at_once)
+        batch = near.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col("__rank").alias("rank"), F.col("__row").alias("row")))).alias("__batch"))
+        walked = join_same(current, batch, keys, "left").withColumn("__batch", F.coalesce("__batch", F.array().cast(batch.schema["__batch"].dataType)))
+        walked = cut_lineage(walked.select(*keys, F.aggregate("__batch", F.col("__state"), step).alias("__state"), (F.size("__batch") == at_once).alias("__more")))
+        done = walked.where(~F.col("__more") | (F.size("__state.picked") >= maximum)).select(*keys, "__state")
+        finished = done if finished is None else finished.unionByName(done)
+        current = walked.where(F.col("__more") & (F.size("__state.picked") < maximum)).select(*keys, "__state")
+        if current.isEmpty():
+            break
+    picks = finished.select(*keys, F.posexplode("__state.picked").alias("picked", rank)).withColumn("picked", (F.col("picked") + 1).cast("long"))
+    return join_same(ranked, picks, [*keys, rank], "left")
 
 
 def ordered_fold(

@@ -181,7 +181,7 @@ def budgeted_selection(
 ) -> DataFrame:
     """Rank the long blocks (primary, confidence, duration) and take what fits the budget, at most `max_count`.
 
-    The rank is a sortable struct, so selection needs `max_count` map-side-combined rounds and no collected group.
+    The rank is a sortable struct; selection goes in rounds (see `select_rounds`) and collects no group.
     `priority` is the dense rank, counted per chunk of the ranked order.
     """
     long_blocks = blocks.where(F.col("duration_seconds") >= minimum)
@@ -190,12 +190,10 @@ def budgeted_selection(
     )
     coarse = F.floor(F.col("rank.b") * 1000).cast("long") + F.when(F.col("is_primary"), F.lit(-10_000)).otherwise(F.lit(0))
     ranked = ordered_scan(ranked, keys, ["rank"], coarse, row_number="priority")
-    fits = (F.col("taken_total") + F.col("duration_seconds") <= max_total) | (F.col("taken_count") == 0)
-    state = {
-        "taken_total": (F.lit(0.0), F.col("taken_total") + F.col("duration_seconds")),
-        "taken_count": (F.lit(0), F.col("taken_count") + 1),
-    }
-    chosen = select_rounds(ranked, keys, max_count, fits, state, "priority")
+    state = {"taken_total": ("double", F.lit(0.0)), "taken_count": ("int", F.lit(0))}
+    fits = lambda s, row: (s["taken_total"] + row["duration_seconds"] <= max_total) | (s["taken_count"] == 0)
+    take = lambda s, row: {"taken_total": s["taken_total"] + row["duration_seconds"], "taken_count": s["taken_count"] + 1}
+    chosen = select_rounds(ranked, keys, max_count, ["duration_seconds"], state, fits, take, "priority")
     return chosen.withColumn("selected", F.col("picked").isNotNull())
 
 

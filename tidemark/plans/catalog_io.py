@@ -8,10 +8,12 @@ from tidemark.functions import text as tx
 from tidemark.operators import terms as tm
 from tidemark.operators import timeline as tl
 from tidemark.operators import transcripts as tr
+from tidemark.operators.chunked import ordered_scan
 from tidemark.plans.catalog_timeline import SEGMENTS, hysteresis_sql, layout_segs
 from tidemark.plans.catalog_candidates import EXPORTS, ranges  # noqa: F401
 from tidemark.plans.registry import Registry
-from tidemark.plans.views import formats, segments, state_samples, table, with_views
+from tidemark.plans.views import formats, minute_of, segments, state_samples, table, with_views
+from tidemark.sources import pcm
 from tidemark.sources import readers as rd
 from tidemark.sources import writers as wr
 from tidemark.streaming import live as lv
@@ -141,6 +143,45 @@ def q_segmenter(spark, folder):
     return rd.segment_topics("whole", segments(spark, folder))
 
 
+@query("read_pcm_files", """WITH e AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS rn FROM events),
+    s AS (SELECT user_id, rn * 20 + j AS i, (event_id * 7919 + j * 13) % 65536 - 32768 AS v FROM e, (SELECT unnest(range(20)) AS j))
+    SELECT user_id || '.wav' AS clip_id, i // 400 AS frame_index, count(*) AS samples, sum(v) / 32768.0::DOUBLE AS total, arg_min(v, i) / 32768.0::DOUBLE AS first, NULL::VARCHAR AS error FROM s GROUP BY user_id, i // 400
+    UNION ALL SELECT 'notes.txt', NULL, NULL, NULL, NULL, 'not a WAV file' FROM (SELECT count(*) FROM events)""")
+def q_read_pcm_files(spark, folder):
+    samples = state_samples(spark, folder).select("vod_id", "idx").join(numbered_events(spark, folder), ["vod_id", "idx"])
+    samples = samples.select("vod_id", "idx", "event_id", F.explode(F.sequence(F.lit(0), F.lit(19))).alias("j"))
+    samples = samples.select("vod_id", (F.col("idx") * 20 + F.col("j")).alias("i"), ((F.col("event_id") * 7919 + F.col("j") * 13) % 65536 - 32768).alias("v"))
+    path = lv.state_folder(spark, "sound")
+    pcm.write_pcm(samples, path, "vod_id", "i", "v").write.format("noop").mode("overwrite").save()
+    spark.createDataFrame([("notes",)], "value string").coalesce(1).write.text(f"{path}/text")
+    read = pcm.read_pcm_samples(spark, path, split_bytes=1000)  # files of about 2,700 bytes lie in several tasks
+    double = F.transform("samples", lambda x: x.cast("double"))
+    return read.select(
+        F.when(F.col("error").isNull(), F.col("clip_id")).otherwise("notes.txt").alias("clip_id"), "frame_index", F.when(F.col("error").isNull(), F.size("samples")).cast("long").alias("samples"),
+        F.aggregate(double, F.lit(0.0), lambda a, x: a + x).alias("total"), F.element_at(double, 1).alias("first"), "error")
+
+
+def numbered_events(spark, folder):
+    """Events with their place in their recording."""
+    rows = ordered_scan(table(spark, folder, "events"), ["user_id"], ["ts", "event_id"], minute_of("ts"), row_number="rn")
+    return rows.select(F.col("user_id").alias("vod_id"), (F.col("rn") - 1).cast("long").alias("idx"), "event_id")
+
+
+@query("stage_counts", with_views("state_samples", """SELECT 'samples' AS stage, 0 AS place, count(*) AS rows, min(frame_timestamp) AS least, max(frame_timestamp) AS most FROM state_samples
+    UNION ALL SELECT 'confirmed', 1, count(*), min(frame_timestamp), max(frame_timestamp) FROM confirmed UNION ALL SELECT 'segments', 2, count(*), min(start), max(start) FROM segs
+    UNION ALL SELECT 'talking', 3, count(*), min(start), max(start) FROM segs WHERE phase = 'talking'""", **SEGMENTS))
+def q_stage_counts(spark, folder):
+    counts = rd.StageCounts()
+    samples = counts.watch("samples", state_samples(spark, folder), "frame_timestamp")
+    confirmed = counts.watch("confirmed", tl.hysteresis(samples, confirmation=2), "frame_timestamp")
+    phases = tl.representatives(state_samples(spark, folder)).select("vod_id", F.col("layout_id").alias("accepted"), F.col("phase").alias("state_phase"))
+    merged = tl.merge_state_runs(confirmed, tl.durations_of(state_samples(spark, folder)), median_of=()).withColumnRenamed("layout_id", "accepted").join(phases, ["vod_id", "accepted"])
+    segments_ = counts.watch("segments", merged, "start")
+    talking = counts.watch("talking", segments_.where("state_phase = 'talking'"), "start")
+    talking.write.format("noop").mode("overwrite").save()
+    return counts.table(spark)
+
+
 # ---- streams over the events and orders tables
 
 

@@ -1,12 +1,13 @@
-"""Sources: transcript chunks, guarded timelines, metadata, profiles, PCM files. Schemas are given, never inferred."""
+"""Sources: transcript chunks, guarded timelines, metadata, profiles. Schemas are given, never inferred."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -95,32 +96,6 @@ def profile_summary(profiles: DataFrame) -> DataFrame:
     return profiles.select("id", "version", F.transform(enabled, lambda l: l["id"]).alias("enabled_layouts"), F.sha2(F.to_json(F.struct(*profiles.columns)), 256).alias("fingerprint"))
 
 
-def read_pcm_samples(spark: SparkSession, path: str, frame: int = 400) -> DataFrame:
-    """16-bit mono 16 kHz PCM files as sample frames in [-1, 1); other files come back as one row with an `error`."""
-    import io
-    import wave
-
-    def load(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for name, content in zip(batch["path"], batch["content"]):
-                try:
-                    with wave.open(io.BytesIO(content), "rb") as source:
-                        if (source.getnchannels(), source.getframerate(), source.getsampwidth()) != (1, 16000, 2):
-                            raise wave.Error("not mono 16 kHz 16-bit PCM")
-                        begin = 0
-                        # A few thousand frames at a time, each a row; the file's samples are never all held as numbers.
-                        while data := source.readframes(frame * 1024):
-                            values = np.frombuffer(data[: len(data) // 2 * 2], dtype="<i2").astype(np.float32) / 32768.0
-                            part = [values[i:i + frame] for i in range(0, len(values), frame)]
-                            yield pd.DataFrame({"clip_id": name, "frame_index": range(begin, begin + len(part)), "samples": part, "error": None})
-                            begin += len(part)
-                except (wave.Error, EOFError) as exc:
-                    yield pd.DataFrame({"clip_id": [name], "frame_index": [None], "samples": [None], "error": [str(exc) or "not a WAV file"]})
-
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInPandas(load, "clip_id string, frame_index long, samples array<float>, error string")
-
-
 def embed_texts(texts: DataFrame, keys: Sequence[str], text: str, make_encoder: Callable[[], Callable] | None, requested: str, fallback: DataFrame) -> DataFrame:
     """Embeddings of a caller's encoder with truthful backend columns.
 
@@ -159,16 +134,28 @@ def register_segmenter(name: str, segment: Callable[[DataFrame], DataFrame]) ->
 
 
 def segment_topics(name: str, segments: DataFrame) -> DataFrame:
-    if name not in SEGMENTERS:
-        from tidemark.operators.transcripts import topics
+    from tidemark.operators.transcripts import topics
 
-        SEGMENTERS.setdefault("default", topics)
+    SEGMENTERS.setdefault("default", topics)
+    if name not in SEGMENTERS:
+        raise ValueError(f"no segmenter {name!r}; known: {', '.join(sorted(SEGMENTERS))}")
     return SEGMENTERS[name](segments)
 
 
-def observed(df: DataFrame, stage: str):
-    """Row count of a stage while it runs: the data frame to use and its observation."""
-    from pyspark.sql import Observation
+class StageCounts:
+    """Row counts and the smallest and largest value of one column of every stage of a pipeline, taken while it runs."""
+
+    def __init__(self) -> None:
+        self.watched: list[tuple[str, Observation]] = []
+
+    def watch(self, stage: str, df: DataFrame, order: str | None = None) -> DataFrame:
+        """`df`, counted as `stage` by whatever action reads it first."""
+        seen = Observation(f"{stage}-{uuid.uuid4().hex}")
+        self.watched.append((stage, seen))
+        bounds = [F.min(order).cast("double").alias("least"), F.max(order).cast("double").alias("most")] if order else []
+        return df.observe(seen, F.count(F.lit(1)).alias("rows"), *bounds)
 
-    watch = Observation(stage)
-    return df.observe(watch, F.count(F.lit(1)).alias("rows")), watch
+    def table(self, spark: SparkSession) -> DataFrame:
+        """One row per stage, once the pipeline has run: (stage, place, rows, least, most)."""
+        found = [(stage, place, seen.get["rows"], seen.get.get("least"), seen.get.get("most")) for place, (stage, seen) in enumerate(self.watched)]
+        return spark.createDataFrame(found, "stage string, place int, rows long, least double, most double")
