@@ -12,7 +12,6 @@ from __future__ import annotations
 import re
 import uuid
 import zlib
-from array import array
 from itertools import chain
 
 import numpy as np
@@ -21,32 +20,72 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import shared_table
+from tidemark.llm.common import _powers, mix, shared_table
 from tidemark.llm.files import read_mapped, write_stream
 
 #: The id that stands for null in `docs`.
 NULL_ID = -(1 << 63)
 _TWO_SPACES = re.compile(r" \s* ")
-_SIMPLE = re.compile(r"(\w*)([.,;:!?]*)(\n?)(\w*)([.,;:!?]*)")
+#: Kinds of bytes: letters (ASCII here; two-byte Latin ones are found in their place), stops, a line end, others.
+_LETTER, _STOP, _LINE = 1, 2, 3
+_KIND = np.zeros(256, np.int64)
+_KIND[[*range(65, 91), *range(97, 123)]] = _LETTER
+_KIND[[ord(c) for c in ".,;:!?"]] = _STOP
+_KIND[10] = _LINE
+#: Orders of kinds in which every run of a kind is encoded apart, as numbers to the base 4, the first digit lowest.
+_APART = np.array(sorted(sum(k * 4**i for i, k in enumerate(kinds)) for kinds in ([1], [1, 2], [1, 2, 3], [1, 3], [1, 3, 1], [1, 2, 3, 1], [1, 3, 1, 2], [1, 2, 3, 1, 2])))
+
+
+def units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, ends) of the parts of some texts that byte-level tokenizers encode independently.
+
+    A text is cut before every space (it must not have two in one run of white space). A piece of a space and letters, with
+    stops or one line end and letters behind, is cut between these runs too; any other piece stays whole, and so does the
+    first one of a text, which has no space."""
+    n = len(data)
+    opens = data == 32
+    opens[offsets[:-1][np.diff(offsets) > 0]] = True
+    kind = _KIND[data]
+    two = np.flatnonzero(data[:-1] == 0xC3) if n else np.zeros(0, np.int64)  # U+00C0 to U+00FF; two of them are no letters
+    two = two[(data[two + 1] != 0x97) & (data[two + 1] != 0xB7)]
+    kind[two] = kind[two + 1] = _LETTER
+    spaced = opens & (data == 32)
+    kind[spaced] = _LETTER
+    first = opens.copy()
+    first[1:] |= kind[1:] != kind[:-1]
+    runs = np.flatnonzero(first)
+    if not len(runs):
+        return runs, runs
+    sizes, kinds = np.diff(runs, append=n), kind[runs]
+    heads = np.flatnonzero(opens[runs])
+    count = np.diff(heads, append=len(runs))
+    piece = np.repeat(np.arange(len(heads)), count)
+    place = np.arange(len(runs)) - heads[piece]
+    odd = (kinds == 0) | (place > 4) | ((kinds == _LINE) & (sizes > 1))
+    code = np.add.reduceat(np.where(odd, 1 << 40, kinds << (2 * np.minimum(place, 5))), heads)
+    apart = np.isin(code, _APART) & spaced[runs[heads]] & (sizes[heads] > 1)
+    starts = runs[(place == 0) | apart[piece]]
+    return starts, np.append(starts[1:], n)
 
 
 class Encoder:
-    """Token ids of whole texts. Byte-level tokenizers cut a text before every single space, between letters and the
-    punctuation after them, and around a single line end, so most words are encoded once and looked up afterwards; a text
-    with two spaces in one run of white space, or with a special token's name, is encoded as a whole. The tables are
-    emptied when they are full; they change speed only, and stay with the Python process for later tasks."""
+    """Token ids of whole texts. Texts are cut into units that are encoded independently (see `units`); each distinct unit goes
+    through the tokenizer once, and a batch of units is looked up at once by two 64-bit hashes. A text with two spaces in one
+    run of white space, or with a special token's name, is encoded as a whole. The table is emptied when it is full; it changes
+    speed only, and stays with the Python process for later tasks."""
 
     _made: dict[str, Encoder] = {}
 
-    def __init__(self, path: str, words: int = 1_000_000) -> None:
+    def __init__(self, path: str, size: int = 1_500_000) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.dtype = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
-        self.code = "H" if self.dtype.itemsize == 2 else "I"
-        self.words, self.pieces, self.stems = words, {}, {}
         self.special = sorted({t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content})
+        self.random = np.random.default_rng(11).integers(1, 1 << 62, (2, 256)).astype(np.uint64)
+        self.most = size
+        self._clear()
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -54,58 +93,86 @@ class Encoder:
             cls._made[path] = cls(path)
         return cls._made[path]
 
-    def _packed(self, ids: list[int]) -> bytes:
-        return array(self.code, ids).tobytes()
-
-    def _whole(self, text: str) -> bytes:
-        return self._packed(self.tokenizer.encode(text, add_special_tokens=False).ids) if text else b""
-
-    def _learn(self, pieces: list[str]) -> None:
-        """Ids of `" " + piece` for new pieces: letters, stops, a line end, letters, stops are encoded apart."""
-        stems, parts = self.stems, []
-        for piece in pieces:
-            stem = piece.rstrip(".,;:!?")
-            if stem.isalpha():
-                parts.append((" " + stem, piece[len(stem) :]) if len(stem) < len(piece) else (" " + stem,))
-                continue
-            m = _SIMPLE.fullmatch(piece)
-            if m and m[1].isalpha() and (not m[4] or m[3] and m[4].isalpha()):
-                parts.append((" " + m[1], *filter(None, m.group(2, 3, 4, 5))))
-            else:
-                parts.append((" " + piece,))
-        new = [p for p in dict.fromkeys(chain.from_iterable(parts)) if p not in stems]
-        for b in range(0, len(new), 5000):
-            found = self.tokenizer.encode_batch_fast(new[b : b + 5000], add_special_tokens=False)  # without character offsets
-            stems.update(zip(new[b : b + 5000], [self._packed(e.ids) for e in found], strict=True))
-        of = stems.__getitem__
-        self.pieces.update(zip(pieces, [of(ps[0]) if len(ps) == 1 else b"".join(map(of, ps)) for ps in parts], strict=True))
-
-    def _prepared(self, texts: list[str]) -> list[list[str] | None]:
-        """Each text cut before its single spaces, all of its pieces known; None where a text must be encoded as a whole."""
-        split = [None if _TWO_SPACES.search(t) or any(s in t for s in self.special) else t.split(" ") for t in texts]
-        for table in (self.pieces, self.stems):
-            if len(table) > self.words:
-                table.clear()
-        new: set[str] = set()
-        for p in split:
-            if p:
-                new.update(set(p).difference(self.pieces))
-        if new:
-            self._learn(list(new))
-        return split
+    def _clear(self) -> None:
+        self.keys, self.checks, self.at, self.many = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.pool, self.used = np.zeros(1 << 16, self.dtype), 0
+
+    def _whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids if text else [], self.dtype)
+
+    def _hashes(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        up, down = _powers(len(data) + 1)
+        out = []
+        for table in self.random:
+            sums = np.zeros(len(data) + 1, np.uint64)
+            np.cumsum(table[data] * up[: len(data)], out=sums[1:])
+            out.append(mix((sums[ends] - sums[starts]) * down[starts]))
+        return out[0], out[1]
+
+    def _places(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where sorted keys stand in the table, and whether they do."""
+        at = np.minimum(np.searchsorted(self.keys, keys), max(len(self.keys) - 1, 0))
+        return at, self.keys[at] == keys if len(self.keys) else np.zeros(len(keys), bool)
+
+    def _learn(self, keys: np.ndarray, checks: np.ndarray, texts: list[str]) -> None:
+        lists = []
+        for b in range(0, len(texts), 5000):
+            lists.extend(e.ids for e in self.tokenizer.encode_batch_fast(texts[b : b + 5000], add_special_tokens=False))  # without character offsets
+        many = np.fromiter(map(len, lists), np.int64, len(lists))
+        total = int(many.sum())
+        while self.used + total > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros(len(self.pool), self.dtype)])
+        self.pool[self.used : self.used + total] = np.fromiter(chain.from_iterable(lists), self.dtype, total)
+        at = self.used + np.concatenate([[0], np.cumsum(many)[:-1]])
+        self.used += total
+        into = np.searchsorted(self.keys, keys)
+        self.keys, self.checks = np.insert(self.keys, into, keys), np.insert(self.checks, into, checks)
+        self.at, self.many = np.insert(self.at, into, at), np.insert(self.many, into, many)
+
+    def _looked_up(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+        """(place in the table of every unit, first unit of every text and the end); None if two units share a hash."""
+        starts, ends = units(data, offsets)
+        hashes, checks = self._hashes(data, starts, ends)
+        if len(self.keys) > self.most:
+            self._clear()
+        distinct, first, where = np.unique(hashes, return_index=True, return_inverse=True)
+        at, known = self._places(distinct)
+        if not (checks[first][where] == checks).all() or not (self.checks[at[known]] == checks[first][known]).all():
+            return None
+        if not known.all():
+            new, raw = first[~known], data.tobytes()
+            self._learn(distinct[~known], checks[new], [raw[b:e].decode() for b, e in zip(starts[new].tolist(), ends[new].tolist(), strict=True)])
+            at, _ = self._places(distinct)
+        return at[where], np.searchsorted(starts, offsets)
+
+    def _encoded(self, texts: list[str], ids: bool) -> list:
+        """Per text its ids, or their number."""
+        plain = [not (_TWO_SPACES.search(t) or any(s in t for s in self.special)) for t in texts]
+        raw = [t.encode() for t, p in zip(texts, plain, strict=True) if p]
+        data, offsets = np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw)))]).astype(np.int64)
+        found = self._looked_up(data, offsets)
+        if found is None:
+            return [w if ids else len(w) for w in map(self._whole, texts)]
+        at, first = found
+        many = self.many[at]
+        ends = np.concatenate([[0], np.cumsum(many)])[first]
+        if ids:
+            flat = self.pool[np.arange(ends[-1]) + np.repeat(self.at[at] - np.concatenate([[0], np.cumsum(many)[:-1]])[: len(many)], many)]
+            own = iter([flat[b:e] for b, e in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)])
+        else:
+            own = iter(np.diff(ends).tolist())
+        return [next(own) if p else (w if ids else len(w)) for t, p in zip(texts, plain, strict=True) for w in [None if p else self._whole(t)]]
 
     def batch(self, texts: list[str]) -> list[bytes]:
         """The ids of every text, packed."""
-        split, ids = self._prepared(texts), self.pieces.__getitem__
-        return [self._whole(t) if p is None else self._whole(p[0]) + b"".join(map(ids, p[1:])) for t, p in zip(texts, split, strict=True)]
+        return [x.tobytes() for x in self._encoded(texts, True)]
 
     def counts(self, texts: list[str]) -> list[int]:
         """How many ids every text has."""
-        split, ids, width = self._prepared(texts), self.pieces.__getitem__, self.dtype.itemsize
-        return [len(self._whole(t)) // width if p is None else (len(self._whole(p[0])) + sum(map(len, map(ids, p[1:])))) // width for t, p in zip(texts, split, strict=True)]
+        return self._encoded(texts, False)
 
 
-def _steps(texts: list[str], limit: int = 1_000_000):
+def _steps(texts: list[str], limit: int = 2_000_000):
     """Runs of texts of at most `limit` characters, or one text."""
     at, size = 0, 0
     for i, text in enumerate(texts):
