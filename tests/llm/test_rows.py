@@ -53,6 +53,15 @@ def plain_spans(text):
     return out + [(3, *m.span()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text) if 8 <= len(re.sub("[^0-9]", "", m[0])) <= 15]
 
 
+def test_the_filter_of_texts_loses_no_proposal(monkeypatch):
+    rnd, parts = random.Random(5), ["jane", " at ", "\nAT\t", "(at)", "[ at ]", "@", " dot ", "[dot]", ".", " ", "example", "com", "٣", "7", "12", "-", "+", "(", "Zürich"]
+    texts = ["".join(rnd.choice(parts) for _ in range(rnd.randint(0, 12))) for _ in range(20_000)] + ["write to jane at example.com please"]
+    with_filter = [pii_boosting.proposals(t) for t in texts]
+    monkeypatch.setattr(pii_boosting, "_ANY", re.compile(""))
+    monkeypatch.setattr(pii_boosting, "_WRITTEN", re.compile(""))
+    assert with_filter == [pii_boosting.proposals(t) for t in texts] and with_filter[-1] and any(p and not re.search("[0-9@]", t) for t, p in zip(texts, with_filter))
+
+
 def test_base_spans_equal_the_patterns():
     rnd = random.Random(3)
     for i in range(20_000):
