@@ -206,12 +206,3 @@ def test_longest_stretch_equals_brute_force():
         if fits:
             i, j = max(fits, key=lambda x: (x[1] - x[0], -x[0]))
             assert i <= b and e <= j and agree[b:e].sum() == agree[i:j].sum()
-
-
-def test_best_stretch_is_the_largest_sum():
-    rnd = random.Random(2)
-    for _ in range(300):
-        agree = np.array([rnd.random() < 0.7 for _ in range(rnd.randint(1, 25))])
-        score = lambda b, e: sum(1 if a else -3 for a in agree[b:e])
-        b, e = spaced_seeds.best_stretch(agree)
-        assert score(b, e) == max(score(i, j) for i in range(len(agree) + 1) for j in range(i, len(agree) + 1))

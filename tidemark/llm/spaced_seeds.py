@@ -58,15 +58,6 @@ def longest_stretch(agree: np.ndarray, least: int, percent: int) -> tuple[int, i
     return start, end
 
 
-def best_stretch(agree: np.ndarray) -> tuple[int, int]:
-    """[start, end) of the stretch with the largest sum of +1 per agreeing and -3 per other position: four in five must agree, and its ends do."""
-    score = np.concatenate([[0], np.cumsum(np.where(agree, 1, -3))])
-    low = np.minimum.accumulate(score)
-    end = int(np.argmax(score - low))
-    start = int(np.flatnonzero(score[: end + 1] == low[end])[-1])
-    return start, end
-
-
 class Block:
     """Hash table of one block of benchmark items."""
 
