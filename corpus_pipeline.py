@@ -31,18 +31,25 @@ def _numbered(docs: DataFrame, name: str) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that pass the base rules and are no outlier of their language and source."""
+    """Rows that pass the base rules and are no outlier of their language and source. Null texts have no words and go; null
+    languages and sources are groups like others; rows that repeat are judged alike; an empty table gives no rows."""
     columns = _columns(docs)
     return judged(docs, columns, prefix="q_").where("q_kept").select(*columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near-duplicates, the one with the smallest doc_id; rows without a doc_id stay. Rows that repeat
-    a doc_id leave one. Five words per shingle, similarity 0.8 or more."""
-    columns = _columns(docs)
-    gone = near_duplicates(docs, cfg=Forest(words=5)).where("NOT kept").select(F.col("doc_id").alias("gone")).distinct()
-    kept = docs.select(*columns).join(gone, docs["doc_id"] == F.col("gone"), "left_anti")
-    return kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id IS NULL"))
+    """One row of each group of near-duplicates: five words per shingle, similarity 0.8 or more. Each row is judged by a number
+    of its own, so rows that share a doc_id are no duplicates unless their texts are. Of a group the row with the smallest
+    doc_id stays, of equal ones that with the smallest digest of its text; rows without a doc_id come last. Rows without words
+    stay; an empty table gives no rows."""
+    rows = _numbered(docs, "near-rows")
+    judged_rows = near_duplicates(rows, id_column="row", cfg=Forest(words=5)).select("row", "component_id")
+    grouped = judged_rows.groupBy("component_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("component_id")
+    members = shared_table(judged_rows.join(grouped, "component_id"), "near-members")  # only rows that have a partner
+    order = F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("c"), F.col("row").alias("row"))
+    first = rows.join(members, "row").groupBy("component_id").agg(F.min(order).alias("first")).select("component_id", F.col("first.row").alias("stays"))
+    gone = members.join(first, "component_id").where("row != stays").select("row")
+    return rows.join(gone, "row", "left_anti").select(*_columns(docs))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,14 +61,16 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Selected spans replaced in the text; n_chars follows."""
+    """Selected spans replaced in the text; n_chars follows, null for a null text. Rows that repeat are changed alike, other
+    columns and empty texts stay as they are; an empty table gives no rows."""
     columns = _columns(docs)
     clean = redact(docs.select(*columns), train(docs))
     return clean.withColumn("n_chars", F.length("text").cast("long")).select(*columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Batches of documents of similar length: doc_id, n_tokens and the columns that packing adds."""
+    """Batches of documents of similar length: doc_id, n_tokens and the columns that packing adds. A null text is an empty one
+    and has its end id only; rows that repeat are packed each; an empty table gives no rows."""
     import public_tokenizers
 
     return pack(token_counts(docs, str(public_tokenizers.path("byte_bpe_50k.json"))), "n_tokens")
