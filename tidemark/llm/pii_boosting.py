@@ -26,7 +26,7 @@ _DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 _DIGITS = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 #: What every written address has, and what every proposal has: a text without it has none, so nothing is lost by skipping it.
-_WRITTEN = re.compile(r"@|[\[(]\s?at\s?[\])]|\sat\s", re.IGNORECASE)
+_WRITTEN = re.compile(r"@|[\[(]\s?at\s?[\])]|\sat\s\s?[\w-]{1,63}\s?(?:\.|[\[(]|\sdot\s)", re.IGNORECASE)
 _ANY = re.compile(rf"\d|{_WRITTEN.pattern}", re.IGNORECASE)
 
 
