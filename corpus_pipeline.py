@@ -42,13 +42,14 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     of its own, so rows that share a doc_id are no duplicates unless their texts are. Of a group the row with the smallest
     doc_id stays, of equal ones that with the smallest digest of its text; rows without a doc_id come last. Rows without words
     stay; an empty table gives no rows."""
-    rows = _numbered(docs, "near-rows")
-    judged_rows = near_duplicates(rows, id_column="row", cfg=Forest(words=5)).select("row", "component_id")
-    grouped = judged_rows.groupBy("component_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("component_id")
-    members = shared_table(judged_rows.join(grouped, "component_id"), "near-members")  # only rows that have a partner
-    order = F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("c"), F.col("row").alias("row"))
-    first = rows.join(members, "row").groupBy("component_id").agg(F.min(order).alias("first")).select("component_id", F.col("first.row").alias("stays"))
-    gone = members.join(first, "component_id").where("row != stays").select("row")
+    digest = F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest")
+    rows = shared_table(docs.select(*_columns(docs), F.monotonically_increasing_id().alias("row"), digest), "near-rows")
+    judged_rows = shared_table(near_duplicates(rows, id_column="row", cfg=Forest(words=5)).select("row", "component_id"), "near-judged")
+    groups = judged_rows.groupBy("component_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("component_id")
+    members = judged_rows.join(groups, "component_id").join(rows.select("row", "doc_id", "digest"), "row")  # texts stay where they are
+    members = shared_table(members, "near-members")  # only rows that have a partner
+    first = members.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("a"), "doc_id", "digest", "row")).alias("first"))
+    gone = shared_table(members.join(first.select("component_id", F.col("first.row").alias("stays")), "component_id").where("row != stays").select("row"), "near-gone")
     return rows.join(gone, "row", "left_anti").select(*_columns(docs))
 
 
