@@ -60,23 +60,59 @@ def _listed(column: str) -> Column:
     return F.when(text == "", "none").otherwise(text)
 
 
-def report_lines(summary: DataFrame, segments: DataFrame, comparisons: DataFrame, metrics: DataFrame, keys: Sequence[str] = ("vod_id",)) -> DataFrame:
-    """Markdown report as ordered rows (`section`, `ord`, `line`); a writer sorts them, no report is built in one place."""
+def fixed(value: Column, places: int) -> Column:
+    """A number with so many places, ties of its exact value to even; `format_string` would round the shortest decimal up."""
+    return F.replace(F.format_number(value, places), F.lit(","))
+
+
+def report_lines(
+    facts: DataFrame, segments: DataFrame, comparisons: DataFrame, metrics: DataFrame, layouts: DataFrame | None = None, keys: Sequence[str] = ("vod_id",)
+) -> DataFrame:
+    """Markdown report as ordered rows (`section`, `ord`, `line`); a writer sorts them, no report is built in one place.
+
+    `facts` has one row per recording: `pipeline_version`, `strategy`, `requires_coarse`, `title`, `completed_samples` (null
+    for recordings analysed without layouts), `analyzed_duration`, the seconds per phase, `talking_blocks`,
+    `primary_talking_block_id`, `warnings`, `analysis_seconds`, and the texts `thresholds` and `notes`. `segments` have `run`,
+    times, `phase`, `confidence`, `reasons` and `warnings`; `layouts` the three scores of each matched layout.
+    """
     clock = lambda c: format_timecode(F.col(c), "even")
-    head = F.array(*[F.concat(F.lit(f"- {name}: "), value) for name, value in (
-        ("Waiting detected", clock("waiting_seconds")), ("Talking detected", clock("talking_seconds")),
-        ("Gameplay detected", clock("gameplay_seconds")), ("Unknown", clock("unknown_seconds")))])
-    top = summary.select(*keys, F.lit(0).alias("section"), F.posexplode(head).alias("ord", "line"))
-    found = segments.select(*keys, F.lit(1).alias("section"), F.col("run").cast("int").alias("ord"), F.concat(
-        F.lit("- "), clock("start"), F.lit("–"), clock("end"), F.lit(" "), F.col("phase"), F.format_string(", confidence %.3f; reasons: ", "confidence"), _listed("reasons")).alias("line"))
+    code = lambda c: F.concat(F.lit("`"), c, F.lit("`"))
+    bullets = lambda items: [F.concat(F.lit(f"- {name}: "), value) for name, value in items]
+    block = lambda title: F.array(F.lit(""), F.lit(f"## {title}"), F.lit(""))
+    whole = join_same(facts, metrics, keys, "left")
+
+    def lines(df: DataFrame, section: int, array: Column) -> DataFrame:
+        return df.select(*keys, F.lit(section).alias("section"), F.posexplode(array).alias("ord", "line"))
+
+    head = F.array(F.lit("# Validation report"), F.lit(""), *bullets((
+        ("Pipeline version", code(F.col("pipeline_version"))), ("Detection strategy", code(F.col("strategy"))), ("Requires coarse timeline", code(F.initcap(F.col("requires_coarse").cast("string")))),
+        ("Source", F.col("title")), ("Layout samples", F.coalesce(F.col("completed_samples").cast("string"), F.lit("legacy unavailable"))), ("Analyzed duration", clock("analyzed_duration")),
+        ("Waiting detected", clock("waiting_seconds")), ("Talking detected", clock("talking_seconds")), ("Gameplay detected", clock("gameplay_seconds")), ("Unknown", clock("unknown_seconds")),
+        ("Talking blocks", F.col("talking_blocks").cast("string")), ("Primary block", F.coalesce("primary_talking_block_id", F.lit("none"))), ("Warnings", _listed("warnings")),
+        ("Mean confidence", fixed(F.coalesce("mean_confidence", F.lit(0.0)), 3)), ("Analysis time", F.concat(fixed(F.greatest(F.lit(0.0), F.coalesce("analysis_seconds", F.lit(0.0))), 2), F.lit(" seconds"))))))
+    fence = lambda text: F.concat(F.array(F.lit("```json")), F.split(F.coalesce(text, F.lit("null")), "\n"), F.array(F.lit("```")))
+    parts = [lines(whole, 0, F.concat(head, block("Thresholds used"), fence(F.col("thresholds")), block("Detected segments")))]
+    span = [F.lit("- "), clock("start"), F.lit("–"), clock("end"), F.lit(" ")]
+    parts.append(segments.select(*keys, F.lit(1).alias("section"), F.col("run").cast("int").alias("ord"), F.concat(
+        *span, F.col("phase"), F.lit(", confidence "), fixed(F.col("confidence"), 3), F.lit("; reasons: "), _listed("reasons"), F.lit("; warnings: "), _listed("warnings")).alias("line")))
+    if layouts is not None:
+        parts.append(lines(facts.where("completed_samples IS NOT NULL"), 2, block("Matched layouts")))
+        parts.append(layouts.select(*keys, F.lit(2).alias("section"), (F.col("run") + 3).cast("int").alias("ord"), F.concat(
+            *span, code(F.col("layout_id")), F.lit(": match "), fixed(F.col("match_score"), 3), F.lit(", second "), fixed(F.col("second_best_score"), 3), F.lit(", margin "), fixed(F.col("score_margin"), 3)).alias("line")))
     number = F.element_at(F.create_map(*[F.lit(x) for i, n in enumerate(NOTES) for x in (n, i)]), F.col("transition"))
     detected = F.when(F.col("detector_seconds").isNull(), "missing").otherwise(clock("detector_seconds"))
-    error = F.when(F.col("error_seconds").isNull(), "n/a").otherwise(F.format_string("%+.1f seconds", "error_seconds"))
-    manual = comparisons.select(*keys, F.lit(2).alias("section"), number.alias("ord"), F.concat(
-        F.lit("- "), F.col("transition"), F.lit(": detector "), detected, F.lit("; actual "), clock("actual_seconds"), F.lit("; error "), error).alias("line"))
-    tail = F.array(
-        F.concat(F.lit("- Mean absolute error: "), F.coalesce(F.format_string("%.3f", "mean_absolute_error_seconds"), F.lit("None"))),
-        F.format_string("- Detected phases: %d", "detected_phase_count"), F.format_string("- Omitted phases: %d", "omitted_phase_count"),
-        F.format_string("- False detections: %d", "false_detection_count"))
-    end = metrics.select(*keys, F.lit(3).alias("section"), F.posexplode(tail).alias("ord", "line"))
-    return top.unionByName(found).unionByName(manual).unionByName(end)
+    error = F.when(F.col("error_seconds").isNull(), "n/a").otherwise(F.concat(F.when(F.col("error_seconds") >= 0, "+").otherwise(""), fixed(F.col("error_seconds"), 1), F.lit(" seconds")))
+    noted = join_same(facts.select(*keys), comparisons.groupBy(*keys).agg(F.count(F.lit(1)).alias("noted")), keys, "left")
+    none = F.when(F.col("noted").isNull(), F.array(F.lit("No validation notes supplied."))).otherwise(F.array().cast("array<string>"))
+    parts.append(lines(noted, 3, F.concat(block("Manual comparison"), none)))
+    parts.append(comparisons.select(*keys, F.lit(3).alias("section"), (number + 3).alias("ord"), F.concat(
+        F.lit("- "), F.col("transition"), F.lit(": detector "), detected, F.lit("; actual "), clock("actual_seconds"), F.lit("; error "), error).alias("line")))
+    shown = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("None"))
+    tail = F.array(*bullets((
+        ("Mean absolute error", shown("mean_absolute_error_seconds")), ("Maximum absolute error", shown("maximum_absolute_error_seconds")), ("Detected phases", shown("detected_phase_count")),
+        ("Omitted phases", shown("omitted_phase_count")), ("False detections", shown("false_detection_count")))))
+    parts.append(lines(whole, 4, F.concat(block("Metrics"), tail, block("Validation notes JSON"), fence(F.col("notes")), F.array(F.lit("")))))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out

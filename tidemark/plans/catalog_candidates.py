@@ -15,7 +15,7 @@ from tidemark.operators import timeline as tl
 from tidemark.operators import transcripts as tr
 from tidemark.operators.jobs import latest_per_key
 from tidemark.plans import text_sql as q
-from tidemark.plans.catalog_timeline import BLOCKS, SEGMENTS, blocks, layout_segs
+from tidemark.plans.catalog_timeline import BLOCKS, DETAIL, SEGMENTS, blocks, detail_segs, layout_segs
 from tidemark.plans.catalog_text import documents
 from tidemark.plans.registry import Registry
 from tidemark.plans.views import segments, state_samples, table, with_views
@@ -205,11 +205,57 @@ def q_metrics(spark, folder):
     return rows.withColumn("errors", errors).drop("error_by_transition")
 
 
-@query("validation_report")
+_CLOCK = lambda c: f"printf('%02d:%02d:%02d', CAST(round_even({c}, 0) AS BIGINT) // 3600, CAST(round_even({c}, 0) AS BIGINT) % 3600 // 60, CAST(round_even({c}, 0) AS BIGINT) % 60)"
+_SECONDS = lambda p: f"""sum(CASE WHEN phase = '{p}' THEN "end" - start ELSE 0 END)"""
+_LISTED = lambda c: f"CASE WHEN coalesce({c}, '') = '' THEN 'none' ELSE replace({c}, ',', ', ') END"
+_LINES = lambda section, source, items: f"SELECT vod_id, {section} AS section, CAST(unnest(range(len(l))) AS INTEGER) AS ord, unnest(l) AS line FROM (SELECT vod_id, [{', '.join(items)}] AS l FROM {source})"
+_THRESHOLDS = '{\n  "confirmation": 2\n}'
+_SECTION = lambda title: ["''", f"'## {title}'", "''"]
+_REPORT = {
+    **DETAIL, **_BOUND,
+    "rcmp": "SELECT * FROM cmp WHERE vod_id % 7 <> 0",
+    "dseg": """SELECT s.*, match_score, second_best_score, score_margin, r.labels AS reasons, w.labels AS warnings FROM segs s JOIN d1 USING (vod_id, run)
+        LEFT JOIN d2 r ON r.vod_id = s.vod_id AND r.run = s.run AND r.kind = 'r' LEFT JOIN d2 w ON w.vod_id = s.vod_id AND w.run = s.run AND w.kind = 'w'""",
+    "met": """SELECT f.vod_id, e.mae, e.mx, detected, coalesce(om, 0) AS om, CASE WHEN coalesce(ntalk, 0) > 0 THEN greatest(0, talk - ntalk) ELSE 0 END + CASE WHEN coalesce(ngame, 0) > 0 THEN greatest(0, game - ngame) ELSE 0 END AS wrong, conf
+        FROM (SELECT vod_id, count(*) AS detected, count(CASE WHEN phase = 'talking' THEN 1 END) AS talk, count(CASE WHEN phase = 'gameplay' THEN 1 END) AS game, sum(("end" - start) * confidence) / sum("end" - start) AS conf FROM segs GROUP BY 1) f
+        LEFT JOIN (SELECT vod_id, avg(absolute_error_seconds) AS mae, max(absolute_error_seconds) AS mx, count(CASE WHEN detector_seconds IS NULL THEN 1 END) AS om,
+          count(CASE WHEN transition IN ('talking_start','talking_block_2_start','talking_block_3_start') THEN 1 END) AS ntalk, count(CASE WHEN transition = 'gameplay_start' THEN 1 END) AS ngame FROM rcmp GROUP BY 1) e ON f.vod_id = e.vod_id""",
+    "facts": f"""SELECT s.vod_id, d.duration, {_SECONDS('waiting_or_music')} AS wa, {_SECONDS('talking')} AS ta, {_SECONDS('gameplay')} AS ga, {_SECONDS('unknown')} AS un,
+        (SELECT count(*) FROM state_samples x WHERE x.vod_id = s.vod_id) AS samples, (SELECT count(*) FROM blocks b WHERE b.vod_id = s.vod_id) AS blocks, (SELECT max(CASE WHEN is_primary THEN id END) FROM blocks b WHERE b.vod_id = s.vod_id) AS pri
+        FROM segs s JOIN dur d ON d.vod_id = s.vod_id GROUP BY s.vod_id, d.duration""",
+    "whole": "SELECT f.*, m.* EXCLUDE (vod_id) FROM facts f LEFT JOIN met m ON m.vod_id = f.vod_id",
+}
+_PARTS = [
+    _LINES(0, "whole", ["'# Validation report'", "''", "'- Pipeline version: `v1`'", "'- Detection strategy: `layout`'", "'- Requires coarse timeline: `' || CASE WHEN vod_id % 2 = 0 THEN 'True' ELSE 'False' END || '`'", "'- Source: Recording ' || vod_id",
+        "'- Layout samples: ' || CASE WHEN vod_id % 5 = 0 THEN 'legacy unavailable' ELSE samples::VARCHAR END", *[f"'- {n}: ' || {_CLOCK(c)}" for n, c in (("Analyzed duration", "duration"), ("Waiting detected", "wa"), ("Talking detected", "ta"), ("Gameplay detected", "ga"), ("Unknown", "un"))],
+        "'- Talking blocks: ' || blocks", "'- Primary block: ' || coalesce(pri, 'none')", "'- Warnings: ' || CASE WHEN pri IS NULL THEN 'primary_talking_block_not_found' ELSE 'none' END", "'- Mean confidence: ' || printf('%.3f', conf)", "'- Analysis time: ' || printf('%.2f', vod_id % 7 + 0.5::DOUBLE) || ' seconds'",
+        *_SECTION("Thresholds used"), "'```json'", *[f"'{x}'" for x in _THRESHOLDS.split("\n")], "'```'", *_SECTION("Detected segments")]),
+    f"""SELECT vod_id, 1, CAST(run AS INTEGER), '- ' || {_CLOCK('start')} || '–' || {_CLOCK('"end"')} || ' ' || phase || ', confidence ' || printf('%.3f', confidence) || '; reasons: ' || {_LISTED('reasons')} || '; warnings: ' || {_LISTED('warnings')} FROM dseg""",
+    _LINES(2, "(SELECT * FROM facts WHERE vod_id % 5 <> 0)", _SECTION("Matched layouts")),
+    f"""SELECT vod_id, 2, CAST(run AS INTEGER) + 3, '- ' || {_CLOCK('start')} || '–' || {_CLOCK('"end"')} || ' `' || layout_id || '`: match ' || printf('%.3f', match_score) || ', second ' || printf('%.3f', second_best_score) || ', margin ' || printf('%.3f', score_margin) FROM dseg WHERE vod_id % 5 <> 0 AND score_margin IS NOT NULL""",
+    _LINES(3, "facts", _SECTION("Manual comparison")), "SELECT vod_id, 3, 3, 'No validation notes supplied.' FROM facts WHERE vod_id NOT IN (SELECT vod_id FROM rcmp)",
+    f"""SELECT vod_id, 3, 3 + CAST(list_position([{q.quoted(mt.NOTES)}], transition) - 1 AS INTEGER), '- ' || transition || ': detector ' || CASE WHEN detector_seconds IS NULL THEN 'missing' ELSE {_CLOCK('detector_seconds')} END || '; actual ' || {_CLOCK('greatest(0, actual_seconds)')} || '; error ' ||
+        CASE WHEN error_seconds IS NULL THEN 'n/a' ELSE CASE WHEN error_seconds >= 0 THEN '+' ELSE '' END || printf('%.1f', error_seconds) || ' seconds' END FROM rcmp""",
+    _LINES(4, "whole", [*_SECTION("Metrics"), "'- Mean absolute error: ' || coalesce(mae::VARCHAR, 'None')", "'- Maximum absolute error: ' || coalesce(mx::VARCHAR, 'None')", "'- Detected phases: ' || detected", "'- Omitted phases: ' || om", "'- False detections: ' || wrong",
+        *_SECTION("Validation notes JSON"), "'```json'", "'{\"vod\": ' || vod_id || '}'", "'```'", "''"]),
+]
+
+
+@query("validation_report", with_views("state_samples", " UNION ALL ".join(_PARTS), **_REPORT))
 def q_report(spark, folder):
-    segs = layout_segs(spark, folder).withColumn("reasons", cd.empty_strings())
-    compared = tr.cut_lineage(mt.compare_notes(boundaries(spark, folder), notes(spark, folder)))
-    return mt.report_lines(tl.state_durations(segs), segs, compared, mt.segment_metrics(segs, compared))
+    segs = tr.cut_lineage(detail_segs(spark, folder))
+    found = blocks(spark, folder)
+    counted = found.groupBy("vod_id").agg(F.count(F.lit(1)).alias("talking_blocks"), F.max(F.when(F.col("is_primary"), F.col("id"))).alias("primary_talking_block_id"))
+    samples = state_samples(spark, folder)
+    facts = tl.state_durations(segs).join(tl.durations_of(samples), "vod_id").join(samples.groupBy("vod_id").agg(F.count(F.lit(1)).alias("completed_samples")), "vod_id").join(counted, "vod_id", "left")
+    v = F.col("vod_id")
+    facts = tr.cut_lineage(facts.withColumns({
+        "pipeline_version": F.lit("v1"), "strategy": F.lit("layout"), "requires_coarse": v % 2 == 0, "title": F.concat(F.lit("Recording "), v), "completed_samples": F.when(v % 5 != 0, F.col("completed_samples")),
+        "analyzed_duration": F.col("duration"), "talking_blocks": F.coalesce("talking_blocks", F.lit(0)), "analysis_seconds": v % 7 + 0.5, "thresholds": F.lit(_THRESHOLDS), "notes": F.concat(F.lit('{"vod": '), v, F.lit("}")),
+        "warnings": F.array_compact(F.array(F.when(F.col("primary_talking_block_id").isNull(), "primary_talking_block_not_found"))),
+    }))
+    compared = tr.cut_lineage(mt.compare_notes(boundaries(spark, folder), notes(spark, folder)).where("vod_id % 7 <> 0"))
+    return mt.report_lines(facts, segs, compared, mt.segment_metrics(segs, compared), segs.where("vod_id % 5 <> 0 AND score_margin IS NOT NULL"))
 
 
 @query("ground_truth_notes", """SELECT c_custkey AS job_id, CASE WHEN r.note IS NULL THEN 0 ELSE r.note END AS talking_start, r.note IS NULL AS is_default FROM customer c LEFT JOIN (SELECT o_custkey, arg_max(floor(o_totalprice), {'d': o_orderdate, 'k': o_orderkey}) AS note FROM orders GROUP BY 1) r ON c.c_custkey = r.o_custkey""")

@@ -65,14 +65,21 @@ DETAIL = {
 @query("merge_state_runs", with_views("state_samples", """SELECT s.vod_id, s.run, layout_id, phase, start, "end", sample_count, confidence, match_score, second_best_score, score_margin,
     coalesce(r.labels, '') AS reasons, coalesce(w.labels, '') AS warnings FROM segs s JOIN d1 USING (vod_id, run) LEFT JOIN d2 r ON r.vod_id = s.vod_id AND r.run = s.run AND r.kind = 'r' LEFT JOIN d2 w ON w.vod_id = s.vod_id AND w.run = s.run AND w.kind = 'w'""", **DETAIL))
 def q_merge_state_runs(spark, folder):
+    segs = detail_segs(spark, folder)
+    return segs.select("vod_id", "run", "layout_id", "phase", "start", "end", "sample_count", *SCORES, joined("reasons").alias("reasons"), joined("warnings").alias("warnings"))
+
+
+SCORES = ["confidence", "match_score", "second_best_score", "score_margin"]
+
+
+def detail_segs(spark, folder) -> DataFrame:
+    """Segments with the medians of their scores, reasons and warnings."""
     k = F.col("k")
     samples = state_samples(spark, folder).withColumns({
         "match_score": F.pmod(k * 7, F.lit(100)) / 100.0, "second_best_score": F.pmod(k * 3, F.lit(50)) / 100.0, "score_margin": F.when(k % 5 > 0, k / 200.0),
         "reasons": F.array_compact(F.array(F.when(k % 9 == 0, "high_motion"), F.when(k % 4 == 0, "calm"))), "warnings": F.array_compact(F.array(F.when(k % 10 == 0, "late"))),
     })
-    scores = ["confidence", "match_score", "second_best_score", "score_margin"]
-    segs = tl.layout_segments(samples, confirmation=2, median_of=scores, labels=["reasons", "warnings"])
-    return segs.select("vod_id", "run", "layout_id", "phase", "start", "end", "sample_count", *scores, joined("reasons").alias("reasons"), joined("warnings").alias("warnings"))
+    return tl.layout_segments(samples, confirmation=2, median_of=SCORES, labels=["reasons", "warnings"])
 
 
 @query("state_durations", with_views("state_samples", """
