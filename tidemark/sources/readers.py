@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from tidemark.operators.chunked import join_same
 from tidemark.operators.rules import failed_rules
+from tidemark.sources.pcm import read_pcm_samples  # noqa: F401  readers of all kinds are found here
 
 WORD = "struct<start:double,end:double,word:string,probability:double>"
 SEGMENT = f"struct<start:double,end:double,text:string,words:array<{WORD}>,avg_logprob:double,no_speech_probability:double>"
