@@ -35,6 +35,22 @@ def test_quality_separates_and_scores_every_row(spark):
     assert len({r["score"] for r in got if r["doc_id"] in (900, 901)}) == 1  # null is empty
 
 
+def test_quality_learns_from_the_whole_of_a_long_text(spark):
+    """Texts of 400 KB that differ behind their first 300 KB only."""
+    rnd = random.Random(3)
+    same = " ".join(rnd.choice(("abc", "def", "ghi", "jkl")) for _ in range(75_000))
+    rows = []
+    for i in range(24):
+        words = ("lovely", "careful", "reasoned", "clear") if i % 2 else ("zzqx", "buy@@", "$$$win", "clickk")
+        rows.append((i, same + " ".join(rnd.choice(words) + str(rnd.randrange(50)) for _ in range(12_000)), "en", "a", 0))
+    labels = spark.createDataFrame([(i, i % 2) for i in range(24)], "doc_id long, quality int")
+    model = compression_quality.train(documents(spark, rows), labels, cfg=replace(compression_quality.Training(), dictionary_bytes=8192))
+    assert b"lovely" in model.good and b"lovely" not in model.bad
+    tails = [(100, " ".join(f"careful{i % 50} clear{i % 50}" for i in range(200)), "en", "a", 0), (101, " ".join(f"zzqx{i % 50} buy@@{i % 50}" for i in range(200)), "en", "a", 0)]
+    score = {r["doc_id"]: r["score"] for r in compression_quality.score(documents(spark, tails), model).collect()}
+    assert score[100] > score[101]
+
+
 def test_quality_without_labels_or_documents(spark):
     docs = documents(spark, odd_rows())
     model = compression_quality.train(docs, spark.createDataFrame([], "doc_id long, quality int"))

@@ -7,26 +7,31 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: The dictionary of no texts.
+NOTHING = b"\n" * 8
+
+
 @dataclass(frozen=True)
 class Training:
     """Bounds of the labelled sample, and of what is built from it.
 
-    The sample is the `rows` labelled training rows with the smallest hash of their id, for each label; of one text at most
-    `sample_bytes` bytes are used for training (scoring always reads whole texts). `dictionary_bytes` is the size of one
-    dictionary. `pieces` cuts texts for the dictionary builder. Every `calibrate`-th sampled row stays out of the
-    dictionaries and sets the calibration.
+    The sample is the `rows` labelled training rows with the smallest hash of their id, for each label. Whole texts are cut into
+    pieces of `piece` bytes; of each text the `pieces` ones with the smallest hash, wherever they lie, feed the dictionaries.
+    The sample falls into `folds` parts by hash: whole texts of a part, measured with dictionaries of the other parts, set the
+    calibration; the dictionaries of the model are built from all parts. `dictionary_bytes` is the size of one dictionary.
     """
 
     rows: int = 2000
-    sample_bytes: int = 32_768
+    pieces: int = 8
     dictionary_bytes: int = 112_640
     piece: int = 4096
-    calibrate: int = 3
+    folds: int = 3
     level: int = 3
 
 
@@ -55,12 +60,46 @@ def evidence(text: str, good: zstandard.ZstdCompressor, bad: zstandard.ZstdCompr
     return difference / (len(data) + soft), len(data) / (len(data) + soft)
 
 
-def _dictionary(texts: list[bytes], cfg: Training) -> bytes:
-    pieces = [t[i : i + cfg.piece] for t in texts for i in range(0, len(t), cfg.piece)]
+def _dictionary(pieces: list[bytes], cfg: Training) -> bytes:
     try:
         return zstandard.train_dictionary(cfg.dictionary_bytes, pieces, level=cfg.level).as_bytes()
     except zstandard.ZstdError:  # too few texts for the builder: use them as they are
-        return b"".join(pieces)[: cfg.dictionary_bytes] or b"\n" * 8
+        return b"".join(pieces)[: cfg.dictionary_bytes] or NOTHING
+
+
+def _spread_pieces(cfg: Training):
+    """Pieces of whole texts: a row per piece that has one of the `pieces` smallest hashes of its text, and per model that
+    learns from it, which are those of the other parts and the last one."""
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for key, label, part, text in zip(*[c.to_pylist() for c in batch.columns]):
+                data = text.encode()
+                cut = [data[i : i + cfg.piece] for i in range(0, len(data), cfg.piece)]
+                ranked = sorted((xxhash.xxh64_intdigest(c, seed=i), i) for i, c in enumerate(cut))[: cfg.pieces]
+                out.extend((m, label, key, i, cut[i]) for m in range(cfg.folds + 1) if m != part for _, i in ranked)
+            columns = list(zip(*out)) if out else [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()))], names=["model", "label", "id", "at", "data"])
+
+    return run
+
+
+def _measured(dictionaries: dict[tuple[int, int], bytes], level: int):
+    """(label, evidence) of whole texts, each by the dictionaries that have not seen its part."""
+
+    def run(batches):
+        ready = {}
+        for batch in batches:
+            rows = []
+            for label, part, text in zip(*[c.to_pylist() for c in batch.columns[1:]]):
+                if part not in ready:
+                    ready[part] = _compressors(dictionaries.get((part, 1), NOTHING), dictionaries.get((part, 0), NOTHING), level)
+                rows.append((label, *evidence(text, *ready[part])))
+            labels, first, second = zip(*rows) if rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(labels, pa.int32()), pa.array(first, pa.float64()), pa.array(second, pa.float64())], names=["label", "a", "b"])
+
+    return run
 
 
 def calibration(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -85,7 +124,8 @@ def calibration(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 def train(docs: DataFrame, labels: DataFrame, usable: Column | None = None, id_column: str = "doc_id", text_column: str = "text", label_column: str = "quality", cfg: Training = Training()) -> Model:
     """Build both dictionaries and the calibration from labelled rows that `usable` (on the id column) allows.
 
-    Only ids and labels choose the sample; language and source are never seen. The bounded sample is trained in one task.
+    Only ids and labels choose the sample; language and source are never seen. Pieces are cut and texts measured where
+    they lie; a dictionary is built in one task from at most `rows` x `pieces` pieces.
     The calibration is set to the labels' shares among all usable rows. A row that repeats an id is used once.
     Without labels the model scores everything 0.5.
     """
@@ -98,26 +138,25 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column | None = None, id_c
     parts = [known.where(F.col("label") == value).orderBy(F.xxhash64(id_column), id_column).limit(cfg.rows) for value in (0, 1)]
     chosen = parts[0].unionByName(parts[1])  # at most 2 x rows ids
     texts = docs.select(F.col(f"`{id_column}`").cast("long").alias(id_column), F.coalesce(F.col(f"`{text_column}`").cast("string"), F.lit("")).alias("text")).join(F.broadcast(chosen), id_column).dropDuplicates([id_column])
-    piece = F.substring(F.encode("text", "utf-8"), 1, cfg.sample_bytes).alias("data")
-    sample = texts.select(F.xxhash64(id_column).alias("h"), F.col(id_column).alias("id"), "label", piece, F.lit(0).alias("all"))  # one bounded group
+    sample = texts.select(F.col(id_column).alias("id"), "label", F.pmod(F.xxhash64(id_column), F.lit(cfg.folds)).cast("int").alias("part"), "text")
 
     def build(table: pa.Table) -> pa.Table:
-        rows = sorted(zip(table["h"].to_pylist(), table["id"].to_pylist(), table["data"].to_pylist(), table["label"].to_pylist()))
-        fit = [r for i, r in enumerate(rows) if i % cfg.calibrate]
-        held = [r for i, r in enumerate(rows) if not i % cfg.calibrate]
-        good, bad = [_dictionary([r[2] for r in fit if r[3] == value and r[2]], cfg) for value in (1, 0)]
-        compressors = _compressors(good, bad, cfg.level)
-        x = np.array([evidence(r[2].decode("utf-8", "ignore"), *compressors) for r in held]).reshape(-1, 2)
-        y = np.array([float(r[3]) for r in held])
-        weights = calibration(x, y) if len(held) else np.zeros(3)
-        if 0 < y.sum() < len(y):  # the sample is even over the labels; the corpus is not
-            weights[0] += float(np.log(totals[1] / totals[0]) - np.log(y.sum() / (len(y) - y.sum())))
-        return pa.table({"good": pa.array([good], pa.binary()), "bad": pa.array([bad], pa.binary()), "weights": pa.array([weights.tolist()], pa.list_(pa.float64()))})
-
-    found = sample.groupBy("all").applyInArrow(build, "good binary, bad binary, weights array<double>").collect()
-    if not found:
-        return Model(b"\n" * 8, b"\n" * 8, (0.0, 0.0, 0.0), cfg.level)
-    return Model(bytes(found[0]["good"]), bytes(found[0]["bad"]), tuple(found[0]["weights"]), cfg.level)
+        rows = sorted(zip(table["id"].to_pylist(), table["at"].to_pylist(), table["data"].to_pylist()))
+        return pa.table({"model": table["model"][:1], "label": table["label"][:1], "data": pa.array([_dictionary([r[2] for r in rows], cfg)], pa.binary())})
+
+    pieces = sample.mapInArrow(_spread_pieces(cfg), "model int, label int, id long, at long, data binary")
+    built = pieces.groupBy("model", "label").applyInArrow(build, "model int, label int, data binary").collect()  # groups and results are bounded
+    dictionaries = {(r["model"], r["label"]): bytes(r["data"]) for r in built}
+    good, bad = (dictionaries.get((cfg.folds, value), NOTHING) for value in (1, 0))
+    measured = sample.mapInArrow(_measured(dictionaries, cfg.level), "label int, a double, b double").collect()  # three numbers a row, at most 2 x rows
+    if not measured:
+        return Model(good, bad, (0.0, 0.0, 0.0), cfg.level)
+    measured.sort()  # sums in one order, whatever task came first
+    x, y = np.array([(r["a"], r["b"]) for r in measured]), np.array([float(r["label"]) for r in measured])
+    weights = calibration(x, y)
+    if 0 < y.sum() < len(y):  # the sample is even over the labels; the corpus is not
+        weights[0] += float(np.log(totals[1] / totals[0]) - np.log(y.sum() / (len(y) - y.sum())))
+    return Model(good, bad, tuple(weights.tolist()), cfg.level)
 
 
 def score(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
