@@ -2,11 +2,12 @@
 
 import datetime as dt
 import random
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.config import PHASES, PhaseConfig
+from tidemark.config import CANDIDATE, PHASES, PhaseConfig
 from tidemark.functions import geometry as g
 from tidemark.functions import scalar as sc
 from tidemark.functions import text as tx
@@ -296,3 +297,59 @@ def test_another_recording_changes_nothing(spark):
     alone = {(r.idx, r.accepted) for r in tl.hysteresis(a).collect()}
     both = {(r.idx, r.accepted) for r in tl.hysteresis(a.unionByName(b).repartition(7)).where("vod_id = 1").collect()}
     assert alone == both
+
+
+def face_rows(clip, faces, size=None):
+    """Detections of a clip of one scene: (frame, x, y, size)."""
+    return [(clip, 0, frame, i, (x, y, side, side), 0.9, 1) for i, (frame, x, y, side) in enumerate(faces)]
+
+
+def composed(spark, rows, clips, regions=None, default=None):
+    box = "struct<x:bigint,y:bigint,width:bigint,height:bigint>"
+    d = spark.createDataFrame(rows, f"clip_id int, scene_id long, frame_index int, det_a int, region {box}, confidence double, profile int")
+    scenes = spark.createDataFrame([(c, 0, 0.0, 5.0) for c in clips], "clip_id int, scene_id long, start double, end double")
+    return bx.composition_plan(scenes, d, ["det_a"], 1920, 1080, regions, default)
+
+
+def test_composition_classes_and_counts(spark):
+    rows = face_rows(1, [(i, 700, 220, 580) for i in range(5)]) + face_rows(2, [(i, 40, 35, 130) for i in range(6)])
+    rows += face_rows(3, [x for i in range(5) for x in ((i, 20 + i * 250, 20, 100), (i, 1500 - i * 180, 400, 90))])
+    rows += face_rows(5, [(i, 160, 430, 110) for i in range(8)]) + face_rows(6, [(i, 1650, 430, 110) for i in range(8)])
+    plan = composed(spark, rows, range(1, 7))
+    got = {r.clip_id: r for r in plan.segments.collect()}
+    assert {c: r.layout for c, r in got.items()} == {1: "fullscreen_face", 2: "small_facecam", 3: "uncertain", 4: "no_face", 5: "small_facecam", 6: "small_facecam"}
+    assert [got[c].facecam_position for c in (2, 5, 6)] == ["top_left", "left_column", "right_column"]
+    assert got[5].detection_source == "automatic_side_facecam"
+    assert {(r.clip_id, r.code) for r in plan.warnings.collect()} >= {(3, "layout_uncertain"), (4, "face_not_detected")}
+    assert plan.problems.collect() == []
+    counts = {r.clip_id: r for r in plan.summary.collect()}
+    assert (counts[3].faces_detected, counts[3].face_frames_analyzed, counts[3].fallbacks) == (10, 5, 1) and counts[4].faces_detected is None
+
+
+def test_composition_asks_the_profile_for_the_content_region(spark):
+    box = "struct<x:bigint,y:bigint,width:bigint,height:bigint>"
+    cam = (0, 0, 300, 300)
+    rows = face_rows(1, [(i, 60, 50, 130) for i in range(6)])
+    layout = f"profile int, region_ord int, region {box}, region_position string, roi {box}"
+    regions = spark.createDataFrame([(1, 0, cam, "top_left", (1000, 0, 900, 1080))], layout)
+    bare = spark.createDataFrame([(1, 0, cam, "top_left", None)], layout)
+    default = spark.createDataFrame([(1, (400, 100, 800, 900))], f"profile int, default_roi {box}")
+    asked, fallback, none = (composed(spark, rows, [1], *x).segments.first() for x in ((regions, default), (bare, default), (bare, None)))
+    assert asked.detection_source == fallback.detection_source == "profile_adjusted"
+    assert asked.facecam_region.asDict() == dict(zip(("x", "y", "width", "height"), cam))
+    assert asked.content_crop.x == 940 and fallback.content_crop.x == 470  # as near to the asked region as the frame's candidates come
+    assert none.content_crop.x in (470, 940)
+
+
+def test_topics_to_selected_candidates(spark):
+    first, second = "Bueno chat, GTA VI Rockstar precio lanzamiento historia opinión.", "Cambiando de tema, aeropuerto viaje maleta anécdota historia increíble."
+    rows = [(60.0 * i, 60.0 * i + 55, first + f" parte {i}" if i < 6 else second + f" parte {i}", -0.1, 0.02) for i in range(12)]
+    rows.insert(3, (175.0, 179.0, "  ", -0.1, 0.0))  # cleaned away
+    easy = replace(CANDIDATE, min_score=0.0, min_coherence=0.0)
+    selected, rejected = (x.collect() for x in cd.topic_pipeline(transcript(spark, rows), config=easy, minimum=120.0))
+    both = selected + rejected
+    assert len({r.block for r in both}) >= 2 and all(r.safe_start <= r.exact_start for r in both)
+    assert any("aeropuerto" in r.title.lower() for r in both)
+    assert not {(r.block, r.piece) for r in selected} & {(r.block, r.piece) for r in rejected}
+    assert all(not r.failures for r in selected) and all(r.failures for r in rejected)
+    assert sorted(r.picked for r in selected) == list(range(1, len(selected) + 1))

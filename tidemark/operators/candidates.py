@@ -11,9 +11,10 @@ from tidemark.config import CANDIDATE, CandidateConfig
 from tidemark.functions import scalar as sc
 from tidemark.functions import text as tx
 from tidemark.operators import terms as tm
-from tidemark.operators.chunked import join_same, select_rounds
+from tidemark.operators.chunked import index_chunk, join_same, ordered_scan, select_rounds
 from tidemark.operators.intervals import overlap_join
 from tidemark.operators.ranges import split_long_ranges
+from tidemark.operators.transcripts import clean_transcript, topics
 from tidemark.session import cut_lineage
 
 NO_LABEL = "tema sin etiqueta específica"
@@ -237,3 +238,17 @@ def score_candidates(topics: DataFrame, segments: DataFrame, keys: Sequence[str]
 def accepted_and_rejected(scored: DataFrame, keys: Sequence[str] = ("vod_id",), config: CandidateConfig = CANDIDATE) -> tuple[DataFrame, DataFrame]:
     good = scored.where(F.size("failures") == 0)
     return diversify(good, keys, ["block", "piece"], config.max_candidates), scored.where(F.size("failures") > 0)
+
+
+def topic_pipeline(segments: DataFrame, keys: Sequence[str] = ("vod_id",), config: CandidateConfig = CANDIDATE, **limits: float) -> tuple[DataFrame, DataFrame]:
+    """Raw transcript segments to (selected, rejected) candidates.
+
+    Segments are cleaned, those that stay are numbered anew without gaps, topics are cut and scored, and the gate and the
+    diverse choice follow. `selected` has the place among a recording's candidates as `picked`; candidates that pass the gate but
+    repeat a better one are in neither. `rejected` carries the reasons as `failures`. `limits` go to `topics`.
+    """
+    cleaned = clean_transcript(segments, keys).where("removed IS NULL").drop("removed", "raw_text")
+    order = ordered_scan(cleaned, keys, ["pos"], index_chunk("pos"), row_number="rank")
+    heard = cut_lineage(order.withColumn("pos", F.col("rank") - 1).drop("rank"))
+    blocks = topics(heard, keys, **limits).select(*keys, "block", "start", "end", "coherence_score")
+    return accepted_and_rejected(cut_lineage(score_candidates(cut_lineage(blocks), heard, keys, config)), keys, config)

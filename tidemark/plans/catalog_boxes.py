@@ -195,12 +195,25 @@ def q_classify_scene(spark, folder):
     return scene_segments(spark, folder).select(*SCENE, "layout", "confidence", "detection_source", "facecam_position", F.array_join("reasons", ",").alias("reasons"))
 
 
-@query("composition_plan")
-def q_composition(spark, folder):
+def composition(spark, folder):
     d = tracked(spark, folder).select(*SCENE, "frame_index", *DET, "region", "confidence", F.col("det_b").alias("profile"))
     scenes = d.groupBy(*SCENE).agg((F.col("scene_id") * 3.0).alias("start"), (F.col("scene_id") * 3.0 + 3.0).alias("end"))
-    plan = bx.composition_plan(scenes, d, DET, FW, FH, bx.scaled_regions(profile_table(spark, folder), FW, FH))
-    return plan.select("clip_id", "scene_id", "start", "end", "layout", "confidence", "detection_source", F.array_join("reasons", ",").alias("reasons"))
+    return bx.composition_plan(scenes, d, DET, FW, FH, bx.scaled_regions(profile_table(spark, folder), FW, FH))
+
+
+@query("composition_plan")
+def q_composition(spark, folder):
+    return composition(spark, folder).segments.select("clip_id", "scene_id", "start", "end", "layout", "confidence", "detection_source", F.array_join("reasons", ",").alias("reasons"))
+
+
+@query("composition_summary")
+def q_composition_summary(spark, folder):
+    """Counts per clip with the number of warnings and of breaches that the whole chain found."""
+    plan = composition(spark, folder)
+    warned = plan.warnings.groupBy("clip_id").agg(F.count(F.lit(1)).alias("warnings"))
+    broken = plan.problems.groupBy("clip_id").agg(F.count(F.lit(1)).alias("problems"))
+    rows = plan.summary.join(warned, "clip_id", "left").join(broken, "clip_id", "left")
+    return rows.withColumns({"warnings": F.coalesce("warnings", F.lit(0)), "problems": F.coalesce("problems", F.lit(0))})
 
 
 _SEG = """SELECT clip_id, frame_index, CASE det_a % 4 WHEN 0 THEN 'no_face' WHEN 1 THEN 'uncertain' WHEN 2 THEN 'small_facecam' ELSE 'fullscreen_face' END AS layout,

@@ -153,6 +153,13 @@ def q_candidates(spark, folder):
     return rows.select("vod_id", "id", "exact_start", "exact_end", "title", "summary", F.array_join("keywords", "|").alias("keywords"), "score", F.array_join("failures", ",").alias("failures"))
 
 
+@query("topic_pipeline")
+def q_topic_pipeline(spark, folder):
+    selected, rejected = cd.topic_pipeline(segments(spark, folder), minimum=100.0, maximum=300.0)
+    columns = ["vod_id", "id", "exact_start", "exact_end", "title", "score", F.array_join("failures", ",").alias("failures")]
+    return selected.select(*columns, F.col("picked").cast("int").alias("place")).unionByName(rejected.select(*columns, F.lit(None).cast("int").alias("place")))
+
+
 @query("output_invariants")
 def q_invariants(spark, folder):
     s = segments(spark, folder)
